@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, packing
+from . import bpe, fingerprint, langid, licenses, linededup, packing, quality
 
-QUERIES = {"op3_packing": packing.op3_packing, "op6_byte_bpe": bpe.op6_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op4_licenses": licenses.op4_licenses,
+    "op5_fingerprints": fingerprint.op5_fingerprints,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op8_line_dedup": linededup.op8_line_dedup,
+    "op9_language_id": langid.op9_language_id,
+    "op10_quality": quality.op10_quality,
+}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE, "op8_line_dedup": linededup.ORACLE}
