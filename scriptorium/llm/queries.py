@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, langid, licenses, linededup, packing, quality
+from . import bpe, fingerprint, jaccard, langid, licenses, linededup, packing, quality, repeats, vectors
 
 QUERIES = {
+    "op1_nearest": vectors.op1_nearest,
+    "op2_suffix_dedup": repeats.op2_suffix_dedup,
     "op3_packing": packing.op3_packing,
     "op4_licenses": licenses.op4_licenses,
     "op5_fingerprints": fingerprint.op5_fingerprints,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_quality": quality.op10_quality,
