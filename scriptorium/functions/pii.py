@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The patterns that decide what counts as personal data.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
@@ -14,7 +15,7 @@ PHONE = r"(?<!\d)(?:\+?\d{1,3}[-\s]?)?(?:\d[-\s]?){7,12}\d(?!\d)"
 ID_NUMBER = r"(?<!\d)\d{9,16}(?!\d)"
 RULES = {"EMAIL": EMAIL, "PHONE": PHONE, "ID_NUMBER": ID_NUMBER}
 _COMPILED = [(k, re.compile(v)) for k, v in RULES.items()]
-SPAN = "array<struct<start:int,end:int,type:string>>"
+SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("type", T.StringType())]))
 
 
 def spans(text: str) -> list[tuple[int, int, str]]:
@@ -40,7 +41,7 @@ def detect(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [{"start": s, "end": e, "type": k} for s, e, k in spans(t or "")])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def redact(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else redacted(t))
 

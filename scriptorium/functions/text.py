@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space as Python's str.split sees it.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -14,7 +15,7 @@ SPACE = r"(?U)[\s\x1c-\x1f]+"
 CLOSING = r"""[।,;:.!?…—\-"'“”‘’)\]]"""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode form C; there is no built-in for it."""
     return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
@@ -57,9 +58,9 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance over tokens: every distinct token of both becomes one private character, then levenshtein."""
+    """Edit distance over tokens: every distinct token of both (some 40,000 at most) becomes one character, then levenshtein."""
     both = F.array_distinct(F.concat(a, b))
-    coded = lambda x: F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, t) + 0x4E00), 8, "0")), "UTF-32BE")), "")
+    coded = lambda x: F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, t) + 0x3400), 4, "0")), "UTF-16BE")), "")
     return F.levenshtein(coded(a), coded(b))
 
 

@@ -8,39 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import cer
+from ..functions.text import similarity
 
 
-def edit_distance(a, b) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        diagonal, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diagonal + (x != y))
-    return row[-1]
-
-
-def similar(a: str, b: str) -> float:
-    return 1 - edit_distance(a, b) / max(len(a), len(b), 1)
-
-
-def align(hyp: list[str], ref: list[str], config: Config = DEFAULT) -> list[int | None] | None:
+def align(n_hyp: int, n_ref: int, sim: np.ndarray | None, config: Config = DEFAULT) -> list[int | None] | None:
     """Reference line of each line; None if the counts differ too much. Equal counts pair by position.
 
     Otherwise the pairing of highest total similarity with free gaps; ties prefer a pair, then skipping a line, then
-    skipping a reference line. Pairs below the least similarity are dropped.
+    skipping a reference line. Pairs below the least similarity are dropped. sim: (n_hyp, n_ref).
     """
-    if len(hyp) == len(ref):
-        return list(range(len(hyp)))
-    if abs(len(hyp) - len(ref)) > config.max_line_diff:
+    if n_hyp == n_ref:
+        return list(range(n_hyp))
+    if abs(n_hyp - n_ref) > config.max_line_diff:
         return None
-    sim = np.array([[similar(h, r) for r in ref] for h in hyp]).reshape(len(hyp), len(ref))
-    best = np.zeros((len(hyp) + 1, len(ref) + 1))
-    for i in range(1, len(hyp) + 1):
-        for j in range(1, len(ref) + 1):
+    best = np.zeros((n_hyp + 1, n_ref + 1))
+    for i in range(1, n_hyp + 1):
+        for j in range(1, n_ref + 1):
             best[i, j] = max(best[i - 1, j - 1] + sim[i - 1, j - 1], best[i - 1, j], best[i, j - 1])
-    out: list[int | None] = [None] * len(hyp)
-    i, j = len(hyp), len(ref)
+    out: list[int | None] = [None] * n_hyp
+    i, j = n_hyp, n_ref
     while i and j:
         if best[i, j] == best[i - 1, j - 1] + sim[i - 1, j - 1]:
             i, j = i - 1, j - 1
@@ -53,19 +39,25 @@ def align(hyp: list[str], ref: list[str], config: Config = DEFAULT) -> list[int
 
 
 def align_pages(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """pages: page_id, hyp, ref (arrays of lines). (page_id, idx, ref_idx, aligned); a page is one unit of work."""
+    """pages: page_id, hyp, ref (arrays of lines). (page_id, idx, ref_idx, aligned); a page is one unit of work.
+
+    Similarities are computed by the JVM, and only where a back-trace needs them; Python traces the pairing.
+    """
+    n, m = F.size("hyp"), F.coalesce(F.size("ref"), F.lit(-1))
+    pairs = F.transform("hyp", lambda h: F.transform("ref", lambda r: similarity(h, r)))
+    rows = pages.select("page_id", n.alias("n"), m.alias("m"), F.when((n != m) & (m >= 0) & (F.abs(n - m) <= config.max_line_diff), F.flatten(pairs)).alias("sim"))
 
     def run(batches):
         for b in batches:
-            rows = []
-            for page, hyp, ref in zip(b["page_id"], b["hyp"], b["ref"]):
-                got = align(list(hyp), list(ref), config) if ref is not None else None
-                rows += [(page, i, None if got is None else got[i], got is not None) for i in range(len(hyp))]
-            out = pd.DataFrame(rows, columns=["page_id", "idx", "ref_idx", "aligned"])
+            out = []
+            for page, n, m, sim in zip(b["page_id"], b["n"], b["m"], b["sim"]):
+                got = align(n, m, None if sim is None else np.asarray(sim).reshape(n, m), config) if m >= 0 else None
+                out += [(page, i, None if got is None else got[i], got is not None) for i in range(n)]
+            out = pd.DataFrame(out, columns=["page_id", "idx", "ref_idx", "aligned"])
             out["ref_idx"] = out["ref_idx"].astype("Int64")
             yield out
 
-    return pages.select("page_id", "hyp", "ref").mapInPandas(run, "page_id string, idx int, ref_idx int, aligned boolean")
+    return rows.mapInPandas(run, "page_id string, idx int, ref_idx int, aligned boolean")
 
 
 def decide(norm: Column, gold: Column, ref: Column, aligned: Column, known: Column, config: Config = DEFAULT) -> Column:
@@ -85,6 +77,3 @@ def decide(norm: Column, gold: Column, ref: Column, aligned: Column, known: Colu
 
 def ocr_config(config: Config = DEFAULT) -> str:
     return f"--oem {config.ocr_oem} --psm {config.line_psm} -l {config.ocr_lang}"
-
-
-__all__ = ["align", "align_pages", "cer", "decide", "edit_distance", "ocr_config", "similar"]

@@ -15,8 +15,8 @@ def recall_at_k(found: Column, gold: Column, k: int) -> Column:
 def token_f1(hyp: Column, ref: Column) -> Column:
     """F1 of token multisets."""
     h, r = tokens(hyp), tokens(ref)
-    number = lambda a, x: F.size(F.filter(a, lambda y: y == x))
-    common = F.aggregate(F.transform(F.array_distinct(h), lambda x: F.least(number(h, x), number(r, x))), F.lit(0), lambda s, x: s + x)
+    number = lambda a, x: F.size(a) - F.size(F.array_remove(a, x))
+    common = F.aggregate(F.transform(F.array_intersect(h, r), lambda x: F.least(number(h, x), number(r, x))), F.lit(0), lambda s, x: s + x)
     return F.coalesce(F.try_divide(2 * common, F.size(h) + F.size(r)), F.lit(0.0))
 
 

@@ -1,3 +1,513 @@
-"""Named queries and their SQL."""
-QUERIES = {}
-ORACLE_SQL = {}
+"""Named queries over the test tables and DuckDB SQL for the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..config import DEFAULT
+from ..functions import pii, text
+from ..operators import chunks, gate, governance, layout, metrics, retrieval
+from ..sources import readers
+from ..streaming import streams
+from .bridge import LINES, PAIRS, WORDS, lines, ref_pairs, table, words
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_WINDOWS = LINES + r""",
+    t0 AS (SELECT doc_id, line_idx, page_id, chunk_id, conf, tier, string_split(text, ' ') AS ws FROM lines),
+    t1 AS (SELECT doc_id, line_idx, page_id, chunk_id, conf, tier, unnest(range(len(ws))) AS j, unnest(ws) AS tok FROM t0),
+    t2 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_idx, j) - 1 AS pos FROM t1),
+    n AS (SELECT doc_id, count(*) AS n FROM t2 GROUP BY 1),
+    i AS (SELECT doc_id, unnest(range(CAST(ceil(greatest(n - 256, 0) / 224.0) AS BIGINT) + 1)) AS i FROM n),
+    m AS (SELECT i.i, t2.* FROM i JOIN t2 ON i.doc_id = t2.doc_id AND pos >= i.i * 224 AND pos < i.i * 224 + 256),
+    src AS (SELECT DISTINCT doc_id, i, page_id, chunk_id, conf, tier FROM m),
+    agg AS (SELECT doc_id, i, string_agg(DISTINCT page_id, ',' ORDER BY page_id) AS page_ids, string_agg(DISTINCT chunk_id, ',' ORDER BY chunk_id) AS source_line_ids, round(avg(conf), 9) AS ocr_confidence,
+      CASE WHEN bool_and(tier = 'gold') THEN 'gold' ELSE 'silver' END AS tier FROM src GROUP BY 1, 2),
+    txt AS (SELECT doc_id, i, md5(string_agg(tok, ' ' ORDER BY pos)) AS text_md5, count(*) AS n_tokens FROM m GROUP BY 1, 2),
+    windows AS (SELECT printf('%d_c%05d', doc_id, i) AS chunk_id, doc_id, n_tokens, text_md5, page_ids, source_line_ids, ocr_confidence, tier FROM agg JOIN txt USING (doc_id, i))"""
+
+
+def _windows(s, d):
+    return chunks.windows(lines(s, d))
+
+
+@query(f"WITH {_WINDOWS} SELECT * FROM windows")
+def chunk_windows(s, d):
+    w = _windows(s, d)
+    return w.select("chunk_id", "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.md5("text").alias("text_md5"), F.array_join("page_ids", ",").alias("page_ids"), F.array_join("source_line_ids", ",").alias("source_line_ids"), F.round("ocr_confidence", 9).alias("ocr_confidence"), "tier")
+
+
+@query(f"WITH {_WINDOWS} SELECT doc_id, tier, count(*) AS n_chunks, sum(n_tokens)::BIGINT AS n_tokens FROM windows GROUP BY ALL")
+def chunk_stats(s, d):
+    return _windows(s, d).groupBy("doc_id", "tier").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").cast("long").alias("n_tokens"))
+
+
+@query(f"WITH {LINES} SELECT doc_id, line_idx, page_id, md5(nfc_normalize(text)) AS text_md5 FROM lines")
+def normalize_lines(s, d):
+    return lines(s, d).select("doc_id", F.col("line_idx").cast("long").alias("line_idx"), "page_id", F.md5(text.normalized(F.col("text"))).alias("text_md5"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '[\s\p{Z}]+'), lambda x: x <> '')) AS BIGINT) AS n_words FROM documents")
+def word_count_by_doc(s, d):
+    return table(s, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("n_words"))
+
+
+@query(r"""WITH w AS (SELECT count(DISTINCT doc_id) AS n_docs, sum(len(list_filter(string_split_regex(text, '[\s\p{Z}]+'), lambda x: x <> '')))::BIGINT AS n_words FROM documents), p AS (SELECT count(*) AS n_pages FROM pages)
+    SELECT n_docs, n_pages, n_words, n_words >= 60000 AS words_ok, n_pages >= 300 AS pages_ok, n_docs >= 1 AS docs_ok FROM w, p""")
+def corpus_validate(s, d):
+    return governance.validate(table(s, d, "documents"), table(s, d, "pages"))
+
+
+_PATH = r"regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
+
+
+@query(rf"SELECT page_id, string_split({_PATH}, '/')[1] AS doc_id, coalesce(try_cast(nullif(regexp_extract({_PATH}, '(\d+)\D*$', 1), '') AS INTEGER), -1) AS page_num FROM pages")
+def page_id_parse(s, d):
+    rel = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return table(s, d, "pages").select("page_id", text.doc_of_path(F.concat(rel, F.lit("/"))).alias("doc_id"), F.coalesce(text.last_number(rel), F.lit(-1)).alias("page_num"))
+
+
+@query(rf"SELECT string_split({_PATH}, '/')[1] AS doc_id, count(*) AS n_pages, min(page_id) AS first_page FROM pages GROUP BY 1")
+def page_doc_counts(s, d):
+    rel = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return table(s, d, "pages").groupBy(text.doc_of_path(F.concat(rel, F.lit("/"))).alias("doc_id")).agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
+
+
+_RANGES = [("arogya", 37, 120), ("chitrangada", 121, 152), ("chandalika", 153, 208), ("tin_sangi", 209, 328), ("bishwaparichay", 329, 432)]
+
+
+@query(f"SELECT work, count(*) AS n_pages, min(page_id) AS first_page, max(page_id) AS last_page FROM pages JOIN (VALUES {', '.join(map(str, _RANGES))}) r(work, a, b) ON page_id BETWEEN a AND b GROUP BY 1")
+def work_ranges(s, d):
+    ranges = s.createDataFrame(_RANGES, "work string, start int, end int")
+    pages = table(s, d, "pages").select("page_id", F.col("page_id").alias("page_num"))
+    return governance.assign_ranges(pages, ranges).groupBy("work").agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"), F.max("page_id").alias("last_page"))
+
+
+_LINED = WORDS + """,
+    l0 AS (SELECT page_id, block_num, par_num, line_num, min("left") AS x0, min(top) AS y0, max("left" + width) AS x1, max(top + height) AS y1, coalesce(avg(conf) FILTER (WHERE conf >= 0) / 100, 0.0) AS mean_conf, min(word_idx) AS first_seen FROM words WHERE trim(text) <> '' GROUP BY 1, 2, 3, 4),
+    lined AS (SELECT *, y1 - y0 AS h, x1 - x0 AS w FROM l0 WHERE mean_conf >= 0.5 AND y1 - y0 >= 8 AND (y1 - y0) * (x1 - x0) >= 40)"""
+
+
+@query(f"WITH {_LINED} SELECT page_id, par_num::BIGINT AS par_num, line_num::BIGINT AS line_num, x0::BIGINT AS x0, y0::BIGINT AS y0, x1::BIGINT AS x1, y1::BIGINT AS y1, round(mean_conf, 9) AS mean_conf FROM lined")
+def words_to_lines(s, d):
+    return layout.to_lines(words(s, d)).select("page_id", *(F.col(c).cast("long").alias(c) for c in ("par_num", "line_num", "x0", "y0", "x1", "y1")), F.round("mean_conf", 9).alias("mean_conf"))
+
+
+@query(f"WITH {_LINED} SELECT page_id, greatest(5.0, 0.4 * list_sort(list(h))[len(list(h)) // 2 + 1])::DOUBLE AS tolerance FROM lined GROUP BY 1")
+def line_height_tolerance(s, d):
+    return layout.to_lines(words(s, d)).groupBy("page_id").agg(F.collect_list("h").alias("hs")).select("page_id", F.round(layout.tolerance(F.col("hs")), 9).alias("tolerance"))
+
+
+@query(f"""WITH RECURSIVE {_LINED},
+    tol AS (SELECT page_id, greatest(5.0, 0.4 * list_sort(list(h))[len(list(h)) // 2 + 1]) AS tol FROM lined GROUP BY 1),
+    o AS (SELECT l.*, (y0 + y1) / 2.0 AS cy, tol, row_number() OVER (PARTITION BY page_id ORDER BY (y0 + y1) / 2.0, first_seen) AS k FROM lined l JOIN tol USING (page_id)),
+    r AS (SELECT page_id, k, cy AS ref, 0 AS band FROM o WHERE k = 1 UNION ALL
+      SELECT o.page_id, o.k, CASE WHEN abs(o.cy - r.ref) > o.tol THEN o.cy ELSE r.ref END, CASE WHEN abs(o.cy - r.ref) > o.tol THEN r.band + 1 ELSE r.band END FROM r JOIN o ON o.page_id = r.page_id AND o.k = r.k + 1),
+    z AS (SELECT o.page_id, line_num, band, row_number() OVER (PARTITION BY o.page_id ORDER BY band, x0, cy, first_seen) - 1 AS idx FROM o JOIN r ON o.page_id = r.page_id AND o.k = r.k)
+    SELECT page_id, line_num::BIGINT AS line_num, band::BIGINT AS band, printf('%s_r%03d', page_id, idx) AS region_id FROM z""")
+def reading_order(s, d):
+    return layout.reading_order(layout.to_lines(words(s, d))).select("page_id", F.col("line_num").cast("long").alias("line_num"), F.col("band").cast("long").alias("band"), "region_id")
+
+
+@query(f"WITH {LINES}, r AS (SELECT chunk_id AS region_id, line_idx, length(text) AS b, doc_id FROM lines) SELECT region_id, line_idx % 5 <> 0 AND doc_id % 7 <> 0 AS ok FROM r")
+def layout_provenance(s, d):
+    rows = lines(s, d).select(F.col("chunk_id").alias("region_id"), F.array(F.lit(0), F.col("line_idx"), F.length("text"), F.lit(20)).alias("bbox"), "line_idx", "doc_id")
+    known = rows.filter("line_idx % 5 <> 0").select("region_id", F.when(F.col("doc_id") % 7 == 0, F.array(F.lit(9999), F.lit(9999), F.lit(5), F.lit(5))).otherwise(F.col("bbox")).alias("bbox"))
+    return layout.provenance(rows, known).select("region_id", "ok")
+
+
+@query(f"WITH {PAIRS} SELECT md5(hyp) AS hyp, md5(ref) AS ref, dist::BIGINT AS dist, round(dist / length(ref), 9) AS cer, round(1 - dist / greatest(length(hyp), length(ref), 1), 9) AS similarity FROM pairs")
+def cer_pairs(s, d):
+    h, r = F.col("hyp"), F.col("ref")
+    return ref_pairs(s, d).select(F.md5(h).alias("hyp"), F.md5(r).alias("ref"), F.levenshtein(h, r).cast("long").alias("dist"), F.round(text.cer(h, r), 9).alias("cer"), F.round(text.similarity(h, r), 9).alias("similarity"))
+
+
+_GATE = PAIRS + """,
+    g AS (SELECT *, length(hyp) % 11 <> 0 AS known, CASE WHEN length(ref) % 5 = 0 THEN hyp END AS gold, length(ref) % 7 <> 0 AS aligned FROM pairs),
+    gated AS (SELECT md5(hyp) AS hyp, md5(ref) AS ref, CASE WHEN NOT known OR length(hyp) < 30 THEN 'raw' WHEN gold = hyp THEN 'gold' WHEN NOT aligned THEN 'raw' WHEN dist / length(ref) <= 0.15 THEN 'silver' ELSE 'raw' END AS tier,
+      CASE WHEN NOT known THEN 'layout_provenance_mismatch' WHEN length(hyp) < 30 THEN 'REJECT_TOO_SHORT' WHEN gold = hyp THEN 'none' WHEN NOT aligned THEN 'reference_alignment_failed' WHEN dist / length(ref) <= 0.15 THEN 'none' ELSE 'cer_above_threshold' END AS reason,
+      round(CASE WHEN NOT known OR length(hyp) < 30 THEN -1 WHEN gold = hyp THEN 0 WHEN NOT aligned THEN -1 ELSE dist / length(ref) END, 9) AS cer FROM g)"""
+
+
+def _gated(s, d):
+    from dataclasses import replace
+
+    p = ref_pairs(s, d).withColumn("gold", F.when(F.length("ref") % 5 == 0, F.col("hyp")))
+    got = gate.decide(F.col("hyp"), F.col("gold"), F.col("ref"), F.length("ref") % 7 != 0, F.length("hyp") % 11 != 0, replace(DEFAULT, min_line_chars=30))
+    return p.withColumn("g", got).select(F.md5("hyp").alias("hyp"), F.md5("ref").alias("ref"), "g.tier", "g.accepted", F.coalesce("g.reason", F.lit("none")).alias("reason"), F.round(F.coalesce("g.cer", F.lit(-1.0)), 9).alias("cer"))
+
+
+@query(f"WITH {_GATE} SELECT * FROM gated")
+def cer_gate_tiers(s, d):
+    return _gated(s, d).drop("accepted")
+
+
+@query(f"WITH {_GATE} SELECT reason, count(*) AS n FROM gated GROUP BY 1")
+def reject_reason_counts(s, d):
+    return _gated(s, d).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_GATE} SELECT tier, count(*) AS n, round(avg(cer) FILTER (WHERE tier <> 'raw'), 9) AS mean_cer FROM gated GROUP BY 1")
+def tier_summary(s, d):
+    return _gated(s, d).groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg(F.when(F.col("accepted"), F.col("cer"))), 9).alias("mean_cer"))
+
+
+@query(f"WITH {_GATE} SELECT round(100.0 * count(*) FILTER (WHERE tier <> 'raw') / count(*), 9) AS accept_pct, count(*) AS n FROM gated")
+def accept_rate(s, d):
+    return _gated(s, d).agg(F.round(100 * F.count_if("accepted") / F.count("*"), 9).alias("accept_pct"), F.count("*").alias("n"))
+
+
+@query(f"WITH {PAIRS} SELECT md5(hyp) AS hyp, md5(ref) AS ref, round(dist / length(ref), 9) AS cer FROM pairs ORDER BY dist / length(ref) DESC, hyp, ref LIMIT 5")
+def worst_cer(s, d):
+    p = ref_pairs(s, d).withColumn("cer", text.cer(F.col("hyp"), F.col("ref")))
+    return p.orderBy(F.desc("cer"), "hyp", "ref").limit(5).select(F.md5("hyp").alias("hyp"), F.md5("ref").alias("ref"), F.round("cer", 9).alias("cer"))
+
+
+@query()
+def wer_pairs(s, d):
+    h, r = text.wer_tokens(F.col("hyp")), text.wer_tokens(F.col("ref"))
+    return ref_pairs(s, d).select(F.md5("hyp").alias("hyp"), F.md5("ref").alias("ref"), F.round(text.word_distance(h, r) / F.size(r), 9).alias("wer"))
+
+
+@query()
+def line_alignment(s, d):
+    rows = lines(s, d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "text"))).alias("l"))
+    pages = rows.select("page_id", F.transform("l", lambda x: x["text"]).alias("hyp"), F.transform(F.filter("l", lambda x: x["line_idx"] % 4 != 3), lambda x: x["text"]).alias("ref"))
+    return gate.align_pages(pages)
+
+
+@query("SELECT doc_id, arg_max(quality, o) AS quality, max(o) AS o FROM (SELECT doc_id % 50 AS doc_id, quality, doc_id AS o FROM labels) GROUP BY 1")
+def gold_last_wins(s, d):
+    rows = table(s, d, "labels").select((F.col("doc_id") % 50).alias("k"), "quality", F.col("doc_id").alias("o"), F.col("doc_id").alias("n"))
+    return readers.last_wins(rows, "k", "n").select(F.col("k").alias("doc_id"), "quality", "o")
+
+
+@query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) AS BIGINT) AS n_email FROM documents")
+def pii_counts(s, d):
+    return table(s, d, "documents").select("doc_id", F.regexp_count("text", F.lit(pii.EMAIL)).cast("long").alias("n_email"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED_EMAIL]', 'g')) AS text_md5 FROM documents")
+def pii_redact_email(s, d):
+    return table(s, d, "documents").select("doc_id", F.md5(pii.redact_email(F.col("text"))).alias("text_md5"))
+
+
+@query(r"SELECT doc_id, CAST(len(list_filter(list_transform(regexp_extract_all(text, '\+?\p{Nd}(?:[-\s]?\p{Nd})*'), lambda r: regexp_replace(r, '[^\p{Nd}]', '', 'g')), lambda r: length(r) BETWEEN 8 AND 16)) AS BIGINT) AS n_runs FROM documents")
+def pii_phone_runs(s, d):
+    return table(s, d, "documents").select("doc_id", F.size(pii.phone_like(F.col("text"))).cast("long").alias("n_runs"))
+
+
+@query()
+def pii_spans(s, d):
+    return table(s, d, "documents").select("doc_id", F.explode(pii.detect("text")).alias("x")).select("doc_id", "x.start", "x.end", "x.type")
+
+
+@query("SELECT substring(sha256(string_agg(sha256(text), '' ORDER BY doc_id)), 1, 16) AS version_id, count(*) AS n_files FROM documents")
+def corpus_snapshot(s, d):
+    return governance.snapshot(table(s, d, "documents").select(F.format_string("%012d", "doc_id").alias("path"), F.col("text").cast("binary").alias("content")))
+
+
+@query(f"WITH {_WINDOWS} SELECT chunk_id, CASE WHEN doc_id % 3 = 0 THEN 0.0 ELSE ocr_confidence END AS ocr_confidence, CASE WHEN doc_id % 3 = 0 THEN 'silver' ELSE tier END AS tier FROM windows")
+def chunk_meta_join(s, d):
+    w = _windows(s, d)
+    meta = w.filter("doc_id % 3 <> 0").select("chunk_id", F.round("ocr_confidence", 9).alias("ocr_confidence"), "tier")
+    return chunks.with_meta(w.select("chunk_id"), meta)
+
+
+_TOP = """sc AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, q.label AS q_label, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND q.vec_id <> v.vec_id),
+    top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc)"""
+
+
+def _top(s, d, k):
+    v = table(s, d, "embeddings")
+    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return retrieval.top_k(q, v, k, skip_self=True)
+
+
+@query(f"WITH {_TOP} SELECT query_id, rank, vec_id, score FROM top WHERE rank <= 10")
+def vector_topk(s, d):
+    return _top(s, d, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT vec_id AS query_id, vec_id, 1.0::DOUBLE AS score FROM embeddings WHERE vec_id < 20")
+def vector_self_nn(s, d):
+    v = table(s, d, "embeddings")
+    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return retrieval.top_k(q, v, 1).select("query_id", "vec_id", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {_TOP} SELECT query_id, round(max(score), 5) AS top_score, max(score) < 0.35 AS weak FROM top GROUP BY 1")
+def weak_evidence(s, d):
+    t = _top(s, d, 10).groupBy("query_id").agg(F.max(F.round("score", 6)).alias("m"))
+    return t.select("query_id", F.round("m", 5).alias("top_score"), retrieval.is_weak(F.col("m")).alias("weak"))
+
+
+@query(f"""WITH {_TOP}, e AS (SELECT query_id, rank, ((query_id * 31 + vec_id * 17) % 40) / 100.0 AS ev FROM top WHERE rank <= 40),
+    b AS (SELECT query_id, max(ev) FILTER (WHERE rank <= 10) AS t10, max(ev) FILTER (WHERE rank <= 20) AS t20, max(ev) FILTER (WHERE rank <= 30) AS t30, max(ev) FILTER (WHERE rank <= 40) AS t40 FROM e GROUP BY 1)
+    SELECT query_id, CASE WHEN t10 >= 0.35 THEN 10 WHEN t20 >= 0.35 THEN 20 WHEN t30 >= 0.35 THEN 30 WHEN t40 >= 0.35 THEN 40 END AS k_used, coalesce(t40, 0) < 0.35 AS abstained FROM b""")
+def widening_trajectory(s, d):
+    r = _top(s, d, 40).withColumn("evidence", ((F.col("query_id") * 31 + F.col("vec_id") * 17) % 40) / 100)
+    return retrieval.trajectory(r).select("query_id", "k_used", "abstained")
+
+
+@query(f"""WITH {_TOP}, g AS (SELECT q.vec_id AS query_id, count(*) AS n FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id < 20 GROUP BY 1)
+    SELECT query_id, round(count(*) FILTER (WHERE rank <= 10 AND label = q_label) / any_value(n), 9) AS recall FROM top JOIN g USING (query_id) GROUP BY 1""")
+def recall_at_k(s, d):
+    v = table(s, d, "embeddings").select("vec_id", "label")
+    found = _top(s, d, 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("found"))
+    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    gold = v.join(F.broadcast(q), "label").filter("vec_id <> query_id").groupBy("query_id").agg(F.collect_list("vec_id").alias("gold"))
+    return found.join(gold, "query_id").select("query_id", F.round(metrics.recall_at_k(F.col("found"), F.col("gold"), 10), 9).alias("recall"))
+
+
+@query()
+def ann_cells_topk(s, d):
+    v = table(s, d, "embeddings")
+    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return retrieval.cell_top_k(q, v, 10)
+
+
+@query()
+def self_retrieval_sweep(s, d):
+    from dataclasses import replace
+
+    config = replace(DEFAULT, dim=128)
+    w = retrieval.encode(_windows(s, d).filter("doc_id < 200").select(F.xxhash64("chunk_id").alias("vec_id"), "text"), config)
+    q = w.select("vec_id", "text", F.explode(F.array(*map(F.lit, (5, 15, 30)))).alias("n")).select("vec_id", "n", F.expr("array_join(slice(split(text, ' '), 1, n), ' ')").alias("text"))
+    q = retrieval.encode(q, config).select((F.xxhash64("vec_id", "n")).alias("query_id"), "vec_id", "n", F.col("embedding").alias("q"))
+    hit = retrieval.top_k(q.select("query_id", "q"), w, 1).select("query_id", F.col("vec_id").alias("got"))
+    return q.join(hit, "query_id").groupBy("n").agg(F.round(F.avg((F.col("got") == F.col("vec_id")).cast("double")), 6).alias("hit_rate"), F.count("*").alias("queries"))
+
+
+_CAL = "c AS (SELECT doc_id, quality, toxic, ((doc_id * 37) % 100) / 100.0 AS conf FROM labels)"
+
+
+def _cal(s, d):
+    return table(s, d, "labels").withColumn("conf", ((F.col("doc_id") * 37) % 100) / 100)
+
+
+@query(f"WITH {_CAL}, b AS (SELECT least(floor(conf * 10), 9) AS bin, count(*) AS n, avg(conf) AS c, avg(quality) AS a FROM c GROUP BY 1) SELECT round(sum(n * abs(a - c)) / sum(n), 9) AS ece, sum(n)::BIGINT AS n FROM b")
+def ece(s, d):
+    return metrics.ece(_cal(s, d), "conf", "quality")
+
+
+@query(f"""WITH {_CAL}, p AS (SELECT quality::DOUBLE AS y, ln(greatest(least(conf, 0.999999), 0.000001) / (1 - greatest(least(conf, 0.999999), 0.000001))) AS z FROM c), t AS (SELECT unnest(range(1, 21)) / 4.0 AS t),
+    n AS (SELECT t, round(avg(-(y * ln(1 / (1 + exp(-z / t))) + (1 - y) * ln(1 - 1 / (1 + exp(-z / t))))), 9) AS nll FROM p, t GROUP BY 1) SELECT t::DOUBLE AS temperature, nll FROM n ORDER BY nll, t LIMIT 1""")
+def temperature_scale(s, d):
+    return metrics.temperature(_cal(s, d), "conf", "quality")
+
+
+@query("WITH m AS (SELECT lang, avg(quality) AS m FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT round(max(m) - min(m), 9) AS gap, count(*) AS groups FROM m")
+def subgroup_gap(s, d):
+    return metrics.subgroup_gap(table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "lang"), "doc_id"), "lang", "quality")
+
+
+@query("WITH m AS (SELECT source, avg(quality) AS m FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT source, round(m, 9) AS metric, round(m - (SELECT m FROM m WHERE source = 'src0'), 9) AS delta FROM m")
+def ablation_deltas(s, d):
+    return metrics.drop_against(table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source"), "doc_id"), "source", "quality", "src0")
+
+
+_Q = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM benchmark WHERE item_id < 10"
+
+
+def _asked(s, d):
+    return table(s, d, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
+
+
+_BM = rf"""q AS ({_Q}), dt AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\s\p{{Z}}]+'), lambda x: x <> '') AS t FROM documents),
+    st AS (SELECT count(*) AS n, avg(len(t)) AS al FROM dt), qt AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(lower(text), '[\s\p{{Z}}]+'), lambda x: x <> '')) AS term FROM q),
+    ex AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM dt), tf AS (SELECT doc_id, l, term, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+    bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM sc)"""
+
+
+@query(f"WITH {_BM} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM bm WHERE rank <= 10")
+def bm25_topk(s, d):
+    return retrieval.bm25(table(s, d, "documents"), _asked(s, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 4).alias("score"))
+
+
+def _overlap(s, d, k=10):
+    docs = table(s, d, "documents").select("doc_id", "text")
+    hits = retrieval.bm25(docs, _asked(s, d), k)
+    met = hits.join(docs, "doc_id").join(_asked(s, d).withColumnRenamed("text", "asked"), "query_id").withColumn("overlap", F.round(retrieval.overlap_score(F.col("asked"), F.col("text")), 9))
+    return met.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank")))
+
+
+_OV = rf"""{_BM}, qa AS (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(text), '[\s\p{{Z}}]+'), lambda x: x <> '')) AS a FROM q),
+    ov AS (SELECT query_id, doc_id, rank, round(len(list_intersect(a, t)) / len(a), 9) AS overlap FROM bm JOIN dt USING (doc_id) JOIN qa USING (query_id) WHERE rank <= 10),
+    rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, rank) AS new_rank FROM ov)"""
+
+
+@query(f"WITH {_OV} SELECT query_id, doc_id, new_rank, overlap FROM rr")
+def rerank_overlap(s, d):
+    return _overlap(s, d).select("query_id", "doc_id", F.col("new_rank").cast("long").alias("new_rank"), "overlap")
+
+
+@query(f"WITH {_OV} SELECT query_id, doc_id, round(1.0 / (60 + rank) + 1.0 / (60 + new_rank), 9) AS score FROM rr")
+def hybrid_rrf(s, d):
+    r = _overlap(s, d)
+    return retrieval.fuse(r.select("query_id", "doc_id", "rank"), r.select("query_id", "doc_id", F.col("new_rank").alias("rank"))).select("query_id", "doc_id", "score")
+
+
+@query("SELECT conv_id, turn, count(*) OVER w AS steps, regexp_matches(text, '(?i)ignore (all|any|previous|the above)|disregard .{0,20}instructions|system prompt') AS injected, turn - min(turn) OVER (PARTITION BY conv_id) + 1 = row_number() OVER w AS gapless FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)")
+def trace_audit(s, d):
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.min("turn").over(Window.partitionBy("conv_id"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.count("*").over(w).alias("steps"), F.col("text").rlike(governance.INJECTION).alias("injected"), (F.col("turn") - first + 1 == F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))).alias("gapless"))
+
+
+@query("SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS total, round(avg(n_chars), 9) AS mean, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY 1")
+def tool_aggregate(s, d):
+    a = lambda op: governance.aggregate(op, F.col("n_chars"))
+    return table(s, d, "documents").groupBy("lang").agg(a("count").alias("n"), a("sum").cast("long").alias("total"), F.round(a("avg"), 9).alias("mean"), a("min").alias("least"), a("max").alias("most"))
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN (doc_id + n_chars)::DOUBLE WHEN 1 THEN (doc_id - n_chars)::DOUBLE WHEN 2 THEN (doc_id * n_chars)::DOUBLE ELSE round(doc_id / nullif(n_chars, 0), 9) END AS value FROM documents")
+def tool_calculator(s, d):
+    op = F.element_at(F.array(*map(F.lit, "+-*/")), (F.col("doc_id") % 4 + 1).cast("int"))
+    return table(s, d, "documents").select("doc_id", F.round(governance.calculate(F.concat_ws(" ", F.col("doc_id").cast("string"), op, F.col("n_chars").cast("string"))), 9).alias("value"))
+
+
+@query("SELECT doc_id, substring(text, (doc_id % 20)::INT + 1, 30) AS span FROM documents")
+def tool_cite(s, d):
+    a = (F.col("doc_id") % 20).cast("int")
+    return table(s, d, "documents").select("doc_id", governance.cite(F.col("text"), a, a + 30).alias("span"))
+
+
+@query(r"SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1), '') AS email FROM documents")
+def tool_extract(s, d):
+    return table(s, d, "documents").select("doc_id", F.nullif(F.regexp_extract("text", f"({pii.EMAIL})", 1), F.lit("")).alias("email"))
+
+
+@query(f"WITH {LINES} SELECT page_id, md5(string_agg(text, chr(10) ORDER BY line_idx)) AS text_md5, count(*) AS n_lines FROM lines GROUP BY 1")
+def tool_read_page(s, d):
+    page = lines(s, d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "text"))).alias("l"), F.count("*").alias("n_lines"))
+    return page.select("page_id", F.md5(F.array_join(F.transform("l", lambda x: x["text"]), "\n")).alias("text_md5"), "n_lines")
+
+
+@query("SELECT DISTINCT doc_id, CASE WHEN (doc_id * 7919 + 104729) % 100 < 15 THEN 'test' WHEN (doc_id * 7919 + 104729) % 100 < 35 THEN 'val' ELSE 'train' END AS part FROM documents")
+def doc_split(s, d):
+    return table(s, d, "documents").select("doc_id").distinct().select("doc_id", governance.split(F.col("doc_id")).alias("part"))
+
+
+@query("WITH p AS (SELECT md5(text) AS t, CASE WHEN (doc_id * 7919 + 104729) % 100 < 15 THEN 'test' WHEN (doc_id * 7919 + 104729) % 100 < 35 THEN 'val' ELSE 'train' END AS part FROM documents) SELECT t, count(*) AS n FROM p GROUP BY 1 HAVING count(DISTINCT part) > 1")
+def leakage_check(s, d):
+    p = table(s, d, "documents").select(F.md5("text").alias("t"), governance.split(F.col("doc_id")).alias("part"))
+    return p.groupBy("t").agg(F.count("*").alias("n"), F.countDistinct("part").alias("p")).filter("p > 1").select("t", "n")
+
+
+@query("SELECT event_id AS id, event_type FROM events e WHERE event_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM events r WHERE r.event_id = e.event_id AND r.event_id % 2 = 0)")
+def review_pending(s, d):
+    e = table(s, d, "events").select(F.col("event_id").alias("id"), "event_type")
+    return governance.pending(e.filter("id % 3 = 0"), e.filter("id % 2 = 0"))
+
+
+@query("SELECT c.turn, c.conv_id, c.text AS query, r.text AS note FROM conversations c JOIN (SELECT conv_id, max(turn) AS turn FROM conversations GROUP BY 1) m USING (conv_id) JOIN conversations r ON r.conv_id = c.conv_id AND r.turn = m.turn WHERE c.turn = 0")
+def memory_recall(s, d):
+    """The last note of each conversation beside its first turn."""
+    c = table(s, d, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    notes = c.join(last, "conv_id").filter("turn = last").select("conv_id", F.col("text").alias("note"))
+    return c.filter("turn = 0").join(notes, "conv_id").select("turn", "conv_id", F.col("text").alias("query"), "note")
+
+
+@query("SELECT doc_id, list_sort(list_distinct(list_filter([lang, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'deutsch' END, source], lambda x: x IS NOT NULL)))::VARCHAR AS terms FROM documents")
+def query_expand(s, d):
+    """Terms with their synonyms from a bounded table."""
+    known = s.createDataFrame([("en", "english"), ("de", "deutsch")], "lang string, more string")
+    rows = table(s, d, "documents").join(F.broadcast(known), "lang", "left")
+    terms = F.array_sort(F.array_distinct(F.array_compact(F.array("lang", "more", "source"))))
+    return rows.select("doc_id", F.concat(F.lit("["), F.array_join(terms, ", "), F.lit("]")).alias("terms"))
+
+
+@query(f"WITH {LINES}, a AS (SELECT DISTINCT doc_id AS answer_id FROM documents), k AS (SELECT a.answer_id, count(*) AS n_cited, count(*) FILTER (WHERE doc_id IS NOT NULL) AS n_known FROM (SELECT answer_id, 'doc' || answer_id || '_p0001_l00' || j AS c FROM a, range(3) r(j)) a LEFT JOIN lines ON c = chunk_id GROUP BY 1) SELECT answer_id, n_cited, n_known, n_cited > 0 AND n_cited = n_known AS grounded FROM k")
+def groundedness(s, d):
+    answers = table(s, d, "documents").select(F.col("doc_id").alias("answer_id")).distinct().withColumn("citations", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda j: F.concat(F.lit("doc"), F.col("answer_id"), F.lit("_p0001_l00"), j.cast("string"))))
+    return governance.grounded(answers, lines(s, d).select("chunk_id"))
+
+
+@query(f"WITH {_WINDOWS}, c AS (SELECT chunk_id, unnest(string_split(source_line_ids, ',')) AS l FROM windows WHERE doc_id < 50) SELECT c.chunk_id, count(*) AS n_lines, min(lines.page_id) AS first_page, round(min(conf), 9) AS least_conf FROM c JOIN lines ON l = lines.chunk_id GROUP BY 1")
+def citation_drillthrough(s, d):
+    cited = _windows(s, d).filter("doc_id < 50").select("chunk_id", F.explode("source_line_ids").alias("l"))
+    return cited.join(lines(s, d).select(F.col("chunk_id").alias("l"), "page_id", "conf"), "l").groupBy("chunk_id").agg(F.count("*").alias("n_lines"), F.min("page_id").alias("first_page"), F.round(F.min("conf"), 9).alias("least_conf"))
+
+
+@query(r"SELECT doc_id, CAST(lower(trim(regexp_replace(left(text, 200), '\s+', ' ', 'g'))) = lower(trim(regexp_replace(left(text, 200 - (doc_id % 2)::INT), '\s+', ' ', 'g'))) AS INTEGER) AS reward FROM documents")
+def verifiable_reward(s, d):
+    return table(s, d, "documents").select("doc_id", metrics.reward(F.left("text", F.lit(200)), F.expr("left(text, 200 - cast(doc_id % 2 as int))")).alias("reward"))
+
+
+@query(f"WITH {PAIRS}, t AS (SELECT hyp, ref, string_split(hyp, ' ') AS h, string_split(ref, ' ') AS r FROM pairs) SELECT md5(hyp) AS hyp, md5(ref) AS ref, round(2 * list_sum(list_transform(list_distinct(h), lambda x: least(len(list_filter(h, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))) / (len(h) + len(r)), 9) AS f1 FROM t")
+def ocr_f1(s, d):
+    scored = ref_pairs(s, d).withColumn("f1", F.round(metrics.token_f1(F.col("hyp"), F.col("ref")), 9))
+    return scored.select(F.md5("hyp").alias("hyp"), F.md5("ref").alias("ref"), "f1")
+
+
+@query("""WITH b AS (SELECT greatest(least(floor(value / 100 * 10), 9), 0) AS bin, count(*) FILTER (WHERE event_id % 2 = 0) AS a, count(*) FILTER (WHERE event_id % 2 = 1) AS b FROM events WHERE value IS NOT NULL GROUP BY 1),
+    t AS (SELECT greatest(a / (SELECT sum(a) FROM b), 1e-6) AS p, greatest(b / (SELECT sum(b) FROM b), 1e-6) AS q FROM b) SELECT round(sum((q - p) * ln(q / p)), 9) AS psi FROM t""")
+def drift_psi(s, d):
+    return metrics.psi(table(s, d, "events"), "value", F.col("event_id") % 2, 0.0, 100.0)
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, quantile_cont(value, 0.95) <= 300 AS ok FROM events GROUP BY 1")
+def latency_slo(s, d):
+    e = table(s, d, "events").groupBy("event_type").agg(F.percentile("value", 0.95).alias("p"))
+    return e.select("event_type", F.round("p", 6).alias("p95"), (F.col("p") <= 300).alias("ok"))
+
+
+@query("SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2")
+def rate_limit(s, d):
+    return table(s, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")).filter("n > 2")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, max(value) AS max_value FROM events GROUP BY 1, 2")
+def monitor_batch(s, d):
+    e = table(s, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"))
+    return e.select(F.col("w.start").alias("start"), "event_type", "n", "mean_value", "max_value")
+
+
+def _streamed(s, d, name):
+    schema = table(s, d, name).schema
+    return s.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d) if not d.startswith("viewfs") else s.readStream.schema(schema).parquet(f"{d}/{name}.parquet")
+
+
+@query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, max(value) AS max_value FROM events GROUP BY 1, 2")
+def stream_monitor(s, d):
+    import uuid
+
+    return streams.run_available(streams.monitor(_streamed(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))), f"monitor_{uuid.uuid4().hex}", "complete")
+
+
+@query("SELECT count(*) AS n_docs, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines FROM documents")
+def stream_ingest(s, d):
+    import uuid
+
+    rows = _streamed(s, d, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
+    got = streams.run_available(rows, f"ingest_{uuid.uuid4().hex}")
+    return got.agg(F.count("*").alias("n_docs"), F.sum("n").cast("long").alias("n_lines"))
+
+
+@query()
+def image_quality(s, d):
+    """Ink, brightness, contrast and edges of generated pages."""
+    from ..operators import images
+
+    ids = table(s, d, "pages").select("page_id")
+    return images.quality(ids.mapInPandas(lambda bs: (pd.DataFrame({"page_id": b["page_id"], "width": 64, "height": 48, "pixels": [np.random.default_rng(int(i)).integers(0, 256, 64 * 48, dtype=np.uint8).tobytes() for i in b["page_id"]]}) for b in bs), "page_id long, width int, height int, pixels binary"))
