@@ -235,7 +235,7 @@ def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     links = sides.join(members.select("grp", "digest", "n", "tokens"), "grp").groupBy("a", "b").applyInPandas(_verify(share), "u binary, v binary")
     roots = components(links).select(F.col("node").alias("digest"), "root")
     placed = stored(near.select("doc_id", "n", "digest").join(roots, "digest", "left").select("doc_id", "n", F.coalesce("root", "digest").alias("root")))
-    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    least = stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # so that a large component can be split in the join
     linked = placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return linked.unionAll(rows.filter("tokens IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: A line on so many distinct sites is boilerplate.
 SITES = 10
@@ -41,7 +41,8 @@ def boilerplate(lines: DataFrame, sites: int, band: float) -> DataFrame:
 def marked(docs: DataFrame, site: str = "source", sites: int = SITES, band: float = BAND) -> DataFrame:
     """(doc_id, gone: sorted positions of lines to remove) of the documents that lose lines."""
     lines = line_rows(docs, site)
-    hits = lines.join(boilerplate(lines, sites, band), ["hi", "lo"]).filter(F.struct("doc_id", "pos") != F.col("first"))
+    known = stored(boilerplate(lines, sites, band))  # a table of its own, so that a frequent line's rows can be split in the join
+    hits = lines.join(known, ["hi", "lo"]).filter(F.struct("doc_id", "pos") != F.col("first"))
     return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
