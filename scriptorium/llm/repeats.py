@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ WIDTH, SEED = 50, 20
 BATCH_DOCS = 500
 LAST = (1 << 63) - 1
 _RUN = np.dtype([("k", "<u8"), ("s", "<u4"), ("e", "<u4"), ("d", "<i8")])
-_BLOCK = np.dtype([("a", "<u8"), ("k", "<u8"), ("d", "<i8"), ("m", "<i8"), ("n", "<u4")])
+#: Part of the anchor, key, smallest doc_id, whether the batch has the block in several documents, length.
+_BLOCK = np.dtype([("a", "<u4"), ("k", "<u8"), ("d", "<i8"), ("m", "?"), ("n", "<u4")])
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -109,16 +111,17 @@ def _shared(got: pd.DataFrame) -> pd.DataFrame:
 
 def _send(buckets: int, width: int, seed: int):
     def run(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        """The batch's different blocks with shared anchors, by shard: with the smallest and largest doc_id."""
-        rows, bytes_, known = [], [], np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in got["blob"]])) if len(got) else np.zeros(0, np.uint64)
+        """The batch's different blocks with shared anchors, by shard: with the smallest doc_id; texts compressed."""
+        rows, bytes_, anchors, known = [], [], [], np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in got["blob"]])) if len(got) else np.zeros(0, np.uint64)
         if not len(docs) or not len(known):
             return pd.DataFrame({"dest": [], "batch": [], "blob": []})
-        ids = docs["key"].to_numpy()
+        ids, pack = docs["key"].to_numpy(), zstandard.ZstdCompressor(3)
         for _, data, anchor, key, doc, start, end, _ in blocks(_texts(docs), width, seed):
             at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
             keep = np.flatnonzero(known[at] == anchor)
             r = np.zeros(len(keep), _BLOCK)
-            r["a"], r["k"], r["d"], r["n"] = anchor[keep], key[keep], ids[doc[keep]], (end - start)[keep]
+            anchors.append(anchor[keep])
+            r["a"], r["k"], r["d"], r["n"] = anchor[keep] & np.uint64(0xFFFFFFFF), key[keep], ids[doc[keep]], (end - start)[keep]
             rows.append(r)
             whole = data.tobytes()
             bytes_ += [whole[s:e] for s, e in zip(start[keep].tolist(), end[keep].tolist())]
@@ -128,15 +131,15 @@ def _send(buckets: int, width: int, seed: int):
         most = r["d"][order][np.append(first[1:], len(r)) - 1] if len(r) else first
         pick = order[first]
         r = r[pick].copy()
-        r["m"] = most
+        r["m"] = most > r["d"]
         with np.errstate(over="ignore"):
-            dest = _deal(r["a"], buckets)
+            dest = _deal(np.concatenate(anchors)[pick], buckets)
         order = np.argsort(dest, kind="stable")
         edges = np.flatnonzero(np.append(True, np.diff(dest[order]) != 0)) if len(r) else []
         out = []
         for s, e in zip(edges, np.append(edges[1:], len(r)) if len(r) else []):
             own = order[s:e]
-            out.append((dest[own[0]], docs["batch"].iloc[0], np.int64(len(own)).tobytes() + r[own].tobytes() + b"".join(bytes_[pick[i]] for i in own)))
+            out.append((dest[own[0]], docs["batch"].iloc[0], np.int64(len(own)).tobytes() + r[own].tobytes() + pack.compress(b"".join(bytes_[pick[i]] for i in own))))
         return pd.DataFrame(out, columns=["dest", "batch", "blob"])
 
     return run
@@ -167,9 +170,9 @@ def _judge(width: int):
         for blob in got["blob"]:
             n = int(np.frombuffer(blob, "<i8", 1)[0])
             r = np.frombuffer(blob, _BLOCK, n, 8)
-            at = 8 + n * _BLOCK.itemsize
+            whole, at = zstandard.decompress(blob[8 + n * _BLOCK.itemsize :]), 0
             for size in r["n"].tolist():
-                texts.append(blob[at : at + size])
+                texts.append(whole[at : at + size])
                 at += size
             per.append(n)
             rows.append(r)
@@ -196,11 +199,12 @@ def _judge(width: int):
                 i = own[j]
                 x = runs[i]
                 if x is None:
-                    if u["d"][i] >= r["m"][j]:
+                    if u["d"][i] >= r["d"][j] and not r["m"][j]:
                         continue
                     x = np.zeros(1, _RUN)
                     x["k"], x["e"], x["d"] = u["k"][i], u["n"][i] - width + 1, u["d"][i]
-                x = x[x["d"] < r["m"][j]]
+                if not r["m"][j]:
+                    x = x[x["d"] < r["d"][j]]
                 if len(x):
                     parts.append(x)
             at += n
