@@ -17,6 +17,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,24 @@ def need(n: int, share: int = SHARE) -> int:
     return -(-share * n // 100)
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    """Rows of _TOKEN for a shuffle: differences of the hashes by byte planes, then the other columns; compressed."""
+    with np.errstate(over="ignore"):
+        step = np.diff(rows["t"], prepend=np.uint64(0))
+    planes = np.ascontiguousarray(step.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.compress(planes.tobytes() + rows["d"].tobytes() + rows["n"].tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    flat = zstandard.decompress(blob)
+    n = len(flat) // _TOKEN.itemsize
+    rows = np.empty(n, _TOKEN)
+    with np.errstate(over="ignore"):
+        rows["t"] = np.cumsum(np.ascontiguousarray(np.frombuffer(flat, np.uint8, 8 * n).reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
+    rows["d"], rows["n"] = np.frombuffer(flat, "<u2", n, 8 * n), np.frombuffer(flat, "<u4", n, 10 * n)
+    return rows
+
+
 def _bucketed(rows: np.ndarray, buckets: int):
     """(bucket, part) for rows sorted by token: buckets are ranges of the hash."""
     edges = np.searchsorted(rows["t"], np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64))
@@ -79,10 +98,10 @@ def shingle_rows(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                 head += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 mine = np.zeros(int(own.sum()), _TOKEN)
                 mine["t"], mine["d"] = tokens[own], owner[own]
-                blobs.append(b"".join([*head, mine.tobytes()]))
+                blobs.append(b"".join([*head, _packed(mine)]))
                 for k, x in _bucketed(rows, buckets):
                     dest.append(k)
-                    blobs.append(x.tobytes())
+                    blobs.append(_packed(x))
                 yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array([batch] * len(dest), pa.int64()), pa.array(blobs, pa.binary())], names=["dest", "batch", "blob"])
                 at = end
 
@@ -93,7 +112,7 @@ def _count(got: pd.DataFrame) -> pd.DataFrame:
     """Answers each batch with its shingles that two documents or more hold."""
     if got["dest"].iloc[0] < 0:
         return got[["dest", "batch", "blob"]]
-    parts = [np.frombuffer(b, _TOKEN) for b in got["blob"]]
+    parts = [_unpacked(b) for b in got["blob"]]
     t = np.concatenate([p["t"] for p in parts])
     _, inverse = np.unique(t, return_inverse=True)
     total = np.bincount(inverse, np.concatenate([p["n"] for p in parts]))[inverse]
@@ -104,7 +123,7 @@ def _count(got: pd.DataFrame) -> pd.DataFrame:
         keep = p[n > 1].copy()
         if len(keep):
             keep["n"] = np.minimum(n[n > 1], 0xFFFFFFFF)
-            out.append((got["dest"].iloc[0], batch, keep.tobytes()))
+            out.append((got["dest"].iloc[0], batch, _packed(keep)))
     return pd.DataFrame(out, columns=["dest", "batch", "blob"])
 
 
@@ -116,11 +135,11 @@ def _answer(share: int):
             if dest < 0:
                 head = blob
             else:
-                rest.append(np.frombuffer(blob, _TOKEN))
+                rest.append(_unpacked(blob))
         n = int(np.frombuffer(head, "<i8", 1)[0])
         ids, sizes = np.frombuffer(head, "<i8", n, 8), np.frombuffer(head, "<i8", n, 8 + 8 * n)
         digests = [head[8 + 16 * n + 16 * i : 24 + 16 * n + 16 * i] for i in range(n)]
-        mine = np.frombuffer(head, _TOKEN, offset=8 + 32 * n)
+        mine = _unpacked(head[8 + 32 * n :])
         known = np.sort(np.concatenate(rest or [np.zeros(0, _TOKEN)]), order="t")
         own = mine.copy()
         if len(own):
