@@ -4,18 +4,14 @@ The fingerprint of a text is the 128-bit xxhash (two seeds) of its canonical for
 different canonical texts of that hash, which is 0 unless two texts collide. To find collisions, canonical bytes are
 compared inside every bucket that has two members or more; single-member buckets send no text anywhere.
 
-All on the main path is SQL functions. Spark has no normalisation function, so texts that may not be in form C (they
-hold a character that combines or that form C replaces; one regular expression finds them) are split into such
-sequences, and each goes through a map of sequences to composed characters built by rule from unicodedata. A sequence
-that no single character stands for (loose Hangul letters, a mark that composes past another) stays as it is.
+All on the main path is SQL functions. Spark has no normalisation function of its own, so texts with characters beyond
+ASCII go through its `java_method` to ICU, which Spark brings along: canonical decomposition, full case folding (ß as
+ss, final sigma as sigma), then form C. Canonically equal texts thus have one canonical form, Hangul and marks in any
+order included.
 """
 
 from __future__ import annotations
 
-import sys
-import unicodedata
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,50 +25,25 @@ NEIGHBOURS = 1000
 RANGES = 4096
 
 
-@lru_cache(maxsize=1)
-def composition() -> tuple[str, str, dict[str, str]]:
-    """From unicodedata: a class of the characters that join with the one before, and base + mark(s) -> composed character.
-
-    Covers every canonical composition of one or two marks in either order of equal effect, and every character
-    that form C replaces by itself.
-    """
-    marks, pairs = set(), {}
-    for c in map(chr, range(sys.maxunicode + 1)):
-        form = unicodedata.normalize("NFC", c)
-        if form != c:
-            pairs[c] = form
-        parts = unicodedata.normalize("NFD", c)
-        if len(parts) > 1 and form == c and not "가" <= c <= "힣":
-            pairs[parts] = c
-            two = unicodedata.decomposition(c)
-            if two and not two.startswith("<"):
-                pairs["".join(chr(int(x, 16)) for x in two.split())] = c
-            marks.update(parts[1:])
-    return spans(marks | {chr(x) for x in range(0x300, 0x370)}), spans({k for k in pairs if len(k) == 1}), pairs
-
-
-def spans(chars: set[str], gap: int = 1) -> str:
-    """The inside of a regular expression's class: ranges over chars, closing gaps under gap."""
-    runs: list[list[int]] = []
-    for c in sorted(map(ord, chars)):
-        if runs and c - runs[-1][1] <= gap:
-            runs[-1][1] = c
-        else:
-            runs.append([c, c])
-    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs)
+def icu(name: str, *args: Column) -> Column:
+    """A static method of ICU; args are not null."""
+    home, method = name.rsplit(".", 1)
+    return F.java_method(F.lit(f"com.ibm.icu.{home}"), F.lit(method), *args)
 
 
 def normal(text: Column) -> Column:
     """Form C of a text. No character under U+0300 combines or is replaced, which settles most texts by one quick test."""
-    marks, singles, pairs = composition()
-    table_ = F.map_from_arrays(*(F.split(F.lit(" ".join(x)), " ") for x in (pairs.keys(), pairs.values())))  # folded to one literal
-    parts = F.regexp_extract_all(text, F.lit(rf"(?s)([^{marks}{singles}]+(?![{marks}])|.[{marks}]*)"), F.lit(1))
-    fixed = F.array_join(F.transform(parts, lambda p: F.when(F.length(p) > 4, p).otherwise(F.coalesce(F.try_element_at(table_, p), p))), "")
-    return F.when(text.rlike(r"[^\x00-\x{2FF}]"), F.when(text.rlike(f"[{marks}{singles}]"), fixed).otherwise(text)).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x{2FF}]"), icu("text.Normalizer.compose", text, F.lit(False))).otherwise(text)
+
+
+def folded(text: Column) -> Column:
+    """Form C of a text's case folding; canonically equal texts have one. ASCII alone folds as lower case."""
+    parts = icu("text.Normalizer.decompose", text, F.lit(False))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), normal(icu("lang.UCharacter.foldCase", parts, F.lit(True)))).otherwise(F.lower(text))
 
 
 def canonical(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(normal(text)), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(folded(text), r"(?U)\s+", " "))
 
 
 def wide_hash(canon: Column) -> Column:

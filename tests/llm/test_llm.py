@@ -142,6 +142,19 @@ def test_fingerprints(spark):
     assert fingerprint.edited_likeness(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_fingerprints_of_canonical_copies(spark):
+    korean, marks = "한국어 각", "ẹ́ ǭ q\u0323\u0307"
+    same = [(korean, unicodedata.normalize("NFD", korean)), ("각", "가\u11a8"), ("ẹ\u0301", "é\u0323"), ("e\u0323\u0301\u0327", "e\u0327\u0301\u0323"), (marks, unicodedata.normalize("NFD", marks))]
+    same += [("x\u0301\u0323\u0327\u0315\u0308", unicodedata.normalize("NFD", "x\u0301\u0323\u0327\u0315\u0308")), ("Straße", "STRASSE"), ("ΟΔΟΣ", "οδος"), ("Å", "Å"), ("Å", "Å")]
+    texts = [t for pair in same for t in pair] + ["e\u0301\u0300", "e\u0300\u0301", "가", "각"]
+    got = {r.doc_id: r.fingerprint for r in fingerprint.edited_likeness(docs(spark, *texts)).collect()}
+    for i, (a, b) in enumerate(same):
+        assert a != b and got[2 * i] == got[2 * i + 1], ascii((a, b))
+    assert got[len(texts) - 4] != got[len(texts) - 3] and got[len(texts) - 2] != got[len(texts) - 1]
+    canon = [r[0] for r in docs(spark, *texts).orderBy("doc_id").select(fingerprint.canonical(F.col("text"))).collect()]
+    assert canon == [unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).casefold()) for t in texts]
+
+
 def test_line_dedup_keeps_first(spark):
     texts = [f"own line {i}\nshared footer\n\ntail {i}" for i in range(12)] + [None, ""]
     got = {r.doc_id: r for r in linededup.dedup(docs(spark, *texts)).collect()}
