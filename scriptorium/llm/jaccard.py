@@ -64,13 +64,14 @@ def _bucketed(rows: np.ndarray, buckets: int):
             yield k, part
 
 
-def shingle_rows(docs: DataFrame, buckets: int, width: int) -> DataFrame:
-    """(dest, batch, blob): shingles by bucket (dest >= 0), and per batch its documents (dest < 0)."""
+def shingle_rows(docs: DataFrame, buckets: int, width: int, key: str | None = None) -> DataFrame:
+    """(dest, batch, blob): shingles by bucket (dest >= 0), and per batch its documents with their keys (dest < 0)."""
 
     def run(batches):
         base, count = TaskContext.get().partitionId() << 32, 0
         for whole in batches:
-            ids, texts = whole.column(0).to_pylist(), whole.column(1).cast(pa.binary()).to_pylist()
+            ids, nulls = whole.column(0).fill_null(0).to_numpy(zero_copy_only=False), whole.column(0).is_null().to_numpy(zero_copy_only=False)
+            keys, texts = whole.column(1).to_numpy(zero_copy_only=False), whole.column(2).cast(pa.binary()).to_pylist()
             at = 0
             while at < len(ids):
                 size, end = 0, at
@@ -94,7 +95,7 @@ def shingle_rows(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                 batch, dest, blobs = base + count, [-1 - count], []
                 count += 1
                 own = np.repeat(n, n) > 1
-                head = [np.array([len(sets)], "<i8").tobytes(), np.array([x if x is not None else 0 for x in ids[at:end]], "<i8").tobytes(), sizes.astype("<i8").tobytes()]
+                head = [np.array([len(sets)], "<i8").tobytes(), ids[at:end].astype("<i8").tobytes(), keys[at:end].astype("<i8").tobytes(), nulls[at:end].astype("<i8").tobytes(), sizes.astype("<i8").tobytes()]
                 head += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 mine = np.zeros(int(own.sum()), _TOKEN)
                 mine["t"], mine["d"] = tokens[own], owner[own]
@@ -105,7 +106,7 @@ def shingle_rows(docs: DataFrame, buckets: int, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array([batch] * len(dest), pa.int64()), pa.array(blobs, pa.binary())], names=["dest", "batch", "blob"])
                 at = end
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "dest long, batch long, blob binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).cast("long").alias("key") if key else F.lit(0).cast("long").alias("key"), "text").mapInArrow(run, "dest long, batch long, blob binary")
 
 
 def _count(got: pd.DataFrame) -> pd.DataFrame:
@@ -137,9 +138,9 @@ def _answer(share: int):
             else:
                 rest.append(_unpacked(blob))
         n = int(np.frombuffer(head, "<i8", 1)[0])
-        ids, sizes = np.frombuffer(head, "<i8", n, 8), np.frombuffer(head, "<i8", n, 8 + 8 * n)
-        digests = [head[8 + 16 * n + 16 * i : 24 + 16 * n + 16 * i] for i in range(n)]
-        mine = _unpacked(head[8 + 32 * n :])
+        ids, keys, nulls, sizes = np.frombuffer(head, "<i8", 4 * n, 8).reshape(4, n)
+        digests = [head[8 + 32 * n + 16 * i : 24 + 32 * n + 16 * i] for i in range(n)]
+        mine = _unpacked(head[8 + 48 * n :])
         known = np.sort(np.concatenate(rest or [np.zeros(0, _TOKEN)]), order="t")
         own = mine.copy()
         if len(own):
@@ -148,7 +149,7 @@ def _answer(share: int):
         every = every[np.lexsort((every["t"], every["n"], every["d"]))]
         bounds = np.searchsorted(every["d"], np.arange(n + 1))
         tokens = [every["t"][s:e].tobytes() if size and e - s >= need(int(size), share) else None for s, e, size in zip(bounds[:-1], bounds[1:], sizes)]
-        return pd.DataFrame({"doc_id": ids, "n": sizes, "digest": digests, "tokens": tokens})
+        return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64").mask(nulls > 0), "key": keys, "n": sizes, "digest": digests, "tokens": tokens})
 
     return run
 
@@ -196,18 +197,13 @@ def _verify(share: int):
     return run
 
 
-def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
-
-    Words are split at ASCII white space, A-Z in lower case. Null and empty texts have empty sets and link with nothing;
-    with fewer than width words the whole sequence is the one shingle. Rows that share a doc_id count one by one. Other
-    columns are not read; an empty table gives no rows. Shingles are told apart by 64-bit hashes, sets by 128 bits.
-    """
+def linked_rows(docs: DataFrame, width: int = WIDTH, share: int = SHARE, key: str | None = None) -> DataFrame:
+    """Per row of docs: doc_id, key (a column of whole numbers without nulls), n, and root, the same for all rows of a component, null for rows without links."""
     spark = docs.sparkSession
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = shingle_rows(docs, buckets, width)
+    sent = shingle_rows(docs, buckets, width, key)
     answered = sent.groupBy("dest", F.when(F.col("dest") < 0, F.col("batch")).alias("own")).applyInPandas(lambda x: _count(x), "dest long, batch long, blob binary")
-    rows = stored(answered.groupBy("batch").applyInPandas(_answer(share), "doc_id long, n long, digest binary, tokens binary"))
+    rows = stored(answered.groupBy("batch").applyInPandas(_answer(share), "doc_id long, key long, n long, digest binary, tokens binary"))
     near = rows.filter("tokens IS NOT NULL")
     classes = near.groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
@@ -253,10 +249,32 @@ def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("grp"))
     links = sides.join(members.select("grp", "digest", "n", "tokens"), "grp").groupBy("a", "b").applyInPandas(_verify(share), "u binary, v binary")
     roots = components(links).select(F.col("node").alias("digest"), "root")
-    placed = stored(near.select("doc_id", "n", "digest").join(roots, "digest", "left").select("doc_id", "n", F.coalesce("root", "digest").alias("root")))
-    least = stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # so that a large component can be split in the join
-    linked = placed.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionAll(rows.filter("tokens IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    placed = near.select("doc_id", "key", "n", "digest").join(roots, "digest", "left").select("doc_id", "key", "n", F.coalesce("root", "digest").alias("root"))
+    return stored(placed.unionAll(rows.filter("tokens IS NULL").select("doc_id", "key", "n", F.lit(None).cast("binary").alias("root"))))
+
+
+def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
+
+    Words are split at ASCII white space, A-Z in lower case. Null and empty texts have empty sets and link with nothing;
+    with fewer than width words the whole sequence is the one shingle. Rows that share a doc_id count one by one. A null
+    doc_id stays null and counts as larger than any: component_id is null only where all doc_ids of the component are.
+    Other columns are not read; an empty table gives no rows. Shingles are told apart by 64-bit hashes, sets by 128 bits.
+    """
+    placed = linked_rows(docs, width, share)
+    linked = placed.filter("root IS NOT NULL")
+    least = stored(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # so that a large component can be split in the join
+    found = linked.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return found.unionAll(placed.filter("root IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def least_rows(docs: DataFrame, key: str, width: int = WIDTH, share: int = SHARE) -> DataFrame:
+    """(key, kept) per row of docs: kept is true for one row of each component, that of the smallest doc_id (null last), then key."""
+    placed = linked_rows(docs, width, share, key)
+    linked = placed.filter("root IS NOT NULL")
+    first = stored(linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("least")))
+    kept = linked.join(first, "root").select("key", (F.col("key") == F.col("least")).alias("kept"))
+    return kept.unionAll(placed.filter("root IS NULL").select("key", F.lit(True).alias("kept")))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,7 +218,7 @@ def _judge(width: int):
 def _cut(width: int, seed: int):
     def run(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         if not len(docs):
-            return pd.DataFrame({"key": [], "n_bytes": [], "kept": [], "starts": [], "ends": []})
+            return pd.DataFrame({"key": [], "n_bytes": [], "kept": [], "starts": [], "ends": [], **({"rest": []} if "rest" in docs else {})})
         texts, ids = _texts(docs), docs["key"].to_numpy()
         runs = np.concatenate([np.frombuffer(b, _RUN) for b in got["blob"]]) if len(got) else np.zeros(0, _RUN)
         runs = runs[np.argsort(runs["k"], kind="stable")]
@@ -245,28 +245,29 @@ def _cut(width: int, seed: int):
             kept.append(b"".join(t[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
             starts.append([s for s, _ in merged])
             ends.append([e for _, e in merged])
-        return pd.DataFrame({"key": ids, "n_bytes": [len(t) for t in texts], "kept": kept, "starts": starts, "ends": ends})
+        return pd.DataFrame({"key": ids, "n_bytes": [len(t) for t in texts], "kept": kept, "starts": starts, "ends": ends, **({"rest": docs["rest"]} if "rest" in docs else {})})
 
     return run
 
 
-def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFrame:
+def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, rest: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, kept (binary) and the removed runs (starts, ends: arrays of byte offsets).
 
     A null text is empty. Rows with one doc_id are not smaller than each other, so they don't remove each other's bytes;
-    a null doc_id counts as larger than any. Other columns are not read; an empty table gives no rows.
+    a null doc_id counts as larger than any. A string column rest goes along; other columns are not read; an empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     batches = max(1, -(-docs.count() // BATCH_DOCS))
     buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text", *([F.col(rest).alias("rest")] if rest else []))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(batches)))
     sent = rows.groupBy("batch").applyInPandas(_anchors(buckets, width, seed), "dest long, batch long, blob binary")
     shared = sent.groupBy("dest").applyInPandas(_shared, "batch long, blob binary")
     held = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(_send(buckets, width, seed), "dest long, batch long, blob binary")
     judged = held.groupBy("dest").applyInPandas(_judge(width), "batch long, blob binary")
-    out = rows.groupBy("batch").cogroup(judged.groupBy("batch")).applyInPandas(_cut(width, seed), "key long, n_bytes long, kept binary, starts array<long>, ends array<long>")
-    return out.select(F.nullif(F.col("key"), F.lit(LAST)).alias("doc_id"), "n_bytes", "kept", "starts", "ends")
+    out = rows.groupBy("batch").cogroup(judged.groupBy("batch")).applyInPandas(_cut(width, seed), "key long, n_bytes long, kept binary, starts array<long>, ends array<long>" + (", rest string" if rest else ""))
+    return out.select(F.nullif(F.col("key"), F.lit(LAST)).alias("doc_id"), "n_bytes", "kept", "starts", "ends", *([F.col("rest").alias(rest)] if rest else []))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,22 @@ def test_jaccard_matches_brute_force(spark, prose):
     assert jaccard.join(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_jaccard_keeps_null_ids_and_one_row_of_each_group(spark):
+    import corpus_pipeline as p
+
+    words = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(6)]
+    rows = [(None, words[0]), (5, words[0]), (7, words[0] + " z"), (None, words[1]), (None, words[2]), (None, words[2]), (3, words[3]), (3, words[3]), (0, words[4]), (None, None), (None, ""), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.join(df).collect()), key=repr)
+    assert got == sorted([(None, 5), (5, 5), (7, 5), (None, None), (None, None), (None, None), (3, 3), (3, 3), (0, 0), (None, None), (None, None), (4, 4)], key=repr)
+    kept = sorted(((r.doc_id, r.text) for r in p.near_copies(spark, df, "").collect()), key=repr)
+    assert kept == sorted([(5, words[0]), (None, words[1]), (None, words[2]), (3, words[3]), (0, words[4]), (None, None), (None, ""), (4, None)], key=repr)
+    few = df.filter("source IN ('s0', 's3', 's8', 's10', 's11')")
+    cut = sorted(tuple(r) for r in p.repeated_strings(spark, few, "").select("source", "doc_id", "text", "lang").collect())
+    assert cut == [("s0", None, words[0], "en"), ("s10", None, "", "en"), ("s11", 4, "", "en"), ("s3", None, words[1], "en"), ("s8", 0, words[4], "en")]
+    assert p.near_copies(spark, df.limit(0), "").count() == 0
+
+
 def test_components(spark):
     edges = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(20)] + [("z1", "z2"), ("z1", "z1")]
     got = {r.node: r.root for r in graphs.components(spark.createDataFrame(edges, "u string, v string")).collect()}
