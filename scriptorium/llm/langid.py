@@ -7,6 +7,7 @@ positions. Trained here in numpy by back-propagation through time on a bounded s
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 
@@ -176,6 +177,90 @@ def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> ByteNet | None:
     return ByteNet(labels).train(x[:, : WINDOW // 2], np.array(y))
 
 
+#: Trigram buckets as a power of two, share of held-out documents that may fall under the bound, noise windows.
+BUCKETS, STRAY, NOISE = 18, 0.001, 600
+_WORDS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
+
+
+def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the byte trigrams around all letters, in lower case, and the text of each."""
+    parts = [b" " + t.lower().encode() + b" " for t in texts]
+    data = _WORDS[np.frombuffer(b"".join(parts), np.uint8)]
+    own = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    at = np.flatnonzero(data != 32)
+    x = data.astype(np.uint32)
+    return ((x[at - 1] << 16 | x[at] << 8 | x[at + 1]) * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS), own[at]
+
+
+class Familiar:
+    """Whether a text's trigrams are those of the learned languages: their mean log frequency against a calibrated bound."""
+
+    def __init__(self, texts: list[str]):
+        found = np.bincount(_trigrams(texts)[0], minlength=1 << BUCKETS)
+        self.logs = np.log((found + 0.1) / max(found.sum(), 1)).astype(np.float32)
+        self.bound, self.spread, self.usual = -np.inf, 0.0, 1.0
+
+    def means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean log frequency and number of trigrams of each text."""
+        grams, own = _trigrams(texts)
+        n = np.bincount(own, minlength=len(texts))
+        return np.bincount(own, self.logs[grams], minlength=len(texts)) / np.maximum(n, 1), n
+
+    def calibrate(self, held: list[str], noise: list[str]) -> Familiar:
+        """Between texts that were not learned from and noise; where these overlap, at the lowest of the former but STRAY."""
+        means, n = self.means(held)
+        low, high = np.quantile(means[n > 0], STRAY), np.quantile(self.means(noise)[0], 0.95)
+        self.bound = (low + high) / 2 if high < low else low
+        self.spread, self.usual = float(np.std(self.logs[_trigrams(held)[0]])), float(np.median(n[n > 0]))
+        return self
+
+    def knows(self, texts: list[str]) -> np.ndarray:
+        """Short texts get the slack that chance gives them."""
+        means, n = self.means(texts)
+        slack = 2 * self.spread * np.maximum(1 / np.sqrt(np.maximum(n, 1)) - 1 / np.sqrt(self.usual), 0)
+        return (n > 0) & (means >= self.bound - slack)
+
+
+def _noise(held: list[str]) -> list[str]:
+    """Letters of known texts in any order, even letters, and letters of one script at a time."""
+    rng = random.Random(3)
+    letters = [chr(c) for c in range(0x24F, 0x2FA0) if chr(c).isalpha()]
+    out = []
+    for k in range(NOISE):
+        if k % 3 == 0:
+            t = list(rng.choice(held))
+            rng.shuffle(t)
+            out.append("".join(t))
+            continue
+        at = rng.randrange(len(letters) - 40)
+        own = "abcdefghijklmnopqrstuvwxyz" if k % 3 == 1 else letters[at : at + 40]
+        out.append(" ".join("".join(rng.choice(own) for _ in range(rng.randrange(2, 11))) for _ in range(WINDOW // 7)))
+    return [t for t in out if _LETTER.search(t)]
+
+
+def familiar(docs: DataFrame, most: int = TRAIN_DOCS) -> Familiar | None:
+    """Learned from two thirds of the training sample, calibrated on the rest; None if nothing can be learned from."""
+    texts = ["\n".join(w) for w in sample(docs, most)["windows"]]
+    texts = [t for t in texts if _LETTER.search(t)]
+    if not texts:
+        return None
+    held = texts[::3]
+    return Familiar([t for k, t in enumerate(texts) if k % 3] or held).calibrate(held, _noise(held))
+
+
+def known(text: Column, model: Familiar) -> Column:
+    """Whether a text is in a learned language as far as its letters tell; false for a null text."""
+
+    @F.pandas_udf("boolean")
+    def judge(texts: pd.Series) -> pd.Series:
+        out = [np.zeros(0, bool)]
+        for k in range(0, len(texts), 256):
+            out.append(model.knows([t if isinstance(t, str) else "" for t in texts.iloc[k : k + 256]]))
+        return pd.Series(np.concatenate(out))
+
+    return judge(text)
+
+
 def predict(docs: DataFrame, net: ByteNet | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with the predicted language and its probability.
 

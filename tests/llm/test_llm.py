@@ -233,6 +233,21 @@ def test_language_held_out_and_odd_texts(spark):
     assert langid.fit(df.limit(0)) is None and langid.predict(df, None).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_pipeline_rejects_what_is_in_no_learned_language(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    words = {g: ["".join(rng.choice(x) for x in ("bdlmnr", v, "lnrst", v)[: rng.randrange(2, 5)]) for _ in range(200)] for g, v in (("la", "aei"), ("lb", "ouy"))}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(40)), g) for i in range(300) for g in (("la", "lb")[i % 2],)]
+    rows += [(900 + i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(40)), None) for i in range(20)]
+    rows += [(930, "при вет мир как дела сегодня хорошая погода", None), (931, "これは日本語の文章です", None), (932, "12 !!", None), (933, None, None), (934, words["la"][0] + " " + words["la"][1], None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id for r in p.language(spark, df, "").collect()}
+    assert len(got & set(range(300))) >= 299 and {i for i in got if i >= 900} == {934}
+    none = {r.doc_id for r in p.language(spark, df.withColumn("lang", F.lit(None).cast("string")), "").collect()}
+    assert none == {r[0] for r in rows} - {932, 933}
+
+
 def test_quality_held_out(spark):
     rng, rows, labels = random.Random(6), [], []
     for i in range(400):
