@@ -280,7 +280,7 @@ def recall_at_k(s, d):
 @query()
 def ann_cells_topk(s, d):
     v = table(s, d, "embeddings")
-    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.cell_top_k(q, v, 10)
 
 
@@ -289,7 +289,7 @@ def self_retrieval_sweep(s, d):
     from dataclasses import replace
 
     config = replace(DEFAULT, dim=128)
-    w = retrieval.encode(_windows(s, d).filter("doc_id < 200").select(F.xxhash64("chunk_id").alias("vec_id"), "text"), config)
+    w = retrieval.encode(_windows(s, d).select(F.xxhash64("chunk_id").alias("vec_id"), "text"), config)
     q = w.select("vec_id", "text", F.explode(F.array(*map(F.lit, (5, 15, 30)))).alias("n")).select("vec_id", "n", F.expr("array_join(slice(split(text, ' '), 1, n), ' ')").alias("text"))
     q = retrieval.encode(q, config).select((F.xxhash64("vec_id", "n")).alias("query_id"), "vec_id", "n", F.col("embedding").alias("q"))
     hit = retrieval.top_k(q.select("query_id", "q"), w, 1).select("query_id", F.col("vec_id").alias("got"))

@@ -40,3 +40,16 @@ def test_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).columns
+
+
+def test_every_vector_is_asked_for_its_cells(spark):
+    got = catalogue.QUERIES["ann_cells_topk"](spark, SF)
+    assert got.select("query_id").distinct().count() == catalogue.table(spark, SF, "embeddings").count()
+
+
+def test_every_window_is_asked_for_itself(spark, tmp_path):
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}", "en", "s", 1) for i in (3, 199, 200, 5000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.n: r.queries for r in catalogue.QUERIES["self_retrieval_sweep"](spark, str(tmp_path)).collect()}
+    assert got == {5: 4, 15: 4, 30: 4}
