@@ -3,8 +3,8 @@
 Every string of WIDTH bytes has an anchor, the least hash of its substrings of SEED bytes; equal strings have equal anchors.
 Neighbouring strings with one anchor form a block. Anchors are counted first: blocks whose anchor stands in one
 document alone can't repeat. The others go to the shard of their anchor, where equal blocks become one with the smallest
-doc_id. The shard's blocks are sorted by their suffixes with common prefixes (external induced sorting, so a shard may be
-larger than memory); strings that share WIDTH bytes are neighbours there and get the smallest doc_id of all that hold
+doc_id. The shard's blocks are sorted by their suffixes with common prefixes (induced sorting whose queues spill; the text and
+order of a shard are in memory, so a shard must fit there); strings that share WIDTH bytes are neighbours there and get the smallest doc_id of all that hold
 them. Documents then remove what a smaller doc_id holds.
 """
 
