@@ -1,15 +1,20 @@
-"""Byte-level BPE encoding and decoding with the tiktoken library and a local rank file."""
+"""Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
+
+Long texts are cut before white space that follows other characters: no match of the pattern spans such a place. A part
+that still is long holds a run without such a place (white space alone, or none at all); the library's pattern engine
+overflows its stack on these, so the matches of such a part are found here and each is encoded by itself.
+"""
 
 from __future__ import annotations
 
 import base64
 import os
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +22,7 @@ from .common import table
 
 #: Longer texts are cut between a non-space and a white space character, where no match of the pattern can span.
 LONG_TEXT = 50_000
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+_SAFE = regex.compile(r"(?<=\S)(?=\s)")  # white space as the library sees it; re also counts U+001C to U+001F
 
 
 def default_ranks() -> str:
@@ -37,7 +42,7 @@ def encoding(path: str, pattern: str):
 
 
 def pieces(text: str, longest: int = LONG_TEXT) -> Iterator[str]:
-    """Cuts a text at safe boundaries into parts of about longest characters; a run without white space stays whole."""
+    """Cuts a text at safe boundaries into parts of about longest characters; a run without a safe boundary stays whole."""
     at = 0
     while len(text) - at > longest:
         cut = _SAFE.search(text, at + longest)
@@ -48,11 +53,22 @@ def pieces(text: str, longest: int = LONG_TEXT) -> Iterator[str]:
     yield text[at:]
 
 
-def encode_text(text: str, enc, longest: int = LONG_TEXT) -> np.ndarray:
+@lru_cache(maxsize=4)
+def matcher(pattern: str):
+    return regex.compile(pattern)
+
+
+def encode_text(text: str, enc, longest: int = LONG_TEXT, pattern: str | None = None) -> np.ndarray:
     """Token ids of a text, as unsigned 32-bit integers."""
     if len(text) <= longest:
         return np.asarray(enc.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.asarray(enc.encode_ordinary(x), dtype="<u4") for x in pieces(text, longest)])
+    found: list[np.ndarray] = []
+    for part in pieces(text, longest):
+        if len(part) <= 2 * longest:
+            found.append(np.asarray(enc.encode_ordinary(part), dtype="<u4"))
+        else:
+            found += [np.asarray(enc._encode_single_piece(m.group().encode()), dtype="<u4") for m in matcher(pattern or enc._pat_str).finditer(part)]
+    return np.concatenate(found)
 
 
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, key: str = "doc_id") -> DataFrame:
