@@ -2,27 +2,33 @@
 
 Texts are cut into windows of WINDOW bytes. In each window one recurrent pass runs forward and one backward; every
 position gets a distribution over the languages from both states, and a document's distribution is the mean over all its
-positions. Trained here in numpy by back-propagation through time on a bounded sample.
+positions. Trained here in numpy by back-propagation through time on a bounded sample of labelled rows, whose whole texts
+are read.
 """
 
 from __future__ import annotations
 
 import random
-import re
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 WINDOW, HIDDEN = 128, 8
-#: Bounds of the training sample: documents, and windows of WINDOW characters taken evenly over each.
-TRAIN_DOCS, TRAIN_WINDOWS = 3000, 6
-STEPS, BATCH, RATE = 500, 128, 0.02
-_LETTER = re.compile(r"[^\W\d_]")
+#: Bounds of the training sample: labelled rows, and characters of one (longer ones are not learned from, but predicted).
+TRAIN_DOCS, TRAIN_LENGTH = 1500, 100_000
+#: Bytes of the pieces that back-propagation runs over; steps, pieces per step, rate.
+PIECE, STEPS, BATCH, RATE = 64, 500, 128, 0.02
+#: Texts that are handled at once, in bytes.
+BLOCK_BYTES = 1 << 18
+_LETTER, _SPACE = regex.compile(r"\p{L}"), regex.compile(r"\s")
 UNKNOWN = "und"
 
 
@@ -118,7 +124,7 @@ class ByteNet:
         m, v = ({k: np.zeros_like(p) for k, p in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
             pick = np.concatenate([rng.choice(g, -(-batch // len(groups))) for g in groups])
-            for k, g in self.gradient(x[pick], y[pick]).items():
+            for k, g in self.gradient(x[pick].astype(np.int64), y[pick]).items():
                 g = np.clip(g, -1, 1)
                 m[k] += 0.1 * (g - m[k])
                 v[k] += 0.01 * (g * g - v[k])
@@ -151,33 +157,29 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
 
-def sample(docs: DataFrame, most: int = TRAIN_DOCS, each: int = TRAIN_WINDOWS) -> pd.DataFrame:
-    """At most most labelled documents that may be learned from, by hash; of each, windows evenly over its whole text."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length(F.trim("text")) > 0) & ~held_out(F.col("doc_id")))
-    share = min(1.0, 3 * most / max(1, rows.count()))
-    order = F.xxhash64("doc_id", F.lit(9))
+def sample(docs: DataFrame, most: int = TRAIN_DOCS, longest: int = TRAIN_LENGTH) -> pd.DataFrame:
+    """(lang, text) of at most most labelled rows that may be learned from, the first by a hash of their doc_id; whole texts."""
+    rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    share = min(1.0, 3 * most / max(1, rows.select("doc_id", "lang").count()))
     rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    windows = F.expr(f"transform(sequence(0, {each - 1}), i -> substring(text, cast(1 + floor(i * greatest(length(text) - {WINDOW}, 0) / {max(each - 1, 1)}) as int), {WINDOW}))")
-    return rows.select("lang", F.array_distinct(windows).alias("windows"), order.alias("o")).orderBy("o").limit(most).toPandas()
+    rows = rows.filter(F.length("text").between(1, longest)).select("lang", "text", F.xxhash64("doc_id", F.lit(9)).alias("o"), F.xxhash64("text").alias("p"))
+    return rows.orderBy("o", "p", "text", "lang").limit(most).select("lang", "text").toPandas()
 
 
-def fit(docs: DataFrame, most: int = TRAIN_DOCS) -> ByteNet | None:
-    """The network of a bounded sample of docs; None if nothing can be learned from."""
-    rows = sample(docs, most)
+def fit(rows: pd.DataFrame) -> ByteNet | None:
+    """The network of a sample(); None if nothing can be learned from. Texts are cut into pieces of PIECE bytes, all are drawn from."""
+    rows = rows[[bool(_LETTER.search(t)) for t in rows["text"]]]
     if rows.empty:
         return None
     labels = sorted(rows["lang"].unique())
-    x, y = [], []
-    for lang, windows in zip(rows["lang"], rows["windows"]):
-        for w in windows:
-            raw = w.encode()[:WINDOW]
-            x.append(raw.ljust(WINDOW, b"\0"))
-            y.append(labels.index(lang))
-    x = np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW).astype(np.int64)
-    return ByteNet(labels).train(x[:, : WINDOW // 2], np.array(y))
+    raw = [t.encode() for t in rows["text"]]
+    pieces = np.array([-(-len(t) // PIECE) for t in raw])
+    x = np.frombuffer(b"".join(t.ljust(n * PIECE, b"\0") for t, n in zip(raw, pieces.tolist())), np.uint8).reshape(-1, PIECE)
+    y = np.repeat([labels.index(g) for g in rows["lang"]], pieces)
+    return ByteNet(labels).train(x, y)
 
 
-#: Trigram buckets as a power of two, share of held-out documents that may fall under the bound, noise windows.
+#: Trigram buckets as a power of two, share of held-out documents that may fall under the bound, noise texts.
 BUCKETS, STRAY, NOISE = 18, 0.001, 600
 _WORDS = np.array([b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
@@ -192,31 +194,57 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return ((x[at - 1] << 16 | x[at] << 8 | x[at + 1]) * np.uint32(2654435761)) >> np.uint32(32 - BUCKETS), own[at]
 
 
+def _groups(texts: list[str]):
+    """Yields (number of the text, part of it) pairs of about BLOCK_BYTES characters; longer texts are cut at white space."""
+    group, size = [], 0
+    for k, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            cut = _SPACE.search(t, at + BLOCK_BYTES) if len(t) - at > BLOCK_BYTES else None
+            end = cut.start() if cut else len(t)
+            group.append((k, t[at:end]))
+            size, at = size + end - at, end
+            if size >= BLOCK_BYTES:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 class Familiar:
     """Whether a text's trigrams are those of the learned languages: their mean log frequency against a calibrated bound."""
 
     def __init__(self, texts: list[str]):
-        found = np.bincount(_trigrams(texts)[0], minlength=1 << BUCKETS)
+        found = np.zeros(1 << BUCKETS)
+        for group in _groups(texts):
+            found += np.bincount(_trigrams([t for _, t in group])[0], minlength=1 << BUCKETS)
         self.logs = np.log((found + 0.1) / max(found.sum(), 1)).astype(np.float32)
         self.bound, self.spread, self.usual = -np.inf, 0.0, 1.0
 
-    def means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log frequency and number of trigrams of each text."""
-        grams, own = _trigrams(texts)
-        n = np.bincount(own, minlength=len(texts))
-        return np.bincount(own, self.logs[grams], minlength=len(texts)) / np.maximum(n, 1), n
+    def means(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Mean log frequency, mean of its square, and number of trigrams of each text."""
+        total, square, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts))
+        for group in _groups(texts):
+            grams, own = _trigrams([t for _, t in group])
+            own, logs = np.array([k for k, _ in group])[own], self.logs[grams].astype(float)
+            total += np.bincount(own, logs, len(texts))
+            square += np.bincount(own, logs * logs, len(texts))
+            n += np.bincount(own, minlength=len(texts))
+        some = np.maximum(n, 1)
+        return total / some, square / some, n
 
     def calibrate(self, held: list[str], noise: list[str]) -> Familiar:
         """Between texts that were not learned from and noise; where these overlap, at the lowest of the former but STRAY."""
-        means, n = self.means(held)
+        means, square, n = self.means(held)
         low, high = np.quantile(means[n > 0], STRAY), np.quantile(self.means(noise)[0], 0.95)
         self.bound = (low + high) / 2 if high < low else low
-        self.spread, self.usual = float(np.std(self.logs[_trigrams(held)[0]])), float(np.median(n[n > 0]))
+        mean = np.average(means, weights=n)
+        self.spread, self.usual = float(np.sqrt(max(np.average(square, weights=n) - mean**2, 0))), float(np.median(n[n > 0]))
         return self
 
     def knows(self, texts: list[str]) -> np.ndarray:
         """Short texts get the slack that chance gives them."""
-        means, n = self.means(texts)
+        means, _, n = self.means(texts)
         slack = 2 * self.spread * np.maximum(1 / np.sqrt(np.maximum(n, 1)) - 1 / np.sqrt(self.usual), 0)
         return (n > 0) & (means >= self.bound - slack)
 
@@ -234,62 +262,64 @@ def _noise(held: list[str]) -> list[str]:
             continue
         at = rng.randrange(len(letters) - 40)
         own = "abcdefghijklmnopqrstuvwxyz" if k % 3 == 1 else letters[at : at + 40]
-        out.append(" ".join("".join(rng.choice(own) for _ in range(rng.randrange(2, 11))) for _ in range(WINDOW // 7)))
+        out.append(" ".join("".join(rng.choice(own) for _ in range(rng.randrange(2, 11))) for _ in range(20)))
     return [t for t in out if _LETTER.search(t)]
 
 
-def familiar(docs: DataFrame, most: int = TRAIN_DOCS) -> Familiar | None:
-    """Learned from two thirds of the training sample, calibrated on the rest; None if nothing can be learned from."""
-    texts = ["\n".join(w) for w in sample(docs, most)["windows"]]
-    texts = [t for t in texts if _LETTER.search(t)]
+def familiar(rows: pd.DataFrame) -> Familiar | None:
+    """Learned from two thirds of a sample(), calibrated on the rest; None if nothing can be learned from."""
+    texts = [t for t in rows["text"] if _LETTER.search(t)]
     if not texts:
         return None
     held = texts[::3]
     return Familiar([t for k, t in enumerate(texts) if k % 3] or held).calibrate(held, _noise(held))
 
 
-def known(text: Column, model: Familiar) -> Column:
-    """Whether a text is in a learned language as far as its letters tell; false for a null text."""
-
-    @F.pandas_udf("boolean")
-    def judge(texts: pd.Series) -> pd.Series:
-        out = [np.zeros(0, bool)]
-        for k in range(0, len(texts), 256):
-            out.append(model.knows([t if isinstance(t, str) else "" for t in texts.iloc[k : k + 256]]))
-        return pd.Series(np.concatenate(out))
-
-    return judge(text)
+def _parts(texts: list[str]):
+    """Stretches (from, to) of the texts of about BLOCK_BYTES, one text at least."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK_BYTES):
+            size += len(texts[end])
+            end += 1
+        yield at, end
+        at = end
 
 
-def predict(docs: DataFrame, net: ByteNet | None, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its probability.
+def predict(docs: DataFrame, net: ByteNet | None, lang: str = "lang_pred", score: str = "score", model: Familiar | None = None, known: str = "known") -> DataFrame:
+    """docs with the predicted language, its probability, and with a model whether it knows the text; they replace columns of these names.
 
-    `und` and 0 where the text is null or holds no letter, or nothing was learned. Rows are independent; all columns of docs
-    stay; an empty table gives none.
+    The probability is the mean over all positions of the whole text. `und` and 0 where the text is null or holds no letter,
+    or nothing was learned. Rows are independent, so repeated rows and ids get equal results; all other columns of docs stay;
+    an empty table gives none.
     """
+    docs = docs.drop(lang, score, *([known] if model else []))
     if net is None:
         return docs.withColumn(lang, F.lit(UNKNOWN)).withColumn(score, F.lit(0.0))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("struct<lang string, score double>")
-    def classify(texts: pd.Series) -> pd.DataFrame:
-        names, scores = [], []
-        for k in range(0, len(texts), 256):
-            part = [t if isinstance(t, str) else "" for t in texts.iloc[k : k + 256]]
-            p = net.documents([t.encode() for t in part])
-            for t, row in zip(part, p):
-                best = int(row.argmax())
-                known = bool(_LETTER.search(t))
-                names.append(net.labels[best] if known else UNKNOWN)
-                scores.append(min(float(row[best]), 1.0) if known else 0.0)
-        return pd.DataFrame({"lang": names, "score": scores})
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).to_pylist()]
+            for s, e in _parts(texts):
+                part = texts[s:e]
+                p = net.documents([t.encode() for t in part])
+                some = np.array([bool(_LETTER.search(t)) for t in part])
+                best = p.argmax(1)
+                out = [pa.array([net.labels[k] if x else UNKNOWN for k, x in zip(best.tolist(), some)], pa.string()), pa.array(np.where(some, np.minimum(p.max(1), 1.0), 0.0), pa.float64())]
+                if model:
+                    out.append(pa.array(model.knows(part), pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(s, e - s).columns, *out], names=[*batch.schema.names, lang, score, *([known] if model else [])])
 
-    found = docs.withColumn("_found", classify(F.col("text")))
-    return found.withColumn(lang, F.col("_found.lang")).withColumn(score, F.col("_found.score")).drop("_found")
+    new = [T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), *([T.StructField(known, T.BooleanType())] if model else [])]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *new]))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out; a null doc_id has a null held_out."""
     docs = table(spark, sf_dir, "documents")
-    net = fit(docs.select("doc_id", "text", "lang"))
+    net = fit(sample(docs.select("doc_id", "text", "lang")))
     return predict(docs.select("doc_id", "text"), net).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
