@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, fingerprint, graphs, jaccard, langid, licenses, linededup, packing, quality, repeats, suffixes, vectors
+from scriptorium.llm import bpe, fingerprint, graphs, jaccard, langid, linededup, packing, quality, repeats, suffixes, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, ids string, score double"
 
@@ -133,15 +133,6 @@ def test_bpe_round_trip_and_safe_cuts(spark, prose):
     assert bpe.encode(docs(spark, "a").limit(0)).count() == 0
 
 
-def test_licenses(spark):
-    texts = ["The MIT License. MIT-license\ncc by", None, "", "!!", "Licensed under the Apache License, Version 2.0.", "permission is hereby granted, free of charge, to any person obtaining a copy of software"]
-    got = {r.doc_id: r for r in licenses.scan(docs(spark, *texts)).collect()}
-    assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels) == (7, 3, 1, 5, "cc-by,mit")
-    assert all(got[i].n_words == 0 and got[i].first_word is None and got[i].labels == "" for i in (1, 2, 3))
-    assert got[4].labels == "apache,apache-2.0" and got[5].base_labels == "" and got[5].labels == "permission" and 0.8 <= got[5].score < 1
-    assert licenses.scan(docs(spark, "a").limit(0)).count() == 0
-
-
 def test_fingerprints(spark):
     texts = ["Café́ A  b", "café́ a b", None, "", "x" * 9, "Café", "café"]
     got = {r.doc_id: r for r in fingerprint.edited_likeness(docs(spark, *texts)).collect()}
