@@ -12,6 +12,8 @@ order included.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,10 @@ from .common import stored, table
 BROADCAST_ROWS = 1_000_000
 #: Documents of neighbouring ids that are handled together.
 NEIGHBOURS = 1000
-#: Ranges at most; beyond that they get longer, and their sorts spill.
-RANGES = 4096
+#: Ranges of neighbours at most; beyond that they get longer (1.5 GB each for 100 TB), and their sorts spill.
+RANGES = 1 << 16
+#: Stands for a null doc_id in the order of documents.
+LAST = (1 << 63) - 1
 
 
 def icu(name: str, *args: Column) -> Column:
@@ -69,57 +73,65 @@ def fingerprints(texts: DataFrame, key: str = "doc_id", hash_of=wide_hash) -> Da
     return joined.select(key, F.concat_ws("-", "hash", F.coalesce("place", F.lit(0)).cast("string")).alias("fingerprint"))
 
 
+def numbered(docs: DataFrame, firsts: list[int]) -> DataFrame:
+    """docs with part, the number of the last of the ascending firsts that is not above key, and that first; found in two steps."""
+    width = max(1, math.isqrt(len(firsts)))
+    groups = [firsts[k : k + width] for k in range(0, len(firsts), width)]
+    edges = docs.sparkSession.createDataFrame([([g[0] for g in groups], groups)], "heads array<long>, groups array<array<long>>")
+    below = lambda edge: F.size(F.filter(edge, lambda x: x <= F.col("key"))) - 1
+    placed = docs.crossJoin(F.broadcast(edges)).withColumn("group", below(F.col("heads"))).withColumn("own", F.get("groups", F.col("group")))
+    placed = placed.withColumn("place", below(F.col("own")))
+    return placed.select(*docs.columns, (F.col("group") * width + F.col("place")).alias("part"), F.get("own", F.col("place")).alias("first"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text) in ascending doc_id; after the last comes the first.
+    """(doc_id, text, next_text) in ascending doc_id, null ones last; after the last comes the first.
 
-    Documents are dealt into ranges of doc_id by percentiles, one number to the driver for each NEIGHBOURS documents. The
-    first document of a range goes to the range before it as well. Rows that share a doc_id follow by text.
+    Documents are dealt into ranges of doc_id by percentiles, one number to the driver for each NEIGHBOURS documents (RANGES at
+    most). The first document of a range goes to the range before it as well. Rows that share a doc_id follow by text.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    n = docs.count()
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    n, low = docs.agg(F.count("*"), F.min("key")).first()
     parts = min(RANGES, max(1, -(-n // NEIGHBOURS)))
-    bounds = docs.agg(F.percentile_approx("doc_id", [k / parts for k in range(parts)], 10 * parts)).first()[0] or []
-    firsts = sorted({int(x) for x in bounds})
-    if not firsts:
-        return docs.withColumn("next_text", F.lit(""))
-    low = docs.agg(F.min("doc_id")).first()[0]
-    firsts = sorted({low, *firsts})
-    edges = F.array(*map(F.lit, firsts))
-    part = F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))) if len(firsts) > 1 else F.lit(1)
-    placed = docs.withColumn("part", part.cast("int"))
-    donor = F.when(F.array_contains(edges, F.col("doc_id")), F.when(F.col("part") == 1, F.lit(len(firsts))).otherwise(F.col("part") - 1))
-    sent = placed.withColumn("to", F.explode(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("late")), F.struct(donor.alias("part"), F.lit(1).alias("late"))))).filter("to.part IS NOT NULL")
-    near = Window.partitionBy("to.part").orderBy("to.late", "doc_id", "text")
-    return sent.select("doc_id", "text", "to").withColumn("next_text", F.lead("text").over(near)).filter("to.late = 0").select("doc_id", "text", "next_text")
+    bounds = docs.agg(F.percentile_approx("key", [k / parts for k in range(parts)], max(10_000, 4 * parts))).first()[0] if n else None
+    firsts = sorted({low or 0, *map(int, bounds or [])})
+    here = F.struct(F.col("part"), F.lit(0).alias("late"))
+    before = F.struct(F.pmod(F.col("part") - 1, F.lit(len(firsts))).alias("part"), F.lit(1).alias("late"))
+    sent = numbered(docs, firsts).select("key", "text", F.explode(F.when(F.col("key") == F.col("first"), F.array(here, before)).otherwise(F.array(here))).alias("to"))
+    near = Window.partitionBy("to.part").orderBy("to.late", "key", "text")
+    return sent.withColumn("next_text", F.lead("text").over(near)).filter("to.late = 0").select(F.nullif("key", F.lit(LAST)).alias("doc_id"), "text", "next_text")
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edited_likeness() of every whole text."""
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
-def edited_likeness(docs: DataFrame) -> DataFrame:
+def edited_likeness(docs: DataFrame, hash_of=wide_hash) -> DataFrame:
     """Fingerprints of each text and of its edited text, and whether they and the next document's are equal.
 
-    Exact digests are alike (1.0) or not (0.0). A null text is empty; an empty table gives no rows; rows without a
-    doc_id have no place in the order and are left out.
+    Exact digests are alike (1.0) or not (0.0), by the canonical bytes. A null text is empty; a null doc_id stays null and comes
+    last in the order; rows that share a doc_id follow by text, and each row stands for itself. Other columns are not read;
+    an empty table gives no rows.
     """
-    length = F.length("text")
-    half = F.floor(length / 2).cast("int")
-    edited = F.concat(F.expr("left(text, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("left(next_text, cast(floor(length(text) / 2) as int))"))
-    canon = canonical(F.col("text"))
-    wide = with_next(docs).select(
-        "doc_id", length.cast("long").alias("n_chars"), half.alias("half"), wide_hash(canon).alias("hash"),
-        wide_hash(canonical(F.coalesce("next_text", F.lit("")))).alias("next_hash"), edited.alias("edited"),
-    )
-    wide = wide.withColumn("edited_canon", canonical(F.col("edited"))).withColumn("edited_hash", wide_hash(F.col("edited_canon")))
-    narrow = stored(wide.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "hash", "next_hash", "edited_hash"))
-    hashes = narrow.select("hash").unionAll(narrow.select(F.col("edited_hash").alias("hash")))
-    texts = docs.select(canonical(F.coalesce("text", F.lit(""))).alias("canon")).select(wide_hash(F.col("canon")).alias("hash"), "canon")
+    half = "cast(floor(length(text) / 2) as int)"
+    edited = F.concat(F.expr(f"left(text, length(text) - {half})"), F.expr(f"left(next_text, {half})"))
+    wide = with_next(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), edited.alias("edited"), canonical(F.col("text")).alias("canon"), canonical(F.col("next_text")).alias("next_canon"))
+    wide = wide.withColumn("edited_canon", canonical(F.col("edited"))).withColumn("near_edited", (F.col("canon") == F.col("edited_canon")).cast("double"))
+    wide = wide.withColumn("near_next", (F.col("canon") == F.col("next_canon")).cast("double")).withColumn("edited_sha256", F.sha2("edited", 256))
+    wide = wide.withColumn("hash", hash_of(F.col("canon"))).withColumn("edited_hash", hash_of(F.col("edited_canon"))).drop("edited", "next_canon")
+    narrow = stored(wide.drop("canon", "edited_canon"))
+    strays = narrow.filter("near_edited = 0").select(F.col("edited_hash").alias("hash"))
+    hashes = narrow.select("hash").unionAll(strays)
+    texts = docs.select(canonical(F.coalesce("text", F.lit(""))).alias("canon")).select(hash_of(F.col("canon")).alias("hash"), "canon")
+    several = strays.groupBy("hash").count().withColumnRenamed("count", "n")
+    known = several.filter("n > 1").select("hash").unionAll(several.join(narrow.select("hash").distinct(), "hash", "left_semi").select("hash"))
+    if not known.isEmpty():  # edited texts that share a hash with others are compared by their bytes too
+        texts = texts.unionAll(wide.filter("near_edited = 0").select(F.col("edited_hash").alias("hash"), F.col("edited_canon").alias("canon")))
     found = collisions(texts, hashes)
-    mark = "-0"
-    if not found.isEmpty():
-        raise RuntimeError("two canonical texts have one 128-bit hash; use fingerprints(), which tells them apart")
-    return narrow.select(
-        "doc_id", "n_chars", "edited_sha256", F.concat("hash", F.lit(mark)).alias("fingerprint"), F.concat("edited_hash", F.lit(mark)).alias("edited_fingerprint"),
-        (F.col("hash") == F.col("edited_hash")).cast("double").alias("near_edited"), (F.col("hash") == F.col("next_hash")).cast("double").alias("near_next"),
-    )
+    if found.isEmpty():
+        return narrow.select("doc_id", "n_chars", "edited_sha256", *(F.concat(h, F.lit("-0")).alias(f) for h, f in (("hash", "fingerprint"), ("edited_hash", "edited_fingerprint"))), "near_edited", "near_next")
+    first, second = found.withColumnRenamed("place", "p"), found.select(F.col("hash").alias("edited_hash"), F.col("canon").alias("edited_canon"), F.col("place").alias("q"))
+    marked = wide.join(first, ["hash", "canon"], "left").join(second, ["edited_hash", "edited_canon"], "left")
+    mark = lambda h, p: F.concat_ws("-", h, F.coalesce(p, F.lit(0)).cast("string"))
+    return marked.select("doc_id", "n_chars", "edited_sha256", mark("hash", "p").alias("fingerprint"), mark("edited_hash", "q").alias("edited_fingerprint"), "near_edited", "near_next")
