@@ -1,13 +1,20 @@
 """Exact n-gram Jaccard join by grouped prefixes, and its connected components.
 
-1. Shingle counts: each batch of documents sends its distinct shingle hashes to buckets, with the document where only
-   one of the batch has it; a bucket knows how many documents hold a shingle and answers with those held by two or more.
-   A document whose shared shingles are fewer than 80 % of its set links with nothing and is done.
-2. Documents with equal sets become one class. Order within a set: rarest first. With J >= 0.8 two sets share one of their
-   first n - ceil(0.8 n) + 1 shingles (prefix); unshared ones come first and take up places of the prefix.
-3. Classes are collapsed into groups by the least shared shingle and size class, large groups split. Groups that
-   share a prefix shingle and have near size classes become group pairs; each pair is expanded once and its members are
-   verified by exact intersections. Of the links found in a pair a spanning forest goes on: it keeps the components.
+1. Shingle counts: each batch of documents sends its distinct shingle tokens (48 bits of a hash) to buckets, with the
+   document where only one of the batch has it; a bucket knows how many documents hold a token and answers with those held by
+   two or more. A document whose shared tokens are fewer than 80 % of its set links with nothing and is done. Two shingles
+   of one token only make it look more common, so nothing is lost by that.
+2. Documents with equal sets become one class. Tokens are ordered rarest first; unshared ones come first and take up places.
+   With J >= 0.8 two sets share one of their first n - ceil(0.8 n) + 1 tokens (prefix).
+3. Classes with identical prefix and size become one group, which is posted once under its prefix tokens. Group pairs are
+   filtered first to those with a hub, of all groups of a token the one whose tokens are most common: the members of a group meet
+   the best hub of its tokens, or its representative where there is none. The links found make components.
+4. What is left are tokens under which several components stand. Their classes are expanded in chunks of CHUNK (of one
+   component, or of one rarest open token and size class), and pairs of chunks of near sizes are verified unless both lie in
+   one component. A large cluster of near copies thus costs a comparison a member, not a pair.
+
+Every link is verified on the words of both texts. Candidates are hashes and ids; texts of classes that may link travel only
+to be verified.
 """
 
 from __future__ import annotations
@@ -19,7 +26,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -27,9 +34,16 @@ from .common import stored, table
 from .graphs import components
 
 WIDTH, SHARE = 5, 80
-BATCH_DOCS, BATCH_BYTES, GROUP = 1000, 4 << 20, 64
+#: Bytes of text for each bucket of tokens; they grow with the root of the corpus beyond 64 GB, up to the second number.
+BUCKET_BYTES, BUCKET_MOST = 16 << 20, 256 << 20
+#: Bytes of text of a batch, least and most; it grows with the number of buckets, so that parts don't get too small.
+BATCH_BYTES, BATCH_MOST = 4 << 20, 64 << 20
+#: Classes of a chunk.
+CHUNK = 64
+#: Classes whose texts are asked for by all tasks up to this number (24 bytes each), else by a join with a shuffle.
+BROADCAST_ROWS = 2_000_000
+BITS = 48
 _TOKEN = np.dtype([("t", "<u8"), ("d", "<u2"), ("n", "<u4")])
-_POST = np.dtype([("t", "<u8"), ("g", "<i8"), ("c", "<i2")])
 SEVERAL = 0xFFFF
 
 
@@ -38,6 +52,13 @@ def need(n: int, share: int = SHARE) -> int:
     return -(-share * n // 100)
 
 
+def sizes(text_bytes: int) -> tuple[int, int]:
+    """Number of buckets and bytes of a batch for so many bytes of text."""
+    bucket = min(BUCKET_MOST, BUCKET_BYTES * max(1.0, (text_bytes / (64 << 30)) ** 0.5))
+    buckets = max(64, int(text_bytes / bucket) + 1)
+    return buckets, min(BATCH_MOST, max(BATCH_BYTES, buckets * 4096))
+
+
 def _packed(rows: np.ndarray) -> bytes:
     """Rows of _TOKEN for a shuffle: differences of the hashes by byte planes, then the other columns; compressed."""
     with np.errstate(over="ignore"):
@@ -58,33 +79,40 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 def _bucketed(rows: np.ndarray, buckets: int):
     """(bucket, part) for rows sorted by token: buckets are ranges of the hash."""
-    edges = np.searchsorted(rows["t"], np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64))
+    edges = np.searchsorted(rows["t"], np.array([(k << BITS) // buckets for k in range(1, buckets)], np.uint64))
     for k, part in enumerate(np.split(rows, edges)):
         if len(part):
             yield k, part
 
 
-def shingle_rows(docs: DataFrame, buckets: int, width: int, key: str | None = None) -> DataFrame:
-    """(dest, batch, blob): shingles by bucket (dest >= 0), and per batch its documents with their keys (dest < 0)."""
+def text_key(text: Column) -> tuple[Column, Column]:
+    """128 bits that stand for a whole text."""
+    return F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text)
+
+
+def shingle_rows(docs: DataFrame, buckets: int, batch_bytes: int, width: int, key: str | None = None) -> DataFrame:
+    """(dest, batch, blob): tokens by bucket (dest >= 0), and per batch its documents with their keys (dest < 0)."""
 
     def run(batches):
         base, count = TaskContext.get().partitionId() << 32, 0
         for whole in batches:
             ids, nulls = whole.column(0).fill_null(0).to_numpy(zero_copy_only=False), whole.column(0).is_null().to_numpy(zero_copy_only=False)
-            keys, texts = whole.column(1).to_numpy(zero_copy_only=False), whole.column(2).cast(pa.binary()).to_pylist()
+            keys, ka, kb = (whole.column(k).to_numpy(zero_copy_only=False) for k in (1, 3, 4))
+            texts = whole.column(2).cast(pa.binary())
             at = 0
             while at < len(ids):
-                size, end = 0, at
-                while end < len(ids) and end - at < BATCH_DOCS and (end == at or size < BATCH_BYTES):
-                    size += len(texts[end] or b"")
-                    end += 1
-                part, sets = [t or b"" for t in texts[at:end]], []
+                part, size = [], 0
+                while at + len(part) < len(ids) and len(part) < SEVERAL and (not part or size < batch_bytes):
+                    part.append(texts[at + len(part)].as_py() or b"")
+                    size += len(part[-1])
+                end, sets = at + len(part), []
                 with np.errstate(over="ignore"):
                     for k in range(0, len(part), 100):
                         data, bounds = hashing.joined(part[k : k + 100])
                         sets += hashing.shingles(*hashing.words(data, bounds), width)
-                sizes = np.array([len(s) for s in sets])
-                tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                short = [np.unique(s >> np.uint64(64 - BITS)) for s in sets]
+                lengths = np.array([len(s) for s in short])
+                tokens, owner = np.concatenate(short), np.repeat(np.arange(len(sets)), lengths)
                 order = np.argsort(tokens, kind="stable")
                 tokens, owner = tokens[order], owner[order]
                 first = np.ones(len(tokens), bool)
@@ -95,18 +123,20 @@ def shingle_rows(docs: DataFrame, buckets: int, width: int, key: str | None = No
                 batch, dest, blobs = base + count, [-1 - count], []
                 count += 1
                 own = np.repeat(n, n) > 1
-                head = [np.array([len(sets)], "<i8").tobytes(), ids[at:end].astype("<i8").tobytes(), keys[at:end].astype("<i8").tobytes(), nulls[at:end].astype("<i8").tobytes(), sizes.astype("<i8").tobytes()]
-                head += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                head = np.stack([ids[at:end], keys[at:end], nulls[at:end], [len(s) for s in sets], lengths, ka[at:end], kb[at:end]]).astype("<i8")
                 mine = np.zeros(int(own.sum()), _TOKEN)
                 mine["t"], mine["d"] = tokens[own], owner[own]
-                blobs.append(b"".join([*head, _packed(mine)]))
+                digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+                blobs.append(np.int64(len(sets)).tobytes() + head.tobytes() + digests + _packed(mine))
                 for k, x in _bucketed(rows, buckets):
                     dest.append(k)
                     blobs.append(_packed(x))
                 yield pa.RecordBatch.from_arrays([pa.array(dest, pa.int64()), pa.array([batch] * len(dest), pa.int64()), pa.array(blobs, pa.binary())], names=["dest", "batch", "blob"])
                 at = end
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(key).cast("long").alias("key") if key else F.lit(0).cast("long").alias("key"), "text").mapInArrow(run, "dest long, batch long, blob binary")
+    own = F.col(key).cast("long") if key else F.lit(0).cast("long")
+    a, b = text_key(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("key"), "text", a.alias("a"), b.alias("b")).mapInArrow(run, "dest long, batch long, blob binary")
 
 
 def _count(got: pd.DataFrame) -> pd.DataFrame:
@@ -130,7 +160,7 @@ def _count(got: pd.DataFrame) -> pd.DataFrame:
 
 def _answer(share: int):
     def run(got: pd.DataFrame) -> pd.DataFrame:
-        """Per document its size, digest, and, if it may link, its shared shingles, rarest first."""
+        """Per document its size, digest, text key, and, if it may link, how common its tokens are (mean logarithm of their counts) and its prefix, rarest first."""
         head, rest = None, []
         for dest, blob in zip(got["dest"], got["blob"]):
             if dest < 0:
@@ -138,9 +168,9 @@ def _answer(share: int):
             else:
                 rest.append(_unpacked(blob))
         n = int(np.frombuffer(head, "<i8", 1)[0])
-        ids, keys, nulls, sizes = np.frombuffer(head, "<i8", 4 * n, 8).reshape(4, n)
-        digests = [head[8 + 32 * n + 16 * i : 24 + 32 * n + 16 * i] for i in range(n)]
-        mine = _unpacked(head[8 + 48 * n :])
+        ids, keys, nulls, size, short, a, b = np.frombuffer(head, "<i8", 7 * n, 8).reshape(7, n)
+        digests = [head[8 + 56 * n + 16 * i : 24 + 56 * n + 16 * i] for i in range(n)]
+        mine = _unpacked(head[8 + 72 * n :])
         known = np.sort(np.concatenate(rest or [np.zeros(0, _TOKEN)]), order="t")
         own = mine.copy()
         if len(own):
@@ -148,109 +178,144 @@ def _answer(share: int):
         every = np.concatenate([known[known["d"] != SEVERAL], own])
         every = every[np.lexsort((every["t"], every["n"], every["d"]))]
         bounds = np.searchsorted(every["d"], np.arange(n + 1))
-        tokens = [every["t"][s:e].tobytes() if size and e - s >= need(int(size), share) else None for s, e, size in zip(bounds[:-1], bounds[1:], sizes)]
-        return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64").mask(nulls > 0), "key": keys, "n": sizes, "digest": digests, "tokens": tokens})
+        prefix = []
+        for s, e, full, some in zip(bounds[:-1].tolist(), bounds[1:].tolist(), size.tolist(), short.tolist()):
+            least = max(need(full, share) - (full - some), 1)  # fewer where two of its shingles have one token
+            prefix.append(every["t"][s : e - least + 1].astype(np.int64) if full and e - s >= least else None)
+        centre = np.bincount(every["d"], np.log2(every["n"]), n)[:n] / np.maximum(size, 1)
+        return pd.DataFrame({"doc_id": pd.Series(ids, dtype="Int64").mask(nulls > 0), "key": keys, "n": size, "digest": digests, "a": a, "b": b, "centre": centre, "prefix": prefix})
 
     return run
 
 
-def _verify(share: int):
+def word_shingles(text: str | None, width: int) -> set[bytes]:
+    """The definition: A-Z lower-cased, words split at ASCII white space; the whole sequence where there are fewer than width words."""
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
+
+
+def linked(a: set, b: set, share: int) -> bool:
+    if not a or not b or 100 * min(len(a), len(b)) < share * max(len(a), len(b)):
+        return False
+    both = len(a & b)
+    return 100 * both >= share * (len(a) + len(b) - both)
+
+
+def near(a: Column, b: Column, share: int) -> Column:
+    """Whether sets of these sizes can link."""
+    return 100 * F.least(a, b) >= share * F.greatest(a, b)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
+    """Of pairs (u, v) those that link, by the words of their texts (cid, text)."""
+    one = texts.select(F.col("cid").alias("u"), F.col("text").alias("x"))
+    two = texts.select(F.col("cid").alias("v"), F.col("text").alias("y"))
+
+    def run(batches):
+        last, held = None, set()
+        for b in batches:
+            keep = []
+            for v, x, y in zip(b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if v != last:
+                    last, held = v, word_shingles(y.as_py(), width)
+                keep.append(linked(word_shingles(x.as_py(), width), held, share))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+
+
+def _block(width: int, share: int):
     def run(got: pd.DataFrame) -> pd.DataFrame:
-        """Links among the members of one group, or between two groups, as a spanning forest."""
-        one = got["grp"].nunique() < 2
-        sets = [np.frombuffer(b, "<u8") for b in got["tokens"]]
-        sizes, side = got["n"].to_numpy(), got["grp"].to_numpy()
-        left = np.arange(len(got)) if one else np.flatnonzero(side == side.min())
-        right = left if one else np.flatnonzero(side != side.min())
-        words, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        common = np.bincount(inverse, minlength=len(words)) > 1
-        place = np.cumsum(common) - 1
-        keep = common[inverse]
-        col, row = place[inverse[keep]], owner[keep]
-        order = np.argsort(col, kind="stable")
-        col, row = col[order], row[order]
-        both = np.zeros((len(left), len(right)))
-        for s in range(0, int(common.sum()), 4096):
-            a, b = np.searchsorted(col, [s, s + 4096])
-            m = np.zeros((len(sets), 4096), np.float32)
-            m[row[a:b], col[a:b] - s] = 1
-            both += m[left] @ m[right].T
-        either = sizes[left][:, None] + sizes[right][None] - both
-        x, y = np.nonzero(100 * both >= share * either)
-        parent = list(range(len(sets)))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+        """Links between members of different components of one or two chunks, as a spanning forest."""
+        sets = [word_shingles(t, width) for t in got["text"]]
+        side, parent = got["chunk"].tolist(), {c: c for c in got["comp"]}
+        comp, cid = got["comp"].tolist(), got["cid"].tolist()
+        left = [i for i, s in enumerate(side) if s == got["a"].iloc[0]]
+        right = [i for i, s in enumerate(side) if s == got["b"].iloc[0]]
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
 
         out = []
-        for i, j in zip(left[x].tolist(), right[y].tolist()):
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                out.append((got["digest"].iloc[i], got["digest"].iloc[j]))
+        for i in left:
+            for j in right:
+                a, b = root(comp[i]), root(comp[j])
+                if a != b and linked(sets[i], sets[j], share):
+                    parent[max(a, b)] = min(a, b)
+                    out.append((cid[i], cid[j]))
         return pd.DataFrame(out, columns=["u", "v"])
 
     return run
 
 
+def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, text) of each class."""
+    wanted = classes.select("a", "b", "cid")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    a, b = text_key(F.col("text"))
+    return stored(docs.select("text", a.alias("a"), b.alias("b")).join(wanted, ["a", "b"]).groupBy("cid").agg(F.first("text").alias("text")))
+
+
+def hub_pairs(classes: DataFrame, share: int) -> DataFrame:
+    """(u, v): each member of a group with the best hub of the group's prefix tokens, or with the group's representative."""
+    groups = stored(classes.groupBy("n", "prefix").agg(F.min("cid").alias("g"), F.max("centre").alias("centre")))
+    posts = groups.select("g", "n", "centre", F.explode("prefix").alias("t"))
+    hubs = posts.groupBy("t").agg(F.max(F.struct("centre", "n", "g")).alias("hub"), F.count("*").alias("c")).filter("c > 1").select("t", F.col("hub.g").alias("v"), F.col("hub.n").alias("hub_n"), F.col("hub.centre").alias("hub_centre"))
+    met = posts.join(hubs, "t").filter((F.col("g") != F.col("v")) & near(F.col("n"), F.col("hub_n"), share))
+    votes = met.groupBy("g", "v", "hub_centre").agg(F.count("*").alias("votes")).groupBy("g").agg(F.max(F.struct("hub_centre", "votes", "v")).alias("best"))
+    named = groups.select("n", "prefix", "g").join(votes.select("g", F.col("best.v").alias("v")), "g", "left")
+    members = classes.select("cid", "n", "prefix").join(named, ["n", "prefix"])
+    return members.select(F.col("cid").alias("u"), F.coalesce("v", "g").alias("v")).filter("u <> v")
+
+
+def open_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
+    """Links (u, v) between classes of different components that share a prefix token."""
+    posts = classes.select("cid", "n", F.posexplode("prefix").alias("at", "t")).join(comps, "cid")
+    several = posts.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("t")
+    live = stored(posts.join(several, "t", "left_semi"))
+    own = live.groupBy("cid", "comp", "n").agg(F.min(F.struct("at", "t"))["t"].alias("least"))
+    alone = own.groupBy("comp").agg((F.count("*") == 1).alias("alone"))
+    size = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / share))).cast("long")
+    own = stored(own.join(alone, "comp").select("cid", "comp", "n", "alone", F.when(F.col("alone"), F.col("least")).otherwise(F.col("comp")).alias("k"), F.when(F.col("alone"), size).otherwise(-1).alias("l")))
+    count = own.groupBy("alone", "k", "l").agg(F.count("*").alias("c"))
+    chunk = F.xxhash64("alone", "k", "l", F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / CHUNK)))
+    own = stored(own.join(count, ["alone", "k", "l"]).select("cid", "comp", "n", chunk.alias("chunk")))
+    posted = live.select("cid", "t").join(own, "cid").groupBy("t", "chunk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    mixed = F.col("low") != F.col("high")
+    posted = stored(posted.withColumn("label", F.struct(mixed.alias("mixed"), F.when(mixed, F.col("chunk")).otherwise(F.col("low")).alias("of"))))
+    labels = posted.select("t", "label").distinct()
+    met = labels.withColumnRenamed("label", "one").join(labels.withColumnRenamed("label", "two"), "t").filter("one < two")
+    side = lambda name: posted.select("t", F.col("label").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("chunk", "least", "most")))
+    met = met.join(side("one"), ["t", "one"]).join(side("two"), ["t", "two"])
+    met = met.filter((100 * F.col("most_one") >= share * F.col("least_two")) & (100 * F.col("most_two") >= share * F.col("least_one")))
+    pairs = met.select(F.least("chunk_one", "chunk_two").alias("a"), F.greatest("chunk_one", "chunk_two").alias("b")).distinct()
+    pairs = pairs.unionAll(posted.filter("label.mixed").select(F.col("chunk").alias("a"), F.col("chunk").alias("b")).distinct())
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk")).join(own.select("chunk", "cid", "comp"), "chunk")
+    return sides.join(texts, "cid").groupBy("a", "b").applyInPandas(_block(width, share), "u long, v long")
+
+
 def linked_rows(docs: DataFrame, width: int = WIDTH, share: int = SHARE, key: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, key (a column of whole numbers without nulls), n, and root, the same for all rows of a component, null for rows without links."""
-    spark = docs.sparkSession
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = shingle_rows(docs, buckets, width, key)
+    buckets, batch_bytes = sizes(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    sent = shingle_rows(docs, buckets, batch_bytes, width, key)
     answered = sent.groupBy("dest", F.when(F.col("dest") < 0, F.col("batch")).alias("own")).applyInPandas(lambda x: _count(x), "dest long, batch long, blob binary")
-    rows = stored(answered.groupBy("batch").applyInPandas(_answer(share), "doc_id long, key long, n long, digest binary, tokens binary"))
-    near = rows.filter("tokens IS NOT NULL")
-    classes = near.groupBy("digest").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
-
-    def keyed(batches):
-        for b in batches:
-            least = [int(np.frombuffer(x, "<i8").min()) for x in b.column(2).to_pylist()]
-            size = [int(np.floor(np.log(n) / np.log(100 / share))) for n in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64()), pa.array(size, pa.int16())], names=["digest", "n", "tokens", "least", "size"])
-
-    classes = stored(classes.mapInArrow(keyed, "digest binary, n long, tokens binary, least long, size short"))
-    counts = classes.groupBy("least", "size").count()
-    split = F.pmod(F.xxhash64("digest"), F.ceil(F.col("count") / GROUP))
-    members = stored(classes.join(counts, ["least", "size"]).select(F.xxhash64("least", "size", split).alias("grp"), "digest", "n", "tokens", "size"))
-
-    def posted(batches):
-        for b in batches:
-            parts = []
-            for n, tokens, size, grp in zip(*(b.column(k).to_pylist() for k in range(4))):
-                t = np.frombuffer(tokens, "<u8")
-                t = t[: len(t) - need(n, share) + 1]
-                p = np.zeros(len(t), _POST)
-                p["t"], p["g"], p["c"] = t, grp, size
-                parts.append(p)
-            every = np.unique(np.concatenate(parts)) if parts else np.zeros(0, _POST)
-            found = list(_bucketed(every, buckets))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x.tobytes() for _, x in found], pa.binary())], names=["dest", "blob"])
-
-    def paired(got: pd.DataFrame) -> pd.DataFrame:
-        every = np.unique(np.concatenate([np.frombuffer(b, _POST) for b in got["blob"]]))
-        edges = np.flatnonzero(np.append(True, every["t"][1:] != every["t"][:-1]))
-        found = set()
-        for s, e in zip(edges, np.append(edges[1:], len(every))):
-            g, c = every["g"][s:e], every["c"][s:e].astype(int)
-            if e - s > 1:
-                for i in range(e - s - 1):
-                    for j in (np.flatnonzero(abs(c[i + 1 :] - c[i]) <= 1) + i + 1).tolist():
-                        if g[i] != g[j]:
-                            found.add((int(min(g[i], g[j])), int(max(g[i], g[j]))))
-        return pd.DataFrame(sorted(found), columns=["a", "b"])
-
-    pairs = members.select("n", "tokens", "size", "grp").mapInArrow(posted, "dest long, blob binary").groupBy("dest").applyInPandas(paired, "a long, b long").distinct()
-    pairs = pairs.unionAll(members.groupBy("grp").count().filter("count > 1").select(F.col("grp").alias("a"), F.col("grp").alias("b")))
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("grp"))
-    links = sides.join(members.select("grp", "digest", "n", "tokens"), "grp").groupBy("a", "b").applyInPandas(_verify(share), "u binary, v binary")
-    roots = components(links).select(F.col("node").alias("digest"), "root")
-    placed = near.select("doc_id", "key", "n", "digest").join(roots, "digest", "left").select("doc_id", "key", "n", F.coalesce("root", "digest").alias("root"))
-    return stored(placed.unionAll(rows.filter("tokens IS NULL").select("doc_id", "key", "n", F.lit(None).cast("binary").alias("root"))))
+    rows = stored(answered.groupBy("batch").applyInPandas(_answer(share), "doc_id long, key long, n long, digest binary, a long, b long, centre double, prefix array<long>"))
+    able = rows.filter("prefix IS NOT NULL")
+    classes = able.groupBy("digest").agg(F.min(F.struct("a", "b")).alias("x"), F.first("n").alias("n"), F.max("centre").alias("centre"), F.first("prefix").alias("prefix"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "x.a", "x.b", "n", "centre", "prefix"))
+    texts = class_texts(docs, classes)
+    comps = F.coalesce("root", "cid").alias("comp")
+    found = components(verified(hub_pairs(classes, share), texts, width, share)).withColumnRenamed("node", "cid")
+    first = stored(classes.select("cid").join(found, "cid", "left").select("cid", comps))
+    more = components(open_links(classes, first, texts, width, share).join(first.select(F.col("cid").alias("u"), F.col("comp").alias("x")), "u").join(first.select(F.col("cid").alias("v"), F.col("comp").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    roots = first.join(more.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("root"))
+    of = stored(classes.select("cid", "digest").join(roots, "cid").select("digest", "root"))
+    placed = able.select("doc_id", "key", "n", "digest").join(of, "digest").select("doc_id", "key", "n", "root")
+    return stored(placed.unionAll(rows.filter("prefix IS NULL").select("doc_id", "key", "n", F.lit(None).cast("long").alias("root"))))
 
 
 def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
@@ -259,23 +324,25 @@ def join(docs: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     Words are split at ASCII white space, A-Z in lower case. Null and empty texts have empty sets and link with nothing;
     with fewer than width words the whole sequence is the one shingle. Rows that share a doc_id count one by one. A null
     doc_id stays null and counts as larger than any: component_id is null only where all doc_ids of the component are.
-    Other columns are not read; an empty table gives no rows. Shingles are told apart by 64-bit hashes, sets by 128 bits.
+    Other columns are not read; an empty table gives no rows. Links are verified on words; n_shingles counts by 64-bit hashes,
+    and equal sets or texts are those of equal 128-bit hashes.
     """
     placed = linked_rows(docs, width, share)
-    linked = placed.filter("root IS NOT NULL")
-    least = stored(linked.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # so that a large component can be split in the join
-    found = linked.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    some = placed.filter("root IS NOT NULL")
+    least = stored(some.groupBy("root").agg(F.min("doc_id").alias("component_id")))  # so that a large component can be split in the join
+    found = some.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.unionAll(placed.filter("root IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def least_rows(docs: DataFrame, key: str, width: int = WIDTH, share: int = SHARE) -> DataFrame:
     """(key, kept) per row of docs: kept is true for one row of each component, that of the smallest doc_id (null last), then key."""
     placed = linked_rows(docs, width, share, key)
-    linked = placed.filter("root IS NOT NULL")
-    first = stored(linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("least")))
-    kept = linked.join(first, "root").select("key", (F.col("key") == F.col("least")).alias("kept"))
+    some = placed.filter("root IS NOT NULL")
+    first = stored(some.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("least")))
+    kept = some.join(first, "root").select("key", (F.col("key") == F.col("least")).alias("kept"))
     return kept.unionAll(placed.filter("root IS NULL").select("key", F.lit(True).alias("kept")))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """join() of every whole text."""
     return join(table(spark, sf_dir, "documents"))
