@@ -2,26 +2,31 @@
 
 Nearest by Euclidean distance is maximum inner product after one more component: x' = (x, -|x|^2 / 2), q' = (q, 1).
 Codebooks of 16 words per subspace are trained by the anisotropic loss: the residual's part parallel to x weighs more
-than the orthogonal part, because it changes high inner products most. A scan adds one looked-up value per subspace for
-each row; the best SCANNED rows of each block get exact distances.
+than the orthogonal part, because it changes high inner products most. Every row is encoded once; the table of codes (four
+bits a subspace) is what the scans read. A scan adds one looked-up value per subspace for each row; of all rows the RERANK best of
+a query get exact distances on the original vectors.
 
-Rows are dealt into blocks by hash, and each block meets every block of queries (the stated query set against all rows).
+Codes are dealt into blocks by row, and each block meets every block of queries (the stated query set against all rows). Of
+copies of one vector only the k + 1 smallest ids are scanned: the others are as far and come later in every result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 #: Bound of the training sample.
 TRAIN_ROWS = 8000
-WORDS, PER_SPACE, ETA, ROUNDS = 16, 2, 4.0, 8
-#: Rows per block, queries per block, rows of a block that are reranked per result wanted.
-ROWS, QUERIES, SCANNED = 1024, 1024, 8
+WORDS, PER_SPACE, ETA, ROUNDS = 16, 1, 2.0, 8
+#: Rows whose exact distance is computed for each query, whatever the table's size.
+RERANK = 400
+#: Codes per block, queries per block, and both at once in a scan.
+ROWS, QUERIES, AT_ONCE = 1 << 16, 1024, (64, 8192)
 
 
 class Codebook:
@@ -102,11 +107,62 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & (F.size(e) == dim)).filter(F.forall(e, finite) & F.exists(e, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<float>").alias("embedding"))
 
 
-def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+def code_table(rows: DataFrame, book: Codebook, k: int) -> DataFrame:
+    """(vec_id, code, row): each row's code; of one vector's copies those of the k + 1 smallest ids."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                codes = pa.array([c.tobytes() for c in book.encode(x)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), codes, b.column(2), b.column(3)], names=["vec_id", "code", "a", "b"])
+
+    one, two = (F.xxhash64(F.lit(i), "embedding").alias(c) for i, c in enumerate("ab"))
+    encoded = rows.select("vec_id", "embedding", one, two).mapInArrow(run, "vec_id long, code binary, a long, b long")
+    once = encoded.groupBy("a", "b", "vec_id").agg(F.first("code").alias("code"))
+    place = F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))
+    return stored(once.withColumn("place", place).filter(F.col("place") <= k + 1).select("vec_id", "code", F.monotonically_increasing_id().alias("row")))
+
+
+def scanned(codes: DataFrame, queries: DataFrame, book: Codebook, most: int) -> DataFrame:
+    """(query_id, vec_id): the rows of highest approximate inner product with each query, smaller ids first among equals."""
+    blocks, q_blocks = (max(1, -(-df.count() // size)) for df, size in ((codes, ROWS), (queries, QUERIES)))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    dealt = codes.select("vec_id", "code", F.pmod("row", F.lit(blocks)).alias("b")).withColumn("c", every(q_blocks))
+    asked = queries.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("c")).withColumn("b", every(blocks))
+
+    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "about": np.zeros(0)})]
+        if len(q) and len(d):
+            ids, packed = d["vec_id"].to_numpy(), np.frombuffer(b"".join(d["code"]), np.uint8).reshape(len(d), -1)
+            qx, qi = np.stack(q["embedding"]).astype(np.float64), q["vec_id"].to_numpy()
+            for s in range(0, len(q), AT_ONCE[0]):
+                score = np.concatenate([book.scan(qx[s : s + AT_ONCE[0]], packed[t : t + AT_ONCE[1]]) for t in range(0, len(d), AT_ONCE[1])], axis=1)
+                for i, own in enumerate(score):
+                    own[ids == qi[s + i]] = -np.inf
+                    some = np.flatnonzero(own >= np.partition(own, -most)[-most]) if len(own) > most else np.arange(len(own))
+                    some = some[np.isfinite(own[some])]
+                    some = some[np.lexsort((ids[some], -own[some]))[:most]]
+                    out.append(pd.DataFrame({"query_id": qi[s + i], "vec_id": ids[some], "about": own[some].astype(float)}))
+        return pd.concat(out)
+
+    met = asked.groupBy("b", "c").cogroup(dealt.groupBy("b", "c")).applyInPandas(meet, "query_id long, vec_id long, about double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
+    return met.withColumn("rank", rank).filter(F.col("rank") <= most).select("query_id", "vec_id").distinct()
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean, in double precision."""
+    squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x))
+
+
+def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RERANK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose vec_id is divisible by every.
 
-    Vectors that are null, zero, of another length than most of a sample, or hold a null or non-finite component take no
-    part. Rows with one vec_id are one candidate, at its nearest; a query's own vec_id is none. Ties go to smaller ids.
+    Vectors that are null, zero, of another length than most, or hold a null or non-finite component take no part, nor do rows
+    without a vec_id. Rows with one vec_id are one candidate, at its nearest, and one query, by its nearest row; a query's own
+    vec_id is none. Ties go to smaller ids. Other columns are not read; an empty table gives no rows.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -119,38 +175,17 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         return empty
     share = min(1.0, 2 * TRAIN_ROWS / n)
     drawn = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    x = np.array([r[0] for r in drawn.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).select("embedding").collect()], float)
+    x = np.array([r[0] for r in drawn.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(TRAIN_ROWS).select("embedding").collect()], float)
     book = Codebook.train(x)
     queries = rows.filter(F.col("vec_id") % every == 0)
-    blocks, q_blocks = max(1, -(-n // ROWS)), max(1, -(-queries.count() // QUERIES))
-    dealt = rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    asked = queries.withColumn("c", F.pmod(F.xxhash64("vec_id", F.lit(8)), F.lit(q_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(d):
-            d = d.sort_values("vec_id", kind="stable")
-            ids, x = d["vec_id"].to_numpy(), np.stack(d["embedding"]).astype(np.float64)
-            packed = book.encode(x)
-            qx, qi = np.stack(q["embedding"]).astype(np.float64), q["vec_id"].to_numpy()
-            for s in range(0, len(q), 128):
-                score = book.scan(qx[s : s + 128], packed)
-                for i in range(len(score)):
-                    most = SCANNED * k + 1
-                    best = np.argpartition(-score[i], most)[:most] if len(ids) > most else np.arange(len(ids))
-                    same = np.flatnonzero(score[i] == score[i][best].min()) if len(ids) > most else best
-                    best = np.unique(np.concatenate([best, same[:most]]))
-                    best = best[ids[best] != qi[s + i]]
-                    dist = np.sqrt(((x[best] - qx[s + i]) ** 2).sum(1))
-                    order = np.lexsort((ids[best], dist))[: 2 * k]
-                    out.append(pd.DataFrame({"query_id": qi[s + i], "vec_id": ids[best][order], "score": dist[order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    met = asked.groupBy("b", "c").cogroup(dealt.groupBy("b", "c")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    one = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    found = scanned(code_table(rows, book, k), queries, book, rerank)
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    scores = found.join(rows, "vec_id").join(asked, "query_id").select("query_id", "vec_id", distance(F.col("q"), F.col("embedding")).alias("score"))
+    one = scores.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k)
     return one.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), "x.vec_id", "x.score")
 
 
 def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """search() of the embeddings: every 100th row against all others."""
     return search(table(spark, sf_dir, "embeddings"))

@@ -1,0 +1,83 @@
+import numpy as np
+import pytest
+
+from scriptorium.llm import vectors
+
+SCHEMA = "vec_id long, embedding array<float>, score double, rank int, code string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, None if v is None else [None if x is None else float(x) for x in v], 1.0, 1, "c") for i, v in rows], SCHEMA)
+
+
+def brute(ids, x, q, k=10):
+    best = {}
+    for i, d in zip(ids, np.sqrt(((x - q[1]) ** 2).sum(1))):
+        if i != q[0]:
+            best[i] = min(best.get(i, np.inf), d)
+    return sorted(best.items(), key=lambda e: (e[1], e[0]))[:k]
+
+
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_recall_with_a_fixed_number_of_exact_distances(spark, kind):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(20_000, 32))
+    if kind == "clustered":
+        x = rng.normal(size=(50, 32))[rng.integers(0, 50, 20_000)] * 3 + x
+    x = x.astype(np.float32).astype(float)
+    got = {}
+    for r in vectors.search(frame(spark, enumerate(x)), every=400, rerank=200).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    hits = 0
+    for q in range(0, 20_000, 400):
+        want = brute(range(20_000), x, (q, x[q]))
+        own = [got[q][k] for k in range(1, 11)]
+        assert own == sorted(own, key=lambda e: (e[1], e[0]))
+        assert all(s == pytest.approx(np.sqrt(((x[i] - x[q]) ** 2).sum()), abs=1e-12) for i, s in own)
+        hits += len({i for i, _ in own} & {i for i, _ in want})
+    assert hits >= 0.9 * 500 and set(got) == set(range(0, 20_000, 400))
+
+
+def test_ties_copies_and_small_blocks(spark, monkeypatch):
+    """Half the rows are copies of one vector: the smallest ids come first, and the copies crowd nothing out."""
+    monkeypatch.setattr(vectors, "ROWS", 100)
+    monkeypatch.setattr(vectors, "QUERIES", 2)
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(600, 8)), 1).astype(np.float32).astype(float)
+    x[::2] = x[0]
+    x[1::20] = x[0] + 0.01 * np.sign(rng.normal(size=(30, 8)))
+    got = {}
+    for r in vectors.search(frame(spark, enumerate(x)), rerank=60).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in range(0, 600, 100):
+        want = brute(range(600), x.astype(np.float32).astype(float), (q, x[q].astype(np.float32).astype(float)))
+        assert [(i, pytest.approx(s, abs=1e-9)) for _, i, s in sorted(got[q])] == want
+
+
+def test_odd_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 4)).astype(np.float32).astype(float)
+    rows = [*enumerate(x), (100, None), (200, [0.0] * 4), (300, [1.0, float("nan"), 1.0, 1.0]), (400, [1.0, float("inf"), 1.0, 1.0]), (500, [1.0, None, 1.0, 1.0]), (600, [1.0] * 3), (None, x[3]), (7, x[9]), (0, x[20])]
+    got = vectors.search(frame(spark, rows)).collect()
+    assert {r.query_id for r in got} == {0} and sorted(r.rank for r in got) == list(range(1, 11)) and 0 not in {r.vec_id for r in got}
+    ids, v = [*range(40), 7], np.concatenate([x, x[9:10]])
+    best = {}
+    for q in (x[0], x[20]):
+        for i, s in brute(ids, v, (0, q), 99):
+            best[i] = min(s, best.get(i, np.inf))
+    assert [(r.vec_id, pytest.approx(r.score, abs=1e-9)) for r in sorted(got, key=lambda r: r.rank)] == sorted(best.items(), key=lambda e: (e[1], e[0]))[:10]
+    few = vectors.search(frame(spark, [(0, x[0]), (1, x[1]), (1, x[1]), (2, x[2])])).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2]
+    for none in ([], [(100, None)], [(100, x[0])]):
+        assert vectors.search(frame(spark, none)).count() == 0
+
+
+def test_scans_read_packed_codes():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 10))
+    book = vectors.Codebook.train(x)
+    packed, q = book.encode(x), rng.normal(size=(3, 10))
+    assert packed.dtype == np.uint8 and packed.shape == (500, -(-11 // 2))
+    codes = book.encode_raised(book.raised(x, *book.words.shape[::2]))
+    near = book.words[np.arange(book.words.shape[0]), codes].reshape(500, -1)[:, :11]
+    assert book.scan(q, packed) == pytest.approx(np.c_[q, np.ones(3)] @ near.T, abs=1e-4)
