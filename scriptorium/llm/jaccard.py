@@ -10,8 +10,8 @@
    filtered first to those with a hub, of all groups of a token the one whose tokens are most common: the members of a group meet
    the best hub of its tokens, or its representative where there is none. The links found make components.
 4. What is left are tokens under which several components stand. Their classes are expanded in chunks of CHUNK (of one
-   component, or of one rarest open token and size class), and pairs of chunks of near sizes are verified unless both lie in
-   one component. A large cluster of near copies thus costs a comparison a member, not a pair.
+   component, or of one hub), and pairs of chunks that pass the length and positional filters are verified unless both lie
+   in one component. A large cluster of near copies thus costs a comparison a member, not a pair.
 
 Every link is verified on the words of both texts. Candidates are hashes and ids; texts of classes that may link travel only
 to be verified.
@@ -272,28 +272,36 @@ def hub_pairs(classes: DataFrame, share: int) -> DataFrame:
     return members.select(F.col("cid").alias("u"), F.coalesce("v", "g").alias("v")).filter("u <> v")
 
 
-def open_links(classes: DataFrame, comps: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
-    """Links (u, v) between classes of different components that share a prefix token."""
-    posts = classes.select("cid", "n", F.posexplode("prefix").alias("at", "t")).join(comps, "cid")
+def open_links(classes: DataFrame, comps: DataFrame, hubs: DataFrame, texts: DataFrame, width: int, share: int) -> DataFrame:
+    """Links (u, v) between classes of different components that share a prefix token.
+
+    Chunks hold classes of one component, or classes alone in theirs that met one hub. Under a token at place at of n sets,
+    no more than min(at) + min(tokens after it) can be common, which a link's intersection must not pass (positional filter).
+    """
+    rest = F.size("prefix") + F.ceil(F.col("n") * share / 100) - 1
+    posts = classes.select("cid", "n", rest.alias("shared"), F.posexplode("prefix").alias("at", "t")).join(comps, "cid")
     several = posts.groupBy("t").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("t")
     live = stored(posts.join(several, "t", "left_semi"))
-    own = live.groupBy("cid", "comp", "n").agg(F.min(F.struct("at", "t"))["t"].alias("least"))
+    own = live.select("cid", "comp").distinct()
     alone = own.groupBy("comp").agg((F.count("*") == 1).alias("alone"))
-    size = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / share))).cast("long")
-    own = stored(own.join(alone, "comp").select("cid", "comp", "n", "alone", F.when(F.col("alone"), F.col("least")).otherwise(F.col("comp")).alias("k"), F.when(F.col("alone"), size).otherwise(-1).alias("l")))
-    count = own.groupBy("alone", "k", "l").agg(F.count("*").alias("c"))
-    chunk = F.xxhash64("alone", "k", "l", F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / CHUNK)))
-    own = stored(own.join(count, ["alone", "k", "l"]).select("cid", "comp", "n", chunk.alias("chunk")))
-    posted = live.select("cid", "t").join(own, "cid").groupBy("t", "chunk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    own = own.join(alone, "comp").join(hubs.select(F.col("u").alias("cid"), F.col("v").alias("hub")), "cid", "left")
+    own = stored(own.select("cid", "comp", "alone", F.when(F.col("alone"), F.coalesce("hub", "cid")).otherwise(F.col("comp")).alias("k")))
+    count = own.groupBy("alone", "k").agg(F.count("*").alias("c"))
+    chunk = F.xxhash64("alone", "k", F.pmod(F.xxhash64("cid"), F.ceil(F.col("c") / CHUNK)))
+    own = stored(own.join(count, ["alone", "k"]).select("cid", "comp", chunk.alias("chunk")))
+    ends = [F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("at") + 1).alias("upto"), F.max(F.col("shared") - F.col("at") - 1).alias("after")]
+    posted = live.select("cid", "n", "shared", "at", "t").join(own, "cid").groupBy("t", "chunk").agg(*ends)
     mixed = F.col("low") != F.col("high")
     posted = stored(posted.withColumn("label", F.struct(mixed.alias("mixed"), F.when(mixed, F.col("chunk")).otherwise(F.col("low")).alias("of"))))
     labels = posted.select("t", "label").distinct()
     met = labels.withColumnRenamed("label", "one").join(labels.withColumnRenamed("label", "two"), "t").filter("one < two")
-    side = lambda name: posted.select("t", F.col("label").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("chunk", "least", "most")))
+    side = lambda name: posted.select("t", F.col("label").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in ("chunk", "least", "most", "upto", "after")))
     met = met.join(side("one"), ["t", "one"]).join(side("two"), ["t", "two"])
-    met = met.filter((100 * F.col("most_one") >= share * F.col("least_two")) & (100 * F.col("most_two") >= share * F.col("least_one")))
-    pairs = met.select(F.least("chunk_one", "chunk_two").alias("a"), F.greatest("chunk_one", "chunk_two").alias("b")).distinct()
-    pairs = pairs.unionAll(posted.filter("label.mixed").select(F.col("chunk").alias("a"), F.col("chunk").alias("b")).distinct())
+    sizes_fit = (100 * F.col("most_one") >= share * F.col("least_two")) & (100 * F.col("most_two") >= share * F.col("least_one"))
+    common = F.least("upto_one", "upto_two") + F.least("after_one", "after_two")
+    met = met.filter(sizes_fit & ((100 + share) * common >= share * (F.col("least_one") + F.col("least_two"))))
+    pairs = met.select(F.least("chunk_one", "chunk_two").alias("a"), F.greatest("chunk_one", "chunk_two").alias("b"))
+    pairs = pairs.unionAll(posted.filter("label.mixed").select(F.col("chunk").alias("a"), F.col("chunk").alias("b"))).distinct()
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("chunk")).join(own.select("chunk", "cid", "comp"), "chunk")
     return sides.join(texts, "cid").groupBy("a", "b").applyInPandas(_block(width, share), "u long, v long")
 
@@ -309,12 +317,15 @@ def linked_rows(docs: DataFrame, width: int = WIDTH, share: int = SHARE, key: st
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "digest", "x.a", "x.b", "n", "centre", "prefix"))
     texts = class_texts(docs, classes)
     comps = F.coalesce("root", "cid").alias("comp")
-    found = components(verified(hub_pairs(classes, share), texts, width, share)).withColumnRenamed("node", "cid")
+    hubs = stored(hub_pairs(classes, share))
+    found = components(verified(hubs, texts, width, share)).withColumnRenamed("node", "cid")
     first = stored(classes.select("cid").join(found, "cid", "left").select("cid", comps))
-    more = components(open_links(classes, first, texts, width, share).join(first.select(F.col("cid").alias("u"), F.col("comp").alias("x")), "u").join(first.select(F.col("cid").alias("v"), F.col("comp").alias("y")), "v").select(F.col("x").alias("u"), F.col("y").alias("v")))
+    of = lambda old, new: first.select(F.col("cid").alias(old), F.col("comp").alias(new))
+    rest = open_links(classes, first, hubs, texts, width, share).join(of("u", "x"), "u").join(of("v", "y"), "v")
+    more = components(rest.select(F.col("x").alias("u"), F.col("y").alias("v")))
     roots = first.join(more.withColumnRenamed("node", "comp"), "comp", "left").select("cid", F.coalesce("root", "comp").alias("root"))
-    of = stored(classes.select("cid", "digest").join(roots, "cid").select("digest", "root"))
-    placed = able.select("doc_id", "key", "n", "digest").join(of, "digest").select("doc_id", "key", "n", "root")
+    by_digest = stored(classes.select("cid", "digest").join(roots, "cid").select("digest", "root"))
+    placed = able.select("doc_id", "key", "n", "digest").join(by_digest, "digest").select("doc_id", "key", "n", "root")
     return stored(placed.unionAll(rows.filter("prefix IS NULL").select("doc_id", "key", "n", F.lit(None).cast("long").alias("root"))))
 
 
