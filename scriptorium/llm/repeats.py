@@ -2,10 +2,13 @@
 
 Every string of WIDTH bytes has an anchor, the least hash of its substrings of SEED bytes; equal strings have equal anchors.
 Neighbouring strings with one anchor form a block. Anchors are counted first: blocks whose anchor stands in one
-document alone can't repeat. The others go to the shard of their anchor, where equal blocks become one with the smallest
-doc_id. The shard's blocks are sorted by their suffixes with common prefixes (induced sorting whose queues spill; the text and
-order of a shard are in memory, so a shard must fit there); strings that share WIDTH bytes are neighbours there and get the smallest doc_id of all that hold
-them. Documents then remove what a smaller doc_id holds.
+document alone can't repeat. The others go to the shard of their anchor, where blocks of equal bytes become one with the
+smallest doc_id; a block that is alone under its anchor then is settled. The others are sorted by their suffixes with common
+prefixes, whole anchors at a time and SORT_BYTES or one anchor at most; strings that share WIDTH bytes are neighbours there
+and get the smallest doc_id of all that hold them. Documents then remove what a smaller doc_id holds.
+
+Shards and batches follow the bytes of the corpus. The sorting keeps text, order and queues in files beyond its bounds of
+memory (see suffixes); the texts of a shard itself are in the memory of its task.
 """
 
 from __future__ import annotations
@@ -20,14 +23,29 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .common import table
-from .suffixes import suffix_sort
+from .suffixes import MEMORY, array, suffix_sort
 
 WIDTH, SEED = 50, 20
-BATCH_DOCS = 500
+#: Bytes of text of a shard; they grow with the root of the corpus beyond 64 GB, up to the second number.
+SHARD_BYTES, SHARD_MOST = 16 << 20, 256 << 20
+#: Bytes of text of a batch of documents, least and most; it grows with the number of shards, so that parts don't get too small.
+BATCH_BYTES, BATCH_MOST = 2 << 20, 32 << 20
+#: Bytes that are hashed at once; longer texts are cut into stretches that overlap by WIDTH - 1.
+STRETCH = 1 << 20
+#: Bytes of blocks that are sorted together.
+SORT_BYTES = 4 << 20
 LAST = (1 << 63) - 1
-_RUN = np.dtype([("k", "<u8"), ("s", "<u4"), ("e", "<u4"), ("d", "<i8")])
-#: Part of the anchor, key, smallest doc_id, whether the batch has the block in several documents, length.
-_BLOCK = np.dtype([("a", "<u4"), ("k", "<u8"), ("d", "<i8"), ("m", "?"), ("n", "<u4")])
+#: Number of the block in its batch, start, end, smallest doc_id.
+_RUN = np.dtype([("o", "<u4"), ("s", "<u4"), ("e", "<u4"), ("d", "<i8")])
+#: Number in the batch, part of the anchor, smallest doc_id, whether the batch has the block in several documents, length.
+_BLOCK = np.dtype([("o", "<u4"), ("a", "<u4"), ("d", "<i8"), ("m", "?"), ("n", "<u4")])
+
+
+def shape(text_bytes: int) -> tuple[int, int]:
+    """Number of shards and bytes of a batch for so many bytes of text."""
+    shard = min(SHARD_MOST, SHARD_BYTES * max(1.0, (text_bytes / (64 << 30)) ** 0.5))
+    shards = max(64, int(text_bytes / shard) + 1)
+    return shards, min(BATCH_MOST, max(BATCH_BYTES, shards * 2048))
 
 
 def _least(x: np.ndarray, w: int) -> np.ndarray:
@@ -39,53 +57,81 @@ def _least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[:n], x[w - span : w - span + n]) if span < w else x[:n]
 
 
+def _stretches(texts: list[bytes], width: int):
+    """Groups of (text, offset, piece) of about STRETCH bytes; a text's pieces overlap by width - 1."""
+    group, size = [], 0
+    for k, t in enumerate(texts):
+        for at in range(0, max(len(t) - width + 1, 0), STRETCH):
+            piece = t[at : at + STRETCH + width - 1]
+            group.append((k, at, piece))
+            size += len(piece)
+            if size >= STRETCH:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
 def blocks(texts: list[bytes], width: int = WIDTH, seed: int = SEED):
-    """Yields (first text, data, anchor, key, text, start, end) for a few texts at a time; start and end in data."""
-    for at in range(0, len(texts), 100):
-        data, bounds = hashing.joined(texts[at : at + 100])
+    """Yields arrays (text, start in it, anchor, key) of blocks and their bytes, a stretch at a time."""
+    for group in _stretches(texts, width):
+        data, bounds = hashing.joined([piece for _, _, piece in group])
+        number, offset = np.array([k for k, _, _ in group]), np.array([at for _, at, _ in group])
         n = len(data) - width + 1
-        if n < 1:
-            continue
         with np.errstate(over="ignore"):
             p = hashing.prefix(data)
             least = _least(hashing.windows(p, seed), width - seed + 1)
-            own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:n]
+            own = np.repeat(np.arange(len(group)), np.diff(bounds))[:n]
             change = np.append(True, (least[1:] != least[:-1]) | (own[1:] != own[:-1]))
             start = np.flatnonzero(change)
             last = np.minimum(np.append(start[1:], n) - 1, bounds[own[start] + 1] - width)
             keep = last >= start
             start, last = start[keep], last[keep]
-            anchor = least[start]
+            anchor, own = least[start], own[start]
             key = hashing.mix(hashing.ranges(p, start, last + width) ^ (anchor * np.uint64(3)))
-        yield at, data, anchor, key, own[start] + at, start, last + width, bounds
-
-
-def _texts(docs: pd.DataFrame) -> list[bytes]:
-    return [t.encode() if isinstance(t, str) else b"" for t in docs["text"]]
+        whole = data.tobytes()
+        yield number[own], offset[own] + start - bounds[own], anchor, key, [whole[s:e] for s, e in zip(start.tolist(), (last + width).tolist())]
+
+
+class Batch:
+    """The documents of a batch in a fixed order, and its blocks; own: the first block of the same bytes."""
+
+    def __init__(self, docs: pd.DataFrame, width: int, seed: int):
+        texts = [t.encode() if isinstance(t, str) else b"" for t in docs["text"]]
+        ids = docs["key"].tolist()
+        self.order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
+        self.texts, self.ids = [texts[i] for i in self.order], np.array([ids[i] for i in self.order], np.int64)
+        parts = list(blocks(self.texts, width, seed))
+        empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        self.doc, self.at, self.anchor, key = (np.concatenate([p[k] for p in parts] or [empty[k]]) for k in range(4))
+        self.bytes = [x for p in parts for x in p[4]]
+        order = np.argsort(key, kind="stable")
+        first = np.append(True, key[order][1:] != key[order][:-1]) if len(order) else np.zeros(0, bool)
+        self.own = np.empty(len(key), np.int64)
+        self.own[order] = order[first][np.cumsum(first) - 1]
+        for i in order[~first].tolist():
+            if self.bytes[i] != self.bytes[self.own[i]]:
+                self.own[i] = i  # another text with this key
 
 
 def _deal(order_key: np.ndarray, buckets: int) -> np.ndarray:
-    return (hashing.mix(order_key) % np.uint64(buckets)).astype(np.int64)
+    with np.errstate(over="ignore"):
+        return (hashing.mix(order_key) % np.uint64(buckets)).astype(np.int64)
 
 
 def _anchors(buckets: int, width: int, seed: int):
     def run(docs: pd.DataFrame) -> pd.DataFrame:
         """The anchors of a batch, each with whether several of its documents have it."""
-        a, d = [], []
-        for _, _, anchor, _, doc, _, _, _ in blocks(_texts(docs), width, seed):
-            a.append(anchor)
-            d.append(doc)
-        if not a:
+        batch = Batch(docs, width, seed)
+        if not len(batch.anchor):
             return pd.DataFrame({"dest": [], "batch": [], "blob": []})
-        a, d = np.concatenate(a), np.concatenate(d)
-        order = np.lexsort((d, a))
-        a, d = a[order], d[order]
+        order = np.lexsort((batch.doc, batch.anchor))
+        a, d = batch.anchor[order], batch.doc[order]
         first = np.append(True, a[1:] != a[:-1])
         index = np.flatnonzero(first)
         several = np.minimum.reduceat(d, index) != np.maximum.reduceat(d, index)
         a = a[first]
-        with np.errstate(over="ignore"):
-            dest = _deal(a, buckets)
+        dest = _deal(a, buckets)
         order = np.lexsort((a, dest))
         a, several, dest = a[order], several[order], dest[order]
         edges = np.flatnonzero(np.append(True, dest[1:] != dest[:-1]))
@@ -109,107 +155,131 @@ def _shared(got: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["batch", "blob"])
 
 
+def _packed(rows: np.ndarray, texts: list[bytes]) -> bytes:
+    """Rows of _BLOCK, column by column, and their texts; compressed."""
+    step = np.diff(rows["o"], prepend=np.uint32(0))
+    return np.int64(len(rows)).tobytes() + zstandard.compress(b"".join([step.tobytes(), *(rows[c].tobytes() for c in "admn"), *texts]), 3)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    n, whole, at = int(np.frombuffer(blob, "<i8", 1)[0]), zstandard.decompress(blob[8:]), 0
+    rows = np.empty(n, _BLOCK)
+    for c in "oadmn":
+        kind = _BLOCK[c]
+        rows[c] = np.frombuffer(whole, kind, n, at)
+        at += n * kind.itemsize
+    rows["o"] = np.cumsum(rows["o"], dtype=np.uint32)
+    texts = []
+    for size in rows["n"].tolist():
+        texts.append(whole[at : at + size])
+        at += size
+    return rows, texts
+
+
 def _send(buckets: int, width: int, seed: int):
     def run(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         """The batch's different blocks with shared anchors, by shard: with the smallest doc_id; texts compressed."""
-        rows, bytes_, anchors, known = [], [], [], np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in got["blob"]])) if len(got) else np.zeros(0, np.uint64)
-        if not len(docs) or not len(known):
-            return pd.DataFrame({"dest": [], "batch": [], "blob": []})
-        ids, pack = docs["key"].to_numpy(), zstandard.ZstdCompressor(3)
-        for _, data, anchor, key, doc, start, end, _ in blocks(_texts(docs), width, seed):
-            at = np.minimum(np.searchsorted(known, anchor), len(known) - 1)
-            keep = np.flatnonzero(known[at] == anchor)
-            r = np.zeros(len(keep), _BLOCK)
-            anchors.append(anchor[keep])
-            r["a"], r["k"], r["d"], r["n"] = anchor[keep] & np.uint64(0xFFFFFFFF), key[keep], ids[doc[keep]], (end - start)[keep]
-            rows.append(r)
-            whole = data.tobytes()
-            bytes_ += [whole[s:e] for s, e in zip(start[keep].tolist(), end[keep].tolist())]
-        r = np.concatenate(rows)
-        order = np.lexsort((r["d"], r["k"]))
-        first = np.flatnonzero(np.append(True, r["k"][order][1:] != r["k"][order][:-1])) if len(r) else np.zeros(0, np.int64)
-        most = r["d"][order][np.append(first[1:], len(r)) - 1] if len(r) else first
-        pick = order[first]
-        r = r[pick].copy()
-        r["m"] = most > r["d"]
-        with np.errstate(over="ignore"):
-            dest = _deal(np.concatenate(anchors)[pick], buckets)
-        order = np.argsort(dest, kind="stable")
-        edges = np.flatnonzero(np.append(True, np.diff(dest[order]) != 0)) if len(r) else []
-        out = []
-        for s, e in zip(edges, np.append(edges[1:], len(r)) if len(r) else []):
-            own = order[s:e]
-            out.append((dest[own[0]], docs["batch"].iloc[0], np.int64(len(own)).tobytes() + r[own].tobytes() + pack.compress(b"".join(bytes_[pick[i]] for i in own))))
+        out: list[tuple] = []
+        if len(docs) and len(got):
+            batch, known = Batch(docs, width, seed), np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in got["blob"]]))
+            at = np.minimum(np.searchsorted(known, batch.anchor), len(known) - 1)
+            kept = np.flatnonzero(known[at] == batch.anchor)
+            order = kept[np.lexsort((batch.doc[kept], batch.own[kept]))]  # documents stand by ascending id
+            own = batch.own[order]
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+            ids = batch.ids[batch.doc[order]]
+            rows = np.zeros(len(first), _BLOCK)
+            rows["o"], rows["d"], rows["m"] = own[first], ids[first], ids[np.append(first[1:], len(own)) - 1] > ids[first] if len(own) else False
+            rows["a"], rows["n"] = batch.anchor[own[first]] & np.uint64(0xFFFFFFFF), [len(batch.bytes[i]) for i in own[first].tolist()]
+            dest = _deal(batch.anchor[own[first]], buckets)
+            order = np.argsort(dest, kind="stable")
+            edges = np.flatnonzero(np.append(True, np.diff(dest[order]) != 0)) if len(rows) else []
+            for s, e in zip(edges, np.append(edges[1:], len(rows)) if len(rows) else []):
+                part = rows[order[s:e]]
+                out.append((dest[order[s]], docs["batch"].iloc[0], _packed(part, [batch.bytes[i] for i in part["o"].tolist()])))
         return pd.DataFrame(out, columns=["dest", "batch", "blob"])
 
     return run
 
 
-def holders(texts: list[bytes], docs: np.ndarray, width: int = WIDTH, **limits) -> list[np.ndarray]:
+def holders(texts: list[bytes], docs: np.ndarray, width: int = WIDTH, memory: int = MEMORY, at_once: int = 1 << 20, **limits) -> list[np.ndarray]:
     """For each text, by start of its strings of width bytes: the smallest doc of all texts that hold the string."""
     sizes = np.array([len(t) for t in texts])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-    flat = np.zeros(begin[-1], np.int16)
+    n = int(begin[-1])
+    flat = array(n, np.int16, memory)
     for t, b in zip(texts, begin.tolist()):
         flat[b : b + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 1
-    order, lcp = suffix_sort(flat, **limits)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)[order]
-    inside = order + width <= (begin[:-1] + sizes)[owner]
-    value = np.where(inside, docs[owner], LAST)
-    groups = np.flatnonzero(np.append(True, lcp[1:] < width))
-    least = np.repeat(np.minimum.reduceat(value, groups), np.diff(np.append(groups, len(order))))
-    out = np.empty(len(order), np.int64)
-    out[order] = least
-    return [out[b : b + max(n - width + 1, 0)] for b, n in zip(begin.tolist(), sizes.tolist())]
+    order, lcp = suffix_sort(flat, memory=memory, depth=width, **limits)
+    least, out = array(n, np.int64, memory), array(n, np.int64, memory)
+    for final in (False, True):  # strings that share width bytes are neighbours: first the least of each group, then to all its members
+        group = -1
+        for a in range(0, n, at_once):
+            pos = np.asarray(order[a : a + at_once])
+            new = np.asarray(lcp[a : a + at_once]) < width
+            new[0] |= a == 0
+            number = group + np.cumsum(new)
+            if final:
+                out[pos] = least[number]
+            else:
+                owner = np.searchsorted(begin, pos, side="right") - 1
+                value = np.where(pos + width <= begin[owner] + sizes[owner], docs[owner], LAST)
+                edges = np.flatnonzero(np.append(True, number[1:] != number[:-1]))
+                low = np.minimum.reduceat(value, edges)
+                if not new[0]:
+                    low[0] = min(low[0], least[number[0]])
+                least[number[edges]] = low
+            group = int(number[-1])
+    return [np.asarray(out[b : b + max(n - width + 1, 0)]) for b, n in zip(begin.tolist(), sizes.tolist())]
+
+
+def _sorted_groups(anchors: np.ndarray, sizes: np.ndarray, most: int):
+    """Indices of blocks in stretches of whole anchors, of about most bytes."""
+    order = np.argsort(anchors, kind="stable")
+    total, edges = np.cumsum(sizes[order]), np.append(np.flatnonzero(np.diff(anchors[order])) + 1, len(order))
+    at = 0
+    for e in edges.tolist():
+        if at < e and total[e - 1] - (total[at - 1] if at else 0) >= most or e == len(order):
+            yield order[at:e]
+            at = e
 
 
 def _judge(width: int):
     def run(got: pd.DataFrame) -> pd.DataFrame:
         """Answers each batch: for its blocks, runs of strings that a smaller doc_id holds."""
-        per, rows, texts = [], [], []
-        for blob in got["blob"]:
-            n = int(np.frombuffer(blob, "<i8", 1)[0])
-            r = np.frombuffer(blob, _BLOCK, n, 8)
-            whole, at = zstandard.decompress(blob[8 + n * _BLOCK.itemsize :]), 0
-            for size in r["n"].tolist():
-                texts.append(whole[at : at + size])
-                at += size
-            per.append(n)
-            rows.append(r)
-        r = np.concatenate(rows)
-        order = np.lexsort((r["d"], r["k"]))
-        first = np.append(True, r["k"][order][1:] != r["k"][order][:-1])
-        own = np.empty(len(r), np.int64)
-        own[order] = np.cumsum(first) - 1
-        pick = order[first]
-        u = r[pick]
-        anchors, count = np.unique(u["a"], return_counts=True)
-        mixed = np.flatnonzero(count[np.searchsorted(anchors, u["a"])] > 1)
-        runs = [None] * len(u)
-        if len(mixed):
-            for i, least in zip(mixed.tolist(), holders([texts[pick[i]] for i in mixed], u["d"][mixed], width)):
-                edges = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
-                x = np.zeros(len(edges), _RUN)
-                x["k"], x["s"], x["e"], x["d"] = u["k"][i], edges, np.append(edges[1:], len(least)), least[edges]
-                runs[i] = x
+        parts = [_unpacked(b) for b in got["blob"]]
+        r, number = np.concatenate([rows for rows, _ in parts]), {}
+        own = np.array([number.setdefault(t, len(number)) for _, texts in parts for t in texts])
+        texts = list(number)
+        least, anchor = np.full(len(texts), LAST), np.zeros(len(texts), np.uint32)
+        np.minimum.at(least, own, r["d"])
+        anchor[own] = r["a"]
+        _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        mixed, runs = np.flatnonzero(count[which] > 1), {}
+        sizes = np.array([len(t) for t in texts])
+        for part in _sorted_groups(anchor[mixed], sizes[mixed], SORT_BYTES) if len(mixed) else ():
+            part = mixed[part]
+            for i, low in zip(part.tolist(), holders([texts[i] for i in part.tolist()], least[part], width)):
+                edges = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+                runs[i] = np.zeros(len(edges), _RUN)
+                runs[i]["s"], runs[i]["e"], runs[i]["d"] = edges, np.append(edges[1:], len(low)), low[edges]
         out, at = [], 0
-        for batch, n in zip(got["batch"], per):
-            parts = []
-            for j in range(at, at + n):
-                i = own[j]
-                x = runs[i]
+        for batch, (rows, _) in zip(got["batch"], parts):
+            answer = []
+            for i, o, d, m, n in zip(own[at : at + len(rows)].tolist(), rows["o"].tolist(), rows["d"].tolist(), rows["m"].tolist(), rows["n"].tolist()):
+                x = runs.get(i)
                 if x is None:
-                    if u["d"][i] >= r["d"][j] and not r["m"][j]:
+                    if least[i] >= d and not m:
                         continue
-                    x = np.zeros(1, _RUN)
-                    x["k"], x["e"], x["d"] = u["k"][i], u["n"][i] - width + 1, u["d"][i]
-                if not r["m"][j]:
-                    x = x[x["d"] < r["d"][j]]
+                    x = np.array([(o, 0, n - width + 1, least[i])], _RUN)
+                else:
+                    x = x.copy() if m else x[x["d"] < d]
+                    x["o"] = o
                 if len(x):
-                    parts.append(x)
-            at += n
-            if parts:
-                out.append((batch, np.concatenate(parts).tobytes()))
+                    answer.append(x)
+            at += len(rows)
+            if answer:
+                out.append((batch, np.concatenate(answer).tobytes()))
         return pd.DataFrame(out, columns=["batch", "blob"])
 
     return run
@@ -217,24 +287,23 @@ def _judge(width: int):
 
 def _cut(width: int, seed: int):
     def run(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        names = ["key", "n_bytes", "kept", "starts", "ends", *(["rest"] if "rest" in docs else [])]
         if not len(docs):
-            return pd.DataFrame({"key": [], "n_bytes": [], "kept": [], "starts": [], "ends": [], **({"rest": []} if "rest" in docs else {})})
-        texts, ids = _texts(docs), docs["key"].to_numpy()
+            return pd.DataFrame({c: [] for c in names})
+        batch = Batch(docs, width, seed)
         runs = np.concatenate([np.frombuffer(b, _RUN) for b in got["blob"]]) if len(got) else np.zeros(0, _RUN)
-        runs = runs[np.argsort(runs["k"], kind="stable")]
-        gone: list[list] = [[] for _ in texts]
-        for at, _, _, key, doc, start, _, bounds in blocks(texts, width, seed) if len(runs) else ():
-            lo, hi = np.searchsorted(runs["k"], key), np.searchsorted(runs["k"], key, side="right")
-            n = hi - lo
-            which = np.repeat(np.arange(len(key)), n)
-            x = runs[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-            good = x["d"] < ids[doc[which]]
-            which, x = which[good], x[good]
-            base = start[which] - bounds[doc[which] - at]
-            for d, s, e in zip(doc[which].tolist(), (base + x["s"]).tolist(), (base + x["e"] - 1 + width).tolist()):
-                gone[d].append((s, e))
+        runs = runs[np.argsort(runs["o"], kind="stable")]
+        lo, hi = (np.searchsorted(runs["o"], batch.own, side=side) for side in ("left", "right"))
+        n = hi - lo
+        which = np.repeat(np.arange(len(n)), n)
+        x = runs[np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)]
+        good = x["d"] < batch.ids[batch.doc[which]]
+        which, x = which[good], x[good]
+        gone: list[list] = [[] for _ in batch.texts]
+        for d, s, e in zip(batch.doc[which].tolist(), (batch.at[which] + x["s"]).tolist(), (batch.at[which] + x["e"] - 1 + width).tolist()):
+            gone[d].append((s, e))
         kept, starts, ends = [], [], []
-        for t, spans in zip(texts, gone):
+        for t, spans in zip(batch.texts, gone):
             merged: list[list[int]] = []
             for s, e in sorted(spans):
                 if merged and s <= merged[-1][1]:
@@ -245,7 +314,11 @@ def _cut(width: int, seed: int):
             kept.append(b"".join(t[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
             starts.append([s for s, _ in merged])
             ends.append([e for _, e in merged])
-        return pd.DataFrame({"key": ids, "n_bytes": [len(t) for t in texts], "kept": kept, "starts": starts, "ends": ends, **({"rest": docs["rest"]} if "rest" in docs else {})})
+        out = {"key": batch.ids, "n_bytes": [len(t) for t in batch.texts], "kept": kept, "starts": starts, "ends": ends}
+        if "rest" in docs:
+            rest = docs["rest"].tolist()
+            out["rest"] = [rest[i] for i in batch.order]
+        return pd.DataFrame(out)
 
     return run
 
@@ -257,14 +330,14 @@ def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, rest: str | No
     a null doc_id counts as larger than any. A string column rest goes along; other columns are not read; an empty table
     gives no rows.
     """
-    spark = docs.sparkSession
-    batches = max(1, -(-docs.count() // BATCH_DOCS))
-    buckets = max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    buckets, batch_bytes = shape(size or 0)
+    batches = max(1, -(-n // 2000), -(-(size or 0) // batch_bytes))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text", *([F.col(rest).alias("rest")] if rest else []))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("key"), F.lit(batches)))
-    sent = rows.groupBy("batch").applyInPandas(_anchors(buckets, width, seed), "dest long, batch long, blob binary")
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(batches)))
+    sent = rows.select("key", "text", "batch").groupBy("batch").applyInPandas(_anchors(buckets, width, seed), "dest long, batch long, blob binary")
     shared = sent.groupBy("dest").applyInPandas(_shared, "batch long, blob binary")
-    held = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(_send(buckets, width, seed), "dest long, batch long, blob binary")
+    held = rows.select("key", "text", "batch").groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(_send(buckets, width, seed), "dest long, batch long, blob binary")
     judged = held.groupBy("dest").applyInPandas(_judge(width), "batch long, blob binary")
     out = rows.groupBy("batch").cogroup(judged.groupBy("batch")).applyInPandas(_cut(width, seed), "key long, n_bytes long, kept binary, starts array<long>, ends array<long>" + (", rest string" if rest else ""))
     return out.select(F.nullif(F.col("key"), F.lit(LAST)).alias("doc_id"), "n_bytes", "kept", "starts", "ends", *([F.col("rest").alias(rest)] if rest else []))
