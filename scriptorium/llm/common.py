@@ -23,6 +23,13 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a table in the shared folder, which outlives lost executors."""
     spark = df.sparkSession

@@ -285,7 +285,22 @@ def _judge(width: int):
     return run
 
 
-def _cut(width: int, seed: int):
+def _whole(text: bytes, spans: list[list[int]]) -> list[list[int]]:
+    """The spans widened to whole characters of UTF-8."""
+    out: list[list[int]] = []
+    for s, e in spans:
+        while s and text[s] & 0xC0 == 0x80:
+            s -= 1
+        while e < len(text) and text[e] & 0xC0 == 0x80:
+            e += 1
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return out
+
+
+def _cut(width: int, seed: int, whole: bool):
     def run(docs: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         names = ["key", "n_bytes", "kept", "starts", "ends", *(["rest"] if "rest" in docs else [])]
         if not len(docs):
@@ -310,6 +325,8 @@ def _cut(width: int, seed: int):
                     merged[-1][1] = max(merged[-1][1], e)
                 else:
                     merged.append([s, e])
+            if whole:
+                merged = _whole(t, merged)
             bounds = [0, *(x for se in merged for x in se), len(t)]
             kept.append(b"".join(t[a:b] for a, b in zip(bounds[::2], bounds[1::2])))
             starts.append([s for s, _ in merged])
@@ -323,12 +340,12 @@ def _cut(width: int, seed: int):
     return run
 
 
-def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, rest: str | None = None) -> DataFrame:
+def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, rest: str | None = None, whole: bool = False) -> DataFrame:
     """Per row of docs: doc_id, n_bytes, kept (binary) and the removed runs (starts, ends: arrays of byte offsets).
 
     A null text is empty. Rows with one doc_id are not smaller than each other, so they don't remove each other's bytes;
-    a null doc_id counts as larger than any. A string column rest goes along; other columns are not read; an empty table
-    gives no rows.
+    a null doc_id counts as larger than any. With whole, runs are widened to whole characters, so that kept is UTF-8. A string
+    column rest goes along; other columns are not read; an empty table gives no rows.
     """
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     buckets, batch_bytes = shape(size or 0)
@@ -339,7 +356,7 @@ def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, rest: str | No
     shared = sent.groupBy("dest").applyInPandas(_shared, "batch long, blob binary")
     held = rows.select("key", "text", "batch").groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(_send(buckets, width, seed), "dest long, batch long, blob binary")
     judged = held.groupBy("dest").applyInPandas(_judge(width), "batch long, blob binary")
-    out = rows.groupBy("batch").cogroup(judged.groupBy("batch")).applyInPandas(_cut(width, seed), "key long, n_bytes long, kept binary, starts array<long>, ends array<long>" + (", rest string" if rest else ""))
+    out = rows.groupBy("batch").cogroup(judged.groupBy("batch")).applyInPandas(_cut(width, seed, whole), "key long, n_bytes long, kept binary, starts array<long>, ends array<long>" + (", rest string" if rest else ""))
     return out.select(F.nullif(F.col("key"), F.lit(LAST)).alias("doc_id"), "n_bytes", "kept", "starts", "ends", *([F.col("rest").alias(rest)] if rest else []))
 
 
