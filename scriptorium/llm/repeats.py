@@ -73,7 +73,7 @@ def _stretches(texts: list[bytes], width: int):
 
 
 def blocks(texts: list[bytes], width: int = WIDTH, seed: int = SEED):
-    """Yields arrays (text, start in it, anchor, key) of blocks and their bytes, a stretch at a time."""
+    """Yields the data of a stretch and arrays (text, start in it, anchor, start and end in the data) of its blocks."""
     for group in _stretches(texts, width):
         data, bounds = hashing.joined([piece for _, _, piece in group])
         number, offset = np.array([k for k, _, _ in group]), np.array([at for _, at, _ in group])
@@ -81,16 +81,14 @@ def blocks(texts: list[bytes], width: int = WIDTH, seed: int = SEED):
         with np.errstate(over="ignore"):
             p = hashing.prefix(data)
             least = _least(hashing.windows(p, seed), width - seed + 1)
-            own = np.repeat(np.arange(len(group)), np.diff(bounds))[:n]
-            change = np.append(True, (least[1:] != least[:-1]) | (own[1:] != own[:-1]))
-            start = np.flatnonzero(change)
-            last = np.minimum(np.append(start[1:], n) - 1, bounds[own[start] + 1] - width)
-            keep = last >= start
-            start, last = start[keep], last[keep]
-            anchor, own = least[start], own[start]
-            key = hashing.mix(hashing.ranges(p, start, last + width) ^ (anchor * np.uint64(3)))
-        whole = data.tobytes()
-        yield number[own], offset[own] + start - bounds[own], anchor, key, [whole[s:e] for s, e in zip(start.tolist(), (last + width).tolist())]
+        change = np.append(True, least[1:] != least[:-1])
+        change[bounds[1:-1][bounds[1:-1] < n]] = True
+        start = np.flatnonzero(change)
+        own = np.searchsorted(bounds, start, side="right") - 1
+        last = np.minimum(np.append(start[1:], n) - 1, bounds[own + 1] - width)
+        keep = last >= start
+        start, last, own = start[keep], last[keep], own[keep]
+        yield data, number[own], offset[own] + start - bounds[own], least[start], start, last + width, p
 
 
 class Batch:
@@ -101,17 +99,38 @@ class Batch:
         ids = docs["key"].tolist()
         self.order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
         self.texts, self.ids = [texts[i] for i in self.order], np.array([ids[i] for i in self.order], np.int64)
-        parts = list(blocks(self.texts, width, seed))
-        empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
-        self.doc, self.at, self.anchor, key = (np.concatenate([p[k] for p in parts] or [empty[k]]) for k in range(4))
-        self.bytes = [x for p in parts for x in p[4]]
+        parts, key, base = [], [np.zeros(0, np.uint64)], 0
+        for data, doc, at, anchor, start, end, p in blocks(self.texts, width, seed):
+            with np.errstate(over="ignore"):
+                key.append(hashing.mix(hashing.ranges(p, start, end) ^ (anchor * np.uint64(3))))
+            parts.append((data, doc, at, anchor, start + base, end + base))
+            base += len(data)
+        self.data = np.concatenate([x[0] for x in parts]) if parts else np.zeros(0, np.uint8)
+        self.doc, self.at, self.anchor, self.start, self.end = (np.concatenate([x[k] for x in parts] or [np.zeros(0, np.uint64 if k == 3 else np.int64)]) for k in range(1, 6))
+        key = np.concatenate(key)
         order = np.argsort(key, kind="stable")
         first = np.append(True, key[order][1:] != key[order][:-1]) if len(order) else np.zeros(0, bool)
         self.own = np.empty(len(key), np.int64)
         self.own[order] = order[first][np.cumsum(first) - 1]
-        for i in order[~first].tolist():
-            if self.bytes[i] != self.bytes[self.own[i]]:
-                self.own[i] = i  # another text with this key
+        self._compare(order[~first])
+
+    def _compare(self, later: np.ndarray) -> None:
+        """A block that has another one's key but not its bytes stands for itself."""
+        for k in range(0, len(later), 1 << 16):
+            i = later[k : k + (1 << 16)]
+            j = self.own[i]
+            size = self.end[i] - self.start[i]
+            differs = size != self.end[j] - self.start[j]
+            for step in range(int(size.max())):
+                live = step < size
+                differs |= live & (self.data[np.minimum(self.start[i] + step, len(self.data) - 1)] != self.data[np.minimum(self.start[j] + step, len(self.data) - 1)])
+                if size.max() > 4 * WIDTH and not live.any():
+                    break
+            self.own[i[differs]] = i[differs]
+
+    def bytes(self, which: np.ndarray) -> list[bytes]:
+        whole = self.data.data
+        return [bytes(whole[s:e]) for s, e in zip(self.start[which].tolist(), self.end[which].tolist())]
 
 
 def _deal(order_key: np.ndarray, buckets: int) -> np.ndarray:
@@ -122,11 +141,12 @@ def _deal(order_key: np.ndarray, buckets: int) -> np.ndarray:
 def _anchors(buckets: int, width: int, seed: int):
     def run(docs: pd.DataFrame) -> pd.DataFrame:
         """The anchors of a batch, each with whether several of its documents have it."""
-        batch = Batch(docs, width, seed)
-        if not len(batch.anchor):
+        found = [(x[3], x[1]) for x in blocks([t.encode() if isinstance(t, str) else b"" for t in docs["text"]], width, seed)]
+        if not found:
             return pd.DataFrame({"dest": [], "batch": [], "blob": []})
-        order = np.lexsort((batch.doc, batch.anchor))
-        a, d = batch.anchor[order], batch.doc[order]
+        a, d = (np.concatenate([x[k] for x in found]) for k in range(2))
+        order = np.argsort(a, kind="stable")  # the documents of an anchor stay in order
+        a, d = a[order], d[order]
         first = np.append(True, a[1:] != a[:-1])
         index = np.flatnonzero(first)
         several = np.minimum.reduceat(d, index) != np.maximum.reduceat(d, index)
@@ -190,26 +210,29 @@ def _send(buckets: int, width: int, seed: int):
             ids = batch.ids[batch.doc[order]]
             rows = np.zeros(len(first), _BLOCK)
             rows["o"], rows["d"], rows["m"] = own[first], ids[first], ids[np.append(first[1:], len(own)) - 1] > ids[first] if len(own) else False
-            rows["a"], rows["n"] = batch.anchor[own[first]] & np.uint64(0xFFFFFFFF), [len(batch.bytes[i]) for i in own[first].tolist()]
+            rows["a"], rows["n"] = batch.anchor[own[first]] & np.uint64(0xFFFFFFFF), (batch.end - batch.start)[own[first]]
             dest = _deal(batch.anchor[own[first]], buckets)
             order = np.argsort(dest, kind="stable")
             edges = np.flatnonzero(np.append(True, np.diff(dest[order]) != 0)) if len(rows) else []
             for s, e in zip(edges, np.append(edges[1:], len(rows)) if len(rows) else []):
                 part = rows[order[s:e]]
-                out.append((dest[order[s]], docs["batch"].iloc[0], _packed(part, [batch.bytes[i] for i in part["o"].tolist()])))
+                out.append((dest[order[s]], docs["batch"].iloc[0], _packed(part, batch.bytes(part["o"]))))
         return pd.DataFrame(out, columns=["dest", "batch", "blob"])
 
     return run
 
 
-def holders(texts: list[bytes], docs: np.ndarray, width: int = WIDTH, memory: int = MEMORY, at_once: int = 1 << 20, **limits) -> list[np.ndarray]:
-    """For each text, by start of its strings of width bytes: the smallest doc of all texts that hold the string."""
+def holders(texts: list[bytes], docs: np.ndarray, width: int = WIDTH, memory: int = MEMORY, at_once: int = 1 << 20, **limits) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest doc of all texts that hold the string of width bytes, by its start in the texts one after another (each
+    followed by one place), and where each text begins; LAST or another's where a string would pass the end of its text."""
     sizes = np.array([len(t) for t in texts])
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     n = int(begin[-1])
     flat = array(n, np.int16, memory)
-    for t, b in zip(texts, begin.tolist()):
-        flat[b : b + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 1
+    for a in range(0, len(texts), 1024):
+        part = b"\0".join(texts[a : a + 1024]) + b"\0"
+        flat[begin[a] : begin[a] + len(part)] = np.frombuffer(part, np.uint8).astype(np.int16) + 1
+    flat[begin[1:] - 1] = 0
     order, lcp = suffix_sort(flat, memory=memory, depth=width, **limits)
     least, out = array(n, np.int64, memory), array(n, np.int64, memory)
     for final in (False, True):  # strings that share width bytes are neighbours: first the least of each group, then to all its members
@@ -230,7 +253,18 @@ def holders(texts: list[bytes], docs: np.ndarray, width: int = WIDTH, memory: in
                     low[0] = min(low[0], least[number[0]])
                 least[number[edges]] = low
             group = int(number[-1])
-    return [np.asarray(out[b : b + max(n - width + 1, 0)]) for b, n in zip(begin.tolist(), sizes.tolist())]
+    return out, begin
+
+
+def _runs(low: np.ndarray, begin: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Runs of strings of one smallest doc in each text: (text, start, end, doc)."""
+    where = np.repeat(np.arange(len(sizes)), sizes - width + 1)
+    pos = np.arange(len(where)) + np.repeat(begin[:-1] - np.concatenate([[0], np.cumsum(sizes - width + 1)[:-1]]), sizes - width + 1)
+    value = np.asarray(low)[pos]
+    edges = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (value[1:] != value[:-1])))
+    start = pos[edges] - begin[where[edges]]
+    size = np.diff(np.append(edges, len(where)))
+    return where[edges], start, start + size, value[edges]
 
 
 def _sorted_groups(anchors: np.ndarray, sizes: np.ndarray, most: int):
@@ -255,31 +289,32 @@ def _judge(width: int):
         np.minimum.at(least, own, r["d"])
         anchor[own] = r["a"]
         _, which, count = np.unique(anchor, return_inverse=True, return_counts=True)
-        mixed, runs = np.flatnonzero(count[which] > 1), {}
-        sizes = np.array([len(t) for t in texts])
+        mixed = np.flatnonzero(count[which] > 1)
+        sizes, found = np.array([len(t) for t in texts]), []
         for part in _sorted_groups(anchor[mixed], sizes[mixed], SORT_BYTES) if len(mixed) else ():
             part = mixed[part]
-            for i, low in zip(part.tolist(), holders([texts[i] for i in part.tolist()], least[part], width)):
-                edges = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-                runs[i] = np.zeros(len(edges), _RUN)
-                runs[i]["s"], runs[i]["e"], runs[i]["d"] = edges, np.append(edges[1:], len(low)), low[edges]
+            low, begin = holders([texts[i] for i in part.tolist()], least[part], width)
+            text, s, e, d = _runs(low, begin, sizes[part], width)
+            found.append((part[text], s, e, d))
+        settled = np.setdiff1d(np.arange(len(texts)), mixed)
+        found.append((settled, np.zeros(len(settled), np.int64), sizes[settled] - width + 1, least[settled]))
+        text, s, e, d = (np.concatenate([x[k] for x in found]) for k in range(4))
+        order = np.argsort(text, kind="stable")
+        text, s, e, d = text[order], s[order], e[order], d[order]
+        lo, hi = (np.searchsorted(text, np.arange(len(texts)), side=side) for side in ("left", "right"))
         out, at = [], 0
         for batch, (rows, _) in zip(got["batch"], parts):
-            answer = []
-            for i, o, d, m, n in zip(own[at : at + len(rows)].tolist(), rows["o"].tolist(), rows["d"].tolist(), rows["m"].tolist(), rows["n"].tolist()):
-                x = runs.get(i)
-                if x is None:
-                    if least[i] >= d and not m:
-                        continue
-                    x = np.array([(o, 0, n - width + 1, least[i])], _RUN)
-                else:
-                    x = x.copy() if m else x[x["d"] < d]
-                    x["o"] = o
-                if len(x):
-                    answer.append(x)
+            mine = own[at : at + len(rows)]
             at += len(rows)
-            if answer:
-                out.append((batch, np.concatenate(answer).tobytes()))
+            n = (hi - lo)[mine]
+            row = np.repeat(np.arange(len(rows)), n)
+            run_ = np.repeat(lo[mine], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            keep = (d[run_] < rows["d"][row]) | rows["m"][row]
+            row, run_ = row[keep], run_[keep]
+            if len(row):
+                answer = np.zeros(len(row), _RUN)
+                answer["o"], answer["s"], answer["e"], answer["d"] = rows["o"][row], s[run_], e[run_], d[run_]
+                out.append((batch, answer.tobytes()))
         return pd.DataFrame(out, columns=["batch", "blob"])
 
     return run

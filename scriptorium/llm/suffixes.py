@@ -171,12 +171,12 @@ def _names(t: np.ndarray, s: np.ndarray, lms: np.ndarray) -> np.ndarray:
     """Ranks of the substrings between leftmost S positions, in memory; equal substrings share one."""
     n = len(t)
     end = np.append(lms[1:], n)
-    g, live, step = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
+    g, live, step, width = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0, 2 * int(t.max()) + 4
     while len(live):
         at = lms[live] + step
         inside = np.minimum(at, n - 1)
         k = np.where(at < n, 2 * t[inside].astype(np.int64) + s[inside], -1)
-        order = np.lexsort((k, g[live]))
+        order = np.argsort(g[live] * width + k + 1)  # ties have one name
         live, k = live[order], k[order]
         old = g[live]
         new_group = np.append(True, old[1:] != old[:-1])
@@ -196,10 +196,11 @@ def _doubled(names: np.ndarray) -> np.ndarray:
     while True:
         after = np.full(n, -1, np.int64)
         after[: n - step] = rank[step:]
-        order = np.lexsort((after, rank))
-        a, b = rank[order], after[order]
+        key = rank * (n + 1) + after + 1
+        order = np.argsort(key)
+        key = key[order]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        rank[order] = np.cumsum(np.append(0, key[1:] != key[:-1]))
         step *= 2
         if rank[order[-1]] == n - 1 or step >= 2 * n:
             return order

@@ -69,10 +69,20 @@ def test_stretches_of_a_long_text(spark, monkeypatch):
     whole = list(repeats.blocks([text.encode(), text[1000:3000].encode()]))
     monkeypatch.setattr(repeats, "STRETCH", 700)
     cut = list(repeats.blocks([text.encode(), text[1000:3000].encode()]))
-    covered = lambda parts: {(d, p) for doc, at, _, _, own in parts for d, s, x in zip(doc.tolist(), at.tolist(), own) for p in range(s, s + len(x) - 49)}
+    covered = lambda parts: {(d, p) for _, doc, at, _, start, end, _ in parts for d, a, n in zip(doc.tolist(), at.tolist(), (end - start).tolist()) for p in range(a, a + n - 49)}
     assert covered(whole) == covered(cut) == {(0, p) for p in range(5951)} | {(1, p) for p in range(1951)}
-    for doc, at, _, _, own in cut:
-        assert all((text if d == 0 else text[1000:3000]).encode()[s : s + len(x)] == x for d, s, x in zip(doc.tolist(), at.tolist(), own))
+    for data, doc, at, _, start, end, _ in cut:
+        assert all((text if d == 0 else text[1000:3000]).encode()[a : a + e - s] == data[s:e].tobytes() for d, a, s, e in zip(doc.tolist(), at.tolist(), start.tolist(), end.tolist()))
+
+
+def test_blocks_of_one_key_are_compared(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(repeats.hashing, "mix", lambda h: h & np.uint64(3))
+    text = "".join(random.Random(4).choice("abcdefgh ") for _ in range(3000))
+    batch = repeats.Batch(pd.DataFrame({"key": [1, 2], "text": [text, text[500:2500]]}), 50, 20)
+    every = batch.bytes(np.arange(len(batch.own)))
+    assert all(every[i] == every[j] for i, j in enumerate(batch.own.tolist())) and len(set(batch.own.tolist())) >= len(set(every))
 
 
 def test_a_very_long_text(spark):
@@ -108,7 +118,8 @@ def test_holders_of_wide_strings_in_small_memory():
     docs = np.array([rng.randrange(9) for _ in texts])
     for limits in ({}, {"memory": 100, "at_once": 13, "queue": 20, "in_memory": 5}):
         for width in (20, 100):
-            got = repeats.holders(texts, docs, width, **limits)
+            low, begin = repeats.holders(texts, docs, width, **limits)
+            got = [np.asarray(low[b : b + max(len(t) - width + 1, 0)]) for t, b in zip(texts, begin.tolist())]
             first = {}
             for t, d in zip(texts, docs.tolist()):
                 for i in range(len(t) - width + 1):
