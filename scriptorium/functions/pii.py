@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,16 +36,44 @@ def redacted(text: str) -> str:
     return "".join(out) + text[at:]
 
 
+#: What any of the patterns needs somewhere in a text; other texts don't leave the JVM.
+HIT = r"(?U)@|\d(?:[-\s]?\d){7}"
+
+
 @F.pandas_udf(SPAN)
-def detect(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [{"start": s, "end": e, "type": k} for s, e, k in spans(t or "")])
+def _detect(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: [] if t is None else [{"start": s, "end": e, "type": k} for s, e, k in spans(t)])
 
 
 @F.pandas_udf(T.StringType())
-def redact(text: pd.Series) -> pd.Series:
+def _redact(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else redacted(t))
 
 
+def _column(text) -> Column:
+    return F.col(text) if isinstance(text, str) else text
+
+
+def detect(text) -> Column:
+    """Spans (start, end, type) of a text column; none for a null text."""
+    return _detect(F.when(_column(text).rlike(HIT), _column(text)))
+
+
+def redact(text) -> Column:
+    return F.coalesce(_redact(F.when(_column(text).rlike(HIT), _column(text))), _column(text))
+
+
+def _deep(value):
+    """The same value with every text in it redacted; names of fields and keys of maps stay."""
+    if isinstance(value, str):
+        return redacted(value)
+    if isinstance(value, Row):
+        return Row(**{k: _deep(v) for k, v in value.asDict().items()})
+    if isinstance(value, dict):
+        return {k: _deep(v) for k, v in value.items()}
+    return [_deep(v) for v in value] if isinstance(value, list) else value
+
+
 def redact_email(text: Column) -> Column:
     return F.regexp_replace(text, EMAIL, "[REDACTED_EMAIL]")
 
@@ -57,12 +85,13 @@ def phone_like(text: Column) -> Column:
 
 
 def scrub(df: DataFrame, *columns: str) -> DataFrame:
-    """Redacts the named text columns; ids are never touched. Arrays of text are redacted element by element."""
+    """Redacts the named columns: texts, and texts anywhere inside arrays, structs and maps. Other columns, ids above all, are not touched."""
     for c in columns:
-        kind = dict(df.dtypes)[c]
-        if kind == "array<string>":
-            one = F.pandas_udf(lambda s: s.map(lambda a: None if a is None else [redacted(t) for t in a]), "array<string>")
-            df = df.withColumn(c, one(c))
-        else:
+        kind = df.schema[c].dataType
+        if isinstance(kind, T.StringType):
             df = df.withColumn(c, redact(c))
+        else:
+            held = F.to_json(F.struct(F.col(c))).rlike(HIT)
+            deep = F.udf(_deep, kind)
+            df = df.withColumn(c, F.coalesce(deep(F.when(held, F.col(c))), F.col(c)))
     return df

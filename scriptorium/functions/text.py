@@ -16,9 +16,13 @@ CLOSING = r"""[।,;:.!?…—\-"'“”‘’)\]]"""
 
 
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Unicode form C; there is no built-in for it."""
-    return text.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
+
+
+def nfc(text: Column) -> Column:
+    """Unicode form C. There is no built-in for it; only texts with characters from U+0300 on can change, and only they leave the JVM."""
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x{2FF}]"), text)), text)
 
 
 def squeezed(text: Column) -> Column:
@@ -58,10 +62,17 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def word_distance(a: Column, b: Column) -> Column:
-    """Edit distance over tokens: every distinct token of both (some 40,000 at most) becomes one character, then levenshtein."""
-    both = F.array_distinct(F.concat(a, b))
-    coded = lambda x: F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, t) + 0x3400), 4, "0")), "UTF-16BE")), "")
-    return F.levenshtein(coded(a), coded(b))
+    """Edit distance over tokens: every distinct token of both becomes one character (surrogates left out), then levenshtein.
+
+    More distinct tokens than characters, over a million in two texts, are an error.
+    """
+
+    def distance(both: Column) -> Column:
+        code = lambda t: F.array_position(both, t) + F.when(F.array_position(both, t) >= 0xD800, 0x800).otherwise(0)
+        coded = lambda x: F.array_join(F.transform(x, lambda t: F.decode(F.unhex(F.lpad(F.hex(code(t)), 8, "0")), "UTF-32")), "")
+        return F.when(F.size(both) > 0x10F000, F.raise_error(F.lit("too many distinct tokens")).cast("int")).otherwise(F.levenshtein(coded(a), coded(b)))
+
+    return F.transform(F.array(F.array_distinct(F.concat(a, b))), distance)[0]  # in a lambda, so that the table is made once
 
 
 def page_doc(page_id: Column) -> Column:

@@ -24,10 +24,9 @@ def windows(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
         "doc_id", F.transform("ls", lambda x: x.dropFields("tok")).alias("ls"), F.flatten(F.transform("ls", lambda x: x["tok"])).alias("tok"),
         F.flatten(F.transform("ls", lambda x, i: F.array_repeat(i, F.size(x["tok"])))).alias("ord"),
     )
-    docs = docs.withColumn("n", F.size("tok")).withColumn("i", F.explode(F.expr(f"sequence(0, cast(ceil(greatest(n - {size}, 0) / {step}) as int))")))
-    docs = docs.withColumn("from", F.col("i") * step).withColumn("upto", F.least(F.col("from") + size, F.col("n")))
-    source = F.expr("slice(ls, ord[from] + 1, ord[upto - 1] - ord[from] + 1)")
-    docs = docs.select("doc_id", "i", F.expr(f"slice(tok, from + 1, {size})").alias("tok"), source.alias("src"))
+    last = f"cast(ceil(greatest(size(tok) - {size}, 0) / {step}) as int)"
+    window = f"struct(i, slice(tok, i * {step} + 1, {size}) AS tok, slice(ls, ord[i * {step}] + 1, ord[least(i * {step} + {size}, size(tok)) - 1] - ord[i * {step}] + 1) AS src)"
+    docs = docs.select("doc_id", F.explode(F.expr(f"transform(sequence(0, {last}), i -> {window})")).alias("w")).select("doc_id", "w.*")
     return docs.select(
         F.format_string("%s_c%05d", F.col("doc_id").cast("string"), F.col("i")).alias("chunk_id"), "doc_id", F.array_join("tok", " ").alias("text"), F.size("tok").alias("n_tokens"),
         F.array_sort(F.array_distinct(F.transform("src", lambda x: x["page_id"]))).alias("page_ids"),

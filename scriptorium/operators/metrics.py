@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -20,6 +20,56 @@ def token_f1(hyp: Column, ref: Column) -> Column:
     return F.coalesce(F.try_divide(2 * common, F.size(h) + F.size(r)), F.lit(0.0))
 
 
+def f1_of_pairs(pairs: DataFrame, key: str = "pair", hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+    """(key, f1) of token multisets, for texts of any length: tokens are counted by a shuffle. Texts without tokens give 0."""
+    side = lambda c, n: pairs.select(key, F.explode_outer(tokens(F.col(c))).alias("tok"), F.lit(n).alias("side"))
+    counts = side(hyp, 0).unionAll(side(ref, 1)).groupBy(key, "tok").agg(F.count_if((F.col("side") == 0) & F.col("tok").isNotNull()).alias("h"), F.count_if((F.col("side") == 1) & F.col("tok").isNotNull()).alias("r"))
+    return counts.groupBy(key).agg(F.coalesce(F.try_divide(2 * F.sum(F.least("h", "r")), F.sum("h") + F.sum("r")), F.lit(0.0)).alias("f1"))
+
+
+def exact_percentile(df: DataFrame, group: str, value: str, share: float, band: float = 0.001) -> DataFrame:
+    """(group, p): the interpolated percentile. A sketch brackets it, values below are counted, and only those inside are sorted."""
+    known = df.filter(F.col(value).isNotNull())
+    bracket = known.groupBy(group).agg(F.count("*").alias("n"), F.percentile_approx(value, [0.0, max(share - band, 0.0), min(share + band, 1.0), 1.0], int(4 / band)).alias("b"))
+    few = F.col("n") * band < 4  # all of a small group are sorted
+    low, high = F.when(few, F.col("b")[0]).otherwise(F.col("b")[1]), F.when(few, F.col("b")[3]).otherwise(F.col("b")[2])
+    placed = known.select(group, F.col(value).alias("v")).join(bracket, group)
+    below = placed.groupBy(group).agg(F.count_if(F.col("v") < low).alias("below"))
+    inside = placed.filter(F.col("v").between(low, high)).join(below, group)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("v")) + F.col("below") - 1
+    at = (F.col("n") - 1) * F.lit(share)
+    ranked = inside.withColumn("rank", rank).withColumn("at", at)
+    ends = ranked.groupBy(group).agg(F.max("at").alias("at"), F.max(F.when(F.col("rank") == F.floor("at"), F.col("v"))).alias("x"), F.max(F.when(F.col("rank") == F.ceil("at"), F.col("v"))).alias("y"))
+    return ends.select(group, (F.col("x") + (F.col("y") - F.col("x")) * (F.col("at") - F.floor("at"))).alias("p"))
+
+
+def robustness(df: DataFrame, value: str, inside: Column) -> DataFrame:
+    """The metric inside and outside of the domain, and the relative drop."""
+    m = df.agg(F.avg(F.when(inside, F.col(value))).alias("inside"), F.avg(F.when(~inside, F.col(value))).alias("outside"))
+    return m.select(F.round("inside", 9).alias("inside"), F.round("outside", 9).alias("outside"), F.round(F.try_divide(F.col("inside") - F.col("outside"), F.col("inside")), 9).alias("drop"))
+
+
+def retrain(psi: Column, latency_ok: Column, most: float = 0.2) -> Column:
+    """Whether drift or a missed latency target asks for training anew."""
+    return F.coalesce(psi > most, F.lit(False)) | ~F.coalesce(latency_ok, F.lit(True))
+
+
+def citation_accuracy(cited: Column, gold: Column) -> Column:
+    """Share of distinct citations that are among the gold ones; null without citations."""
+    return F.try_divide(F.size(F.array_intersect(cited, gold)), F.size(F.array_distinct(cited)))
+
+
+def judge(answer: Column, gold: Column) -> Column:
+    """A rubric score of 0 to 1 without a model: the share of the gold answer's distinct tokens that the answer holds."""
+    words = lambda t: F.array_distinct(tokens(F.lower(t)))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(words(gold), words(answer))), F.size(words(gold))), F.lit(0.0))
+
+
+def check(verifiable: Column, answer: Column, gold: Column, least: float = 0.5) -> Column:
+    """Verifiable tasks need the gold answer, others a judged score of least."""
+    return F.when(verifiable, reward(answer, gold) == 1).otherwise(judge(answer, gold) >= least)
+
+
 def ece(df: DataFrame, conf: str, correct: str, bins: int = 10) -> DataFrame:
     b = F.least(F.floor(F.col(conf) * bins), F.lit(bins - 1))
     per = df.filter(F.col(conf).isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(conf).alias("c"), F.avg(F.col(correct).cast("double")).alias("a"))

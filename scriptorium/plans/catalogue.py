@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
@@ -15,19 +13,9 @@ from ..operators import chunks, gate, governance, layout, metrics, retrieval
 from ..sources import readers
 from ..streaming import streams
 from .bridge import LINES, PAIRS, WORDS, lines, ref_pairs, table, words
+from .registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 _WINDOWS = LINES + r""",
@@ -90,6 +78,7 @@ def page_doc_counts(s, d):
     return table(s, d, "pages").groupBy(text.doc_of_path(F.concat(rel, F.lit("/"))).alias("doc_id")).agg(F.count("*").alias("n_pages"), F.min("page_id").alias("first_page"))
 
 
+#: First and last scanned page of each work.
 _RANGES = [("arogya", 37, 120), ("chitrangada", 121, 152), ("chandalika", 153, 208), ("tin_sangi", 209, 328), ("bishwaparichay", 329, 432)]
 
 
@@ -231,13 +220,13 @@ def chunk_meta_join(s, d):
     return chunks.with_meta(w.select("chunk_id"), meta)
 
 
-_TOP = """sc AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, q.label AS q_label, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20 AND q.vec_id <> v.vec_id),
+_TOP = """sc AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, q.label AS q_label, round(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id <> v.vec_id),
     top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc)"""
 
 
 def _top(s, d, k):
     v = table(s, d, "embeddings")
-    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.top_k(q, v, k, skip_self=True)
 
 
@@ -246,17 +235,17 @@ def vector_topk(s, d):
     return _top(s, d, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
-@query("SELECT vec_id AS query_id, vec_id, 1.0::DOUBLE AS score FROM embeddings WHERE vec_id < 20")
+@query("SELECT vec_id AS query_id, vec_id, 1.0::DOUBLE AS score FROM embeddings")
 def vector_self_nn(s, d):
     v = table(s, d, "embeddings")
-    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     return retrieval.top_k(q, v, 1).select("query_id", "vec_id", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {_TOP} SELECT query_id, round(max(score), 5) AS top_score, max(score) < 0.35 AS weak FROM top GROUP BY 1")
+@query(f"WITH {_TOP} SELECT query_id, max(score) AS top_score, max(score) < 0.35 AS weak FROM top GROUP BY 1")
 def weak_evidence(s, d):
     t = _top(s, d, 10).groupBy("query_id").agg(F.max(F.round("score", 6)).alias("m"))
-    return t.select("query_id", F.round("m", 5).alias("top_score"), retrieval.is_weak(F.col("m")).alias("weak"))
+    return t.select("query_id", F.col("m").alias("top_score"), retrieval.is_weak(F.col("m")).alias("weak"))
 
 
 @query(f"""WITH {_TOP}, e AS (SELECT query_id, rank, ((query_id * 31 + vec_id * 17) % 40) / 100.0 AS ev FROM top WHERE rank <= 40),
@@ -267,14 +256,14 @@ def widening_trajectory(s, d):
     return retrieval.trajectory(r).select("query_id", "k_used", "abstained")
 
 
-@query(f"""WITH {_TOP}, g AS (SELECT q.vec_id AS query_id, count(*) AS n FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id < 20 GROUP BY 1)
+@query(f"""WITH {_TOP}, g AS (SELECT q.vec_id AS query_id, count(*) AS n FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id GROUP BY 1)
     SELECT query_id, round(count(*) FILTER (WHERE rank <= 10 AND label = q_label) / any_value(n), 9) AS recall FROM top JOIN g USING (query_id) GROUP BY 1""")
 def recall_at_k(s, d):
     v = table(s, d, "embeddings").select("vec_id", "label")
-    found = _top(s, d, 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("found"))
-    q = v.filter("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
-    gold = v.join(F.broadcast(q), "label").filter("vec_id <> query_id").groupBy("query_id").agg(F.collect_list("vec_id").alias("gold"))
-    return found.join(gold, "query_id").select("query_id", F.round(metrics.recall_at_k(F.col("found"), F.col("gold"), 10), 9).alias("recall"))
+    number = v.groupBy("label").agg((F.count("*") - 1).alias("n"))
+    asked = v.join(number, "label").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"), "n").filter("n > 0")
+    met = _top(s, d, 10).select("query_id", "vec_id").join(v, "vec_id").join(asked, "query_id")
+    return met.groupBy("query_id", "n").agg(F.count_if(F.col("label") == F.col("q_label")).alias("hits")).select("query_id", F.round(F.col("hits") / F.col("n"), 9).alias("recall"))
 
 
 @query()
@@ -324,11 +313,11 @@ def ablation_deltas(s, d):
     return metrics.drop_against(table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "source"), "doc_id"), "source", "quality", "src0")
 
 
-_Q = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM benchmark WHERE item_id < 10"
+_Q = "SELECT item_id AS query_id, text FROM benchmark"
 
 
 def _asked(s, d):
-    return table(s, d, "benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
+    return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 _BM = rf"""q AS ({_Q}), dt AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\s\p{{Z}}]+'), lambda x: x <> '') AS t FROM documents),
@@ -338,9 +327,9 @@ _BM = rf"""q AS ({_Q}), dt AS (SELECT doc_id, list_filter(string_split_regex(low
     bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM sc)"""
 
 
-@query(f"WITH {_BM} SELECT query_id, rank, doc_id, round(score, 4) AS score FROM bm WHERE rank <= 10")
+@query(f"WITH {_BM} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10")
 def bm25_topk(s, d):
-    return retrieval.bm25(table(s, d, "documents"), _asked(s, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.round("score", 4).alias("score"))
+    return retrieval.bm25(table(s, d, "documents"), _asked(s, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 def _overlap(s, d, k=10):
@@ -443,21 +432,22 @@ def groundedness(s, d):
     return governance.grounded(answers, lines(s, d).select("chunk_id"))
 
 
-@query(f"WITH {_WINDOWS}, c AS (SELECT chunk_id, unnest(string_split(source_line_ids, ',')) AS l FROM windows WHERE doc_id < 50) SELECT c.chunk_id, count(*) AS n_lines, min(lines.page_id) AS first_page, round(min(conf), 9) AS least_conf FROM c JOIN lines ON l = lines.chunk_id GROUP BY 1")
+@query(f"WITH {_WINDOWS}, c AS (SELECT chunk_id, unnest(string_split(source_line_ids, ',')) AS l FROM windows) SELECT c.chunk_id, count(*) AS n_lines, min(lines.page_id) AS first_page, round(min(conf), 9) AS least_conf FROM c JOIN lines ON l = lines.chunk_id GROUP BY 1")
 def citation_drillthrough(s, d):
-    cited = _windows(s, d).filter("doc_id < 50").select("chunk_id", F.explode("source_line_ids").alias("l"))
+    cited = _windows(s, d).select("chunk_id", F.explode("source_line_ids").alias("l"))
     return cited.join(lines(s, d).select(F.col("chunk_id").alias("l"), "page_id", "conf"), "l").groupBy("chunk_id").agg(F.count("*").alias("n_lines"), F.min("page_id").alias("first_page"), F.round(F.min("conf"), 9).alias("least_conf"))
 
 
-@query(r"SELECT doc_id, CAST(lower(trim(regexp_replace(left(text, 200), '\s+', ' ', 'g'))) = lower(trim(regexp_replace(left(text, 200 - (doc_id % 2)::INT), '\s+', ' ', 'g'))) AS INTEGER) AS reward FROM documents")
+@query(r"SELECT doc_id, CAST(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) = lower(trim(regexp_replace(left(text, length(text) - (doc_id % 2)::INT), '\s+', ' ', 'g'))) AS INTEGER) AS reward FROM documents")
 def verifiable_reward(s, d):
-    return table(s, d, "documents").select("doc_id", metrics.reward(F.left("text", F.lit(200)), F.expr("left(text, 200 - cast(doc_id % 2 as int))")).alias("reward"))
+    return table(s, d, "documents").select("doc_id", metrics.reward(F.col("text"), F.expr("left(text, length(text) - cast(doc_id % 2 as int))")).alias("reward"))
 
 
-@query(f"WITH {PAIRS}, t AS (SELECT hyp, ref, string_split(hyp, ' ') AS h, string_split(ref, ' ') AS r FROM pairs) SELECT md5(hyp) AS hyp, md5(ref) AS ref, round(2 * list_sum(list_transform(list_distinct(h), lambda x: least(len(list_filter(h, lambda y: y = x)), len(list_filter(r, lambda y: y = x))))) / (len(h) + len(r)), 9) AS f1 FROM t")
+@query(f"""WITH {PAIRS}, t AS (SELECT hyp, ref, unnest(string_split(hyp, ' ')) AS w, 1 AS h, 0 AS r FROM pairs UNION ALL SELECT hyp, ref, unnest(string_split(ref, ' ')), 0, 1 FROM pairs),
+    c AS (SELECT hyp, ref, w, sum(h) AS h, sum(r) AS r FROM t GROUP BY ALL) SELECT md5(hyp) AS hyp, md5(ref) AS ref, round(2 * sum(least(h, r)) / (sum(h) + sum(r)), 9)::DOUBLE AS f1 FROM c GROUP BY hyp, ref""")
 def ocr_f1(s, d):
-    scored = ref_pairs(s, d).withColumn("f1", F.round(metrics.token_f1(F.col("hyp"), F.col("ref")), 9))
-    return scored.select(F.md5("hyp").alias("hyp"), F.md5("ref").alias("ref"), "f1")
+    pairs = ref_pairs(s, d).withColumn("pair", F.struct(F.md5("hyp").alias("hyp"), F.md5("ref").alias("ref")))
+    return metrics.f1_of_pairs(pairs).select("pair.hyp", "pair.ref", F.round("f1", 9).alias("f1"))
 
 
 @query("""WITH b AS (SELECT greatest(least(floor(value / 100 * 10), 9), 0) AS bin, count(*) FILTER (WHERE event_id % 2 = 0) AS a, count(*) FILTER (WHERE event_id % 2 = 1) AS b FROM events WHERE value IS NOT NULL GROUP BY 1),
@@ -468,7 +458,7 @@ def drift_psi(s, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, quantile_cont(value, 0.95) <= 300 AS ok FROM events GROUP BY 1")
 def latency_slo(s, d):
-    e = table(s, d, "events").groupBy("event_type").agg(F.percentile("value", 0.95).alias("p"))
+    e = metrics.exact_percentile(table(s, d, "events"), "event_type", "value", 0.95)
     return e.select("event_type", F.round("p", 6).alias("p95"), (F.col("p") <= 300).alias("ok"))
 
 
