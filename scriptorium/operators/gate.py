@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import similarity
+from ..functions.text import normalized, page_doc, similarity, text_lines
+from .layout import provenance
 
 
 def align(n_hyp: int, n_ref: int, sim: np.ndarray | None, config: Config = DEFAULT) -> list[int | None] | None:
@@ -41,23 +42,65 @@ def align(n_hyp: int, n_ref: int, sim: np.ndarray | None, config: Config = DEFAU
 def align_pages(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """pages: page_id, hyp, ref (arrays of lines). (page_id, idx, ref_idx, aligned); a page is one unit of work.
 
-    Similarities are computed by the JVM, and only where a back-trace needs them; Python traces the pairing.
+    Equal counts pair by position and counts too far apart pair nothing, both in SQL. Only the pages between get
+    similarities, computed by the JVM, and a back-trace in Python.
     """
     n, m = F.size("hyp"), F.coalesce(F.size("ref"), F.lit(-1))
-    pairs = F.transform("hyp", lambda h: F.transform("ref", lambda r: similarity(h, r)))
-    rows = pages.select("page_id", n.alias("n"), m.alias("m"), F.when((n != m) & (m >= 0) & (F.abs(n - m) <= config.max_line_diff), F.flatten(pairs)).alias("sim"))
+    rows = pages.select("page_id", "hyp", "ref", n.alias("n"), m.alias("m")).filter("n > 0")
+    traced = (F.col("n") != F.col("m")) & (F.col("m") >= 0) & (F.abs(F.col("n") - F.col("m")) <= config.max_line_diff)
+    plain = rows.filter(~traced).select("page_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"), (F.col("n") == F.col("m")).alias("aligned"))
+    pairs = F.flatten(F.transform("hyp", lambda h: F.transform("ref", lambda r: similarity(h, r))))
 
     def run(batches):
         for b in batches:
             out = []
             for page, n, m, sim in zip(b["page_id"], b["n"], b["m"], b["sim"]):
-                got = align(n, m, None if sim is None else np.asarray(sim).reshape(n, m), config) if m >= 0 else None
-                out += [(page, i, None if got is None else got[i], got is not None) for i in range(n)]
+                out += [(page, i, j, True) for i, j in enumerate(align(n, m, np.asarray(sim, float).reshape(n, m), config))]
             out = pd.DataFrame(out, columns=["page_id", "idx", "ref_idx", "aligned"])
             out["ref_idx"] = out["ref_idx"].astype("Int64")
             yield out
 
-    return rows.mapInPandas(run, "page_id string, idx int, ref_idx int, aligned boolean")
+    found = rows.filter(traced).select("page_id", "n", "m", pairs.alias("sim")).mapInPandas(run, "page_id string, idx int, ref_idx int, aligned boolean")
+    return plain.select("page_id", "idx", F.when(F.col("aligned"), F.col("idx")).alias("ref_idx"), "aligned").unionByName(found)
+
+
+def aligned_lines(pages: DataFrame, texts: DataFrame, name: str, config: Config = DEFAULT) -> DataFrame:
+    """(page_id, idx, name): the normalised line of a page's text that is aligned with each of its lines (hyp). texts: page_id, text."""
+    lines = texts.select("page_id", text_lines(F.col("text")).alias("ref"))
+    index = align_pages(pages.join(lines, "page_id", "left"), config).filter("ref_idx IS NOT NULL")
+    line = F.nullif(normalized(F.get("ref", F.col("ref_idx"))), F.lit(""))
+    return index.join(lines, "page_id").select("page_id", "idx", line.alias(name))
+
+
+def audit(regions: DataFrame, layout: DataFrame | None = None, gold: DataFrame | None = None, refs: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
+    """One row per transcribed region with its tier, reason and error rate. regions: page_id, idx, text, conf, bbox.
+
+    layout: region_id, bbox of what was detected (empty or none: not checked). gold, refs: page_id, text of whole pages; their lines
+    are aligned with the page's regions. idx counts the regions of a page from 0.
+    """
+    pages = regions.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))).alias("hyp"))
+    rows = regions.withColumn("region_id", F.format_string("%s_r%03d", "page_id", "idx")).withColumn("norm", normalized(F.coalesce("text", F.lit(""))))
+    for name, texts in (("gold", gold), ("ref", refs)):
+        rows = rows.withColumn(name, F.lit(None).cast("string")) if texts is None else rows.join(aligned_lines(pages, texts, name, config), ["page_id", "idx"], "left")
+    rows = rows.withColumn("ok", F.lit(True)) if layout is None else provenance(rows, layout)
+    rows = rows.withColumn("g", decide(F.col("norm"), F.col("gold"), F.col("ref"), F.col("ref").isNotNull(), F.col("ok"), config))
+    shown = F.when(F.col("g.tier") == "gold", F.col("gold")).when(F.col("g.cer").isNotNull(), F.col("ref"))
+    return rows.select(
+        "region_id", F.format_string("%s_l%03d", "page_id", "idx").alias("chunk_id"), "page_id", "idx", F.col("conf").alias("ocr_confidence"), "g.cer", F.lit(config.max_cer).alias("cer_threshold"),
+        F.lit(ocr_config(config)).alias("ocr_config"), F.col("text").alias("ocr_text_raw"), F.col("norm").alias("ocr_text_normalized"), shown.alias("reference_text_normalized"),
+        F.col("g.tier").alias("evidence_tier"), "g.accepted", F.col("g.reason").alias("reject_reason"),
+    )
+
+
+def accepted(rows: DataFrame) -> DataFrame:
+    """The line chunks of accepted rows of audit(): id, doc_id, text, page_ids."""
+    kept = rows.filter("accepted")
+    return kept.select(F.col("chunk_id").alias("id"), page_doc(F.col("page_id")).alias("doc_id"), F.col("ocr_text_normalized").alias("text"), F.array("page_id").alias("page_ids"))
+
+
+# Tiers and the reasons of rejection, as written to the audit table.
+RAW, SILVER, GOLD = "raw", "silver", "gold"
+MISPLACED, SHORT, UNALIGNED, ABOVE = "layout_provenance_mismatch", "REJECT_TOO_SHORT", "reference_alignment_failed", "cer_above_threshold"
 
 
 def decide(norm: Column, gold: Column, ref: Column, aligned: Column, known: Column, config: Config = DEFAULT) -> Column:
@@ -65,15 +108,30 @@ def decide(norm: Column, gold: Column, ref: Column, aligned: Column, known: Colu
     rate = F.when(ref.isNotNull() & (F.length(ref) > 0), F.levenshtein(norm, ref) / F.length(ref))
     row = lambda tier, ok, why, value=None: F.struct(F.lit(tier).alias("tier"), F.lit(ok).alias("accepted"), F.lit(why).cast("string").alias("reason"), (F.lit(value) if value is None or isinstance(value, float) else value).cast("double").alias("cer"))
     return (
-        F.when(~known, row("raw", False, "layout_provenance_mismatch"))
-        .when(F.length(norm) < config.min_line_chars, row("raw", False, "REJECT_TOO_SHORT"))
-        .when(F.coalesce(gold == norm, F.lit(False)), row("gold", True, None, 0.0))
-        .when(~aligned, row("raw", False, "reference_alignment_failed"))
-        .when(rate.isNull(), row("raw", False, "reference_alignment_failed"))
-        .when(rate <= config.max_cer, row("silver", True, None, rate))
-        .otherwise(row("raw", False, "cer_above_threshold", rate))
+        F.when(~known, row(RAW, False, MISPLACED))
+        .when(F.length(norm) < config.min_line_chars, row(RAW, False, SHORT))
+        .when(F.coalesce(gold == norm, F.lit(False)), row(GOLD, True, None, 0.0))
+        .when(~aligned, row(RAW, False, UNALIGNED))
+        .when(rate.isNull(), row(RAW, False, UNALIGNED))
+        .when(rate <= config.max_cer, row(SILVER, True, None, rate))
+        .otherwise(row(RAW, False, ABOVE, rate))
     )
 
 
 def ocr_config(config: Config = DEFAULT) -> str:
     return f"--oem {config.ocr_oem} --psm {config.line_psm} -l {config.ocr_lang}"
+
+
+def page_config(config: Config = DEFAULT) -> str:
+    return f"--psm {config.page_psm} -l {config.ocr_lang}"
+
+
+def transcribed(lines: DataFrame, reader) -> DataFrame:
+    """lines with text and conf from reader(crop, width, height) -> (text, conf); an empty crop gives no text and 0.0. lines: crop (binary), w, h."""
+
+    @F.pandas_udf("struct<text string, conf double>")
+    def read(crop: pd.Series, w: pd.Series, h: pd.Series) -> pd.DataFrame:
+        found = [reader(c, x, y) if c is not None and len(c) and x > 0 and y > 0 else ("", 0.0) for c, x, y in zip(crop, w, h)]
+        return pd.DataFrame(found, columns=["text", "conf"])
+
+    return lines.withColumn("_read", read("crop", "w", "h")).select(*lines.columns, "_read.text", "_read.conf")

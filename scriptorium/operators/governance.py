@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import word_count
+from ..functions.text import tokens, word_count
 
+#: Names of the seams, and of the features that attach there, in this order.
 SEAMS = ("after_ingest", "after_ocr", "before_index", "after_retrieve", "on_step", "on_tool_call", "before_answer", "after_answer", "on_log")
+WIRING = (("tracing", ("on_step", "on_tool_call", "after_answer")), ("pii", ("after_ocr", "before_answer", "on_log")), ("guardrails", ("on_tool_call",)), ("grounding", ("before_answer",)))
 INJECTION = r"(?i)ignore (all|any|previous|the above)|disregard .{0,20}instructions|system prompt"
 
 
+#: Ranges that are sent to all tasks.
+RANGES = 10_000
+
+
 class Hooks:
     """Ordered DataFrame -> DataFrame functions per seam."""
 
@@ -35,6 +41,119 @@ class Hooks:
             x.clear()
 
 
+def wire(features: dict[str, Callable[[DataFrame], DataFrame | None]], hooks: Hooks | None = None) -> Hooks:
+    """Clears the hooks and attaches every feature of WIRING to its seams, in that order; one that is missing is an error."""
+    hooks = hooks or Hooks()
+    hooks.clear()
+    for name, seams in WIRING:
+        if name not in features:
+            raise ValueError(f"no feature {name}")
+        for seam in seams:
+            hooks.register(seam, features[name])
+    return hooks
+
+
+class Tools:
+    """Named functions over DataFrames; the names are those an agent may call."""
+
+    #: Names of the tools.
+    NAMES = ("retrieve", "rerank", "read_page", "enhance_page", "extract", "aggregate", "cite", "calculator", "escalate_to_human")
+
+    def __init__(self):
+        self.known: dict[str, Callable] = {}
+
+    def add(self, name: str, function: Callable) -> None:
+        if name not in self.NAMES:
+            raise ValueError(f"unknown tool {name}")
+        self.known[name] = function
+
+    def call(self, name: str, *args, **named):
+        if name not in self.known:
+            raise ValueError(f"no tool {name}")
+        return self.known[name](*args, **named)
+
+    def missing(self) -> set[str]:
+        return set(self.NAMES) - set(self.known)
+
+
+#: Fields that extract() knows, by their patterns.
+FIELDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "url": r"https?://[^\s<>]+", "number": r"[0-9]+(?:\.[0-9]+)?"}
+
+
+def extract(field: str, text: Column) -> Column:
+    """The first value of a known field in a text, or null."""
+    if field not in FIELDS:
+        raise ValueError(f"unknown field {field}")
+    return F.nullif(F.regexp_extract(text, f"({FIELDS[field]})", 1), F.lit(""))
+
+
+def read_page(lines: DataFrame) -> DataFrame:
+    """(page_id, text, n_lines) of lines page_id, line_idx, text in their order."""
+    pages = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "text"))).alias("l"), F.count("*").alias("n_lines"))
+    return pages.select("page_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"), "n_lines")
+
+
+def limits(steps: DataFrame, run: str, order: list[str], cost: str, config: Config = DEFAULT) -> DataFrame:
+    """steps with the number of steps and the cost so far, and whether these pass the limits."""
+    so_far = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = steps.withColumn("steps", F.count("*").over(so_far)).withColumn("spent", F.sum(cost).over(so_far))
+    return out.withColumn("over_steps", F.col("steps") > config.max_steps).withColumn("over_budget", F.col("spent") > config.budget)
+
+
+def format_answer(raw: Column, citations: Column, known: Column, refusal: str = "not found in the corpus") -> Column:
+    """Struct of text, citations, grounded, confidence: without citations, or with unknown ones, the answer is a refusal.
+
+    known: how many of the citations exist.
+    """
+    n = F.coalesce(F.size(citations), F.lit(0))
+    grounded = (n > 0) & (known == n)
+    share = F.coalesce(F.try_divide(known, n), F.lit(0.0)).cast("double")
+    return F.struct(F.when(grounded, raw).otherwise(refusal).alias("text"), F.when(grounded, citations).otherwise(F.array().cast("array<string>")).alias("citations"), grounded.alias("grounded"), share.alias("confidence"))
+
+
+def authorized(requests: DataFrame, clients: DataFrame) -> DataFrame:
+    """Requests of known clients."""
+    return requests.join(clients.select("client").distinct(), "client", "left_semi")
+
+
+def rate_limited(requests: DataFrame, client: str, ts: str, most: int, per: str = "hour") -> DataFrame:
+    """(client, start, n) where a client asked more than most times within a unit of time."""
+    return requests.groupBy(client, F.date_trunc(per, ts).alias(per)).agg(F.count("*").alias("n")).filter(F.col("n") > most)
+
+
+def manifest(files: DataFrame) -> DataFrame:
+    """files: path, content. path, sha256, size of each, one row a file."""
+    return files.select("path", F.sha2("content", 256).alias("sha256"), F.octet_length("content").cast("long").alias("size"))
+
+
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows, as often."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def shared_tokens(docs: DataFrame, part: Column) -> DataFrame:
+    """(n_tokens, n_shared): distinct tokens of a table, and those that stand in several of its parts."""
+    spread = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("t"), part.alias("p")).groupBy("t").agg(F.countDistinct("p").alias("parts"))
+    return spread.agg(F.count("*").alias("n_tokens"), F.count_if(F.col("parts") > 1).alias("n_shared"))
+
+
+def estimated_words(docs: DataFrame, every: int = 10) -> DataFrame:
+    """Words of all documents from the mean of those whose id is divisible by every; a sampling operator."""
+    drawn = docs.filter(F.pmod("doc_id", F.lit(every)) == 0).agg(F.avg(word_count(F.col("text"))).alias("mean"), F.count("*").alias("drawn"))
+    return drawn.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n")))).select("drawn", "n", F.round(F.col("mean") * F.col("n"), 3).alias("words"))
+
+
+def text_lines(spark, n: int, words: list[str], length: int = 6) -> DataFrame:
+    """(id, text): made lines of length words, by arithmetic on the line and the place."""
+    known = F.array(*map(F.lit, words))
+    place = lambda j: (F.pmod(F.col("id") * 31 + j * 17 + F.col("id") * j, F.lit(len(words))) + 1).cast("int")
+    return spark.range(n).select("id", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: F.element_at(known, place(j))), " ").alias("text"))
+
+
+def processed_path(root: str, doc_id: Column, page_id: Column) -> Column:
+    return F.concat_ws("/", F.lit(root.rstrip("/")), doc_id, F.concat(page_id, F.lit(".png")))
+
+
 def validate(docs: DataFrame, pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     words = docs.agg(F.sum(word_count(F.col("text"))).alias("n_words"), F.countDistinct("doc_id").alias("n_docs"))
     n = pages.agg(F.count("*").alias("n_pages"))
@@ -42,7 +161,10 @@ def validate(docs: DataFrame, pages: DataFrame, config: Config = DEFAULT) -> Dat
 
 
 def snapshot(files: DataFrame) -> DataFrame:
-    """files: path, content. Version: SHA-256 over the files' hex digests in the order of path parts, 16 digits."""
+    """files: path, content. Version: SHA-256 over the files' hex digests in the order of path parts, 16 digits.
+
+    The definition hashes one text of all digests, so these meet in one row: 64 bytes a file (and its path), no contents.
+    """
     rows = files.select(F.split("path", "/").alias("parts"), F.sha2("content", 256).alias("h"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("parts", "h"))), lambda x: x["h"])
     return rows.agg(F.substring(F.sha2(F.array_join(ordered, ""), 256), 1, 16).alias("version_id"), F.count("*").alias("n_files"))
@@ -78,8 +200,9 @@ def aggregate(op: str, value: Column) -> Column:
 
 
 def assign_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Inner range join of page numbers with inclusive [start, end] ranges (a bounded table)."""
-    return pages.join(F.broadcast(ranges), F.col("page_num").between(F.col("start"), F.col("end")))
+    """Inner range join of page numbers with inclusive [start, end] ranges; up to RANGES of them are sent to all tasks."""
+    few = ranges.limit(RANGES + 1).count() <= RANGES
+    return pages.join(F.broadcast(ranges) if few else ranges, F.col("page_num").between(F.col("start"), F.col("end")))
 
 
 def grounded(answers: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -13,8 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "raw"))
-    tier = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    return lines_of(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def lines_of(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    docs = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "raw"))
+    tier = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     page = F.format_string("doc%d_p%04d", F.col("doc_id"), (F.floor(F.col("line_idx") / 10) + 1).cast("int"))
     rows = docs.withColumn("text", squeezed(F.col("raw"))).filter("text <> ''").withColumn("page_id", page)
     rows = rows.withColumn("chunk_id", F.format_string("%s_l%03d", "page_id", F.col("line_idx") % 10)).withColumn("conf", (50 + (F.col("doc_id") * 7 + F.col("line_idx") * 13) % 50) / 100)

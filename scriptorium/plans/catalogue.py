@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..functions import pii, text
 from ..operators import chunks, gate, governance, layout, metrics, retrieval
 from ..sources import readers
 from ..streaming import streams
-from .bridge import LINES, PAIRS, WORDS, lines, ref_pairs, table, words
+from .bridge import LINES, PAIRS, WORDS, lines, lines_of, ref_pairs, table, words
 from .registry import ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -42,9 +40,13 @@ def chunk_windows(s, d):
     return w.select("chunk_id", "doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.md5("text").alias("text_md5"), F.array_join("page_ids", ",").alias("page_ids"), F.array_join("source_line_ids", ",").alias("source_line_ids"), F.round("ocr_confidence", 9).alias("ocr_confidence"), "tier")
 
 
-@query(f"WITH {_WINDOWS} SELECT doc_id, tier, count(*) AS n_chunks, sum(n_tokens)::BIGINT AS n_tokens FROM windows GROUP BY ALL")
+@query(f"""WITH {_WINDOWS}, p AS (SELECT doc_id, tier, count(DISTINCT page) AS n_pages FROM (SELECT doc_id, tier, unnest(string_split(page_ids, ',')) AS page FROM windows) GROUP BY ALL)
+    SELECT doc_id, tier, count(*) AS n_chunks, sum(n_tokens)::BIGINT AS n_tokens, any_value(n_pages) AS n_pages FROM windows JOIN p USING (doc_id, tier) GROUP BY ALL""")
 def chunk_stats(s, d):
-    return _windows(s, d).groupBy("doc_id", "tier").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").cast("long").alias("n_tokens"))
+    """Chunks, tokens and distinct pages covered, by document and tier."""
+    w = _windows(s, d)
+    pages = w.select("doc_id", "tier", F.explode("page_ids").alias("p")).groupBy("doc_id", "tier").agg(F.countDistinct("p").alias("n_pages"))
+    return w.groupBy("doc_id", "tier").agg(F.count("*").alias("n_chunks"), F.sum("n_tokens").cast("long").alias("n_tokens")).join(pages, ["doc_id", "tier"])
 
 
 @query(f"WITH {LINES} SELECT doc_id, line_idx, page_id, md5(nfc_normalize(text)) AS text_md5 FROM lines")
@@ -323,8 +325,8 @@ def _asked(s, d):
 _BM = rf"""q AS ({_Q}), dt AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[\s\p{{Z}}]+'), lambda x: x <> '') AS t FROM documents),
     st AS (SELECT count(*) AS n, avg(len(t)) AS al FROM dt), qt AS (SELECT DISTINCT query_id, unnest(list_filter(string_split_regex(lower(text), '[\s\p{{Z}}]+'), lambda x: x <> '')) AS term FROM q),
     ex AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM dt), tf AS (SELECT doc_id, l, term, count(*) AS tf FROM ex WHERE term IN (SELECT term FROM qt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-    sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
-    bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM sc)"""
+    bs AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al))), 6) AS score FROM qt JOIN tf USING (term) JOIN df USING (term), st GROUP BY 1, 2),
+    bm AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM bs)"""
 
 
 @query(f"WITH {_BM} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10")
@@ -334,9 +336,7 @@ def bm25_topk(s, d):
 
 def _overlap(s, d, k=10):
     docs = table(s, d, "documents").select("doc_id", "text")
-    hits = retrieval.bm25(docs, _asked(s, d), k)
-    met = hits.join(docs, "doc_id").join(_asked(s, d).withColumnRenamed("text", "asked"), "query_id").withColumn("overlap", F.round(retrieval.overlap_score(F.col("asked"), F.col("text")), 9))
-    return met.withColumn("new_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("overlap"), "rank")))
+    return retrieval.rerank(retrieval.bm25(docs, _asked(s, d), k), docs, _asked(s, d))
 
 
 _OV = rf"""{_BM}, qa AS (SELECT query_id, list_distinct(list_filter(string_split_regex(lower(text), '[\s\p{{Z}}]+'), lambda x: x <> '')) AS a FROM q),
@@ -349,10 +349,21 @@ def rerank_overlap(s, d):
     return _overlap(s, d).select("query_id", "doc_id", F.col("new_rank").cast("long").alias("new_rank"), "overlap")
 
 
-@query(f"WITH {_OV} SELECT query_id, doc_id, round(1.0 / (60 + rank) + 1.0 / (60 + new_rank), 9) AS score FROM rr")
+@query(f"""WITH {_BM}, {_TOP}, l AS (SELECT query_id, doc_id, rank FROM bm WHERE rank <= 10 UNION ALL SELECT query_id, vec_id, rank FROM top WHERE rank <= 10 AND query_id IN (SELECT item_id FROM benchmark))
+    SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM l GROUP BY 1, 2""")
 def hybrid_rrf(s, d):
-    r = _overlap(s, d)
-    return retrieval.fuse(r.select("query_id", "doc_id", "rank"), r.select("query_id", "doc_id", F.col("new_rank").alias("rank"))).select("query_id", "doc_id", "score")
+    """BM25 over texts fused with exact vector search; the item's vector is that of its number."""
+    dense = _top(s, d, 10).join(_asked(s, d).select("query_id"), "query_id", "left_semi").select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    return retrieval.fuse(retrieval.bm25(table(s, d, "documents"), _asked(s, d), 10), dense).select("query_id", "doc_id", "score")
+
+
+@query(f"""WITH {_BM}, p AS (SELECT query_id, doc_id, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / al)) AS part FROM qt JOIN tf USING (term) JOIN df USING (term), st),
+    t AS (SELECT query_id, doc_id, sum(part) AS total FROM p GROUP BY 1, 2) SELECT query_id, doc_id, term, round(part / total, 6) AS share FROM p JOIN t USING (query_id, doc_id) JOIN bm USING (query_id, doc_id) WHERE rank <= 3""")
+def explain_terms(s, d):
+    """What each term of an item gives to the score of its three best documents."""
+    docs = table(s, d, "documents")
+    hits = retrieval.bm25(docs, _asked(s, d), 3)
+    return retrieval.explained(docs, _asked(s, d), hits).select("query_id", "doc_id", "term", F.round("share", 6).alias("share"))
 
 
 @query("SELECT conv_id, turn, count(*) OVER w AS steps, regexp_matches(text, '(?i)ignore (all|any|previous|the above)|disregard .{0,20}instructions|system prompt') AS injected, turn - min(turn) OVER (PARTITION BY conv_id) + 1 = row_number() OVER w AS gapless FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)")
@@ -380,15 +391,14 @@ def tool_cite(s, d):
     return table(s, d, "documents").select("doc_id", governance.cite(F.col("text"), a, a + 30).alias("span"))
 
 
-@query(r"SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1), '') AS email FROM documents")
+@query(r"SELECT doc_id, nullif(regexp_extract(text, '([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})', 1), '') AS email, nullif(regexp_extract(text, '(https?://[^\s<>]+)', 1), '') AS url, nullif(regexp_extract(text, '([0-9]+(?:\.[0-9]+)?)', 1), '') AS number FROM documents")
 def tool_extract(s, d):
-    return table(s, d, "documents").select("doc_id", F.nullif(F.regexp_extract("text", f"({pii.EMAIL})", 1), F.lit("")).alias("email"))
+    return table(s, d, "documents").select("doc_id", *(governance.extract(f, F.col("text")).alias(f) for f in governance.FIELDS))
 
 
 @query(f"WITH {LINES} SELECT page_id, md5(string_agg(text, chr(10) ORDER BY line_idx)) AS text_md5, count(*) AS n_lines FROM lines GROUP BY 1")
 def tool_read_page(s, d):
-    page = lines(s, d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "text"))).alias("l"), F.count("*").alias("n_lines"))
-    return page.select("page_id", F.md5(F.array_join(F.transform("l", lambda x: x["text"]), "\n")).alias("text_md5"), "n_lines")
+    return governance.read_page(lines(s, d)).select("page_id", F.md5("text").alias("text_md5"), "n_lines")
 
 
 @query("SELECT DISTINCT doc_id, CASE WHEN (doc_id * 7919 + 104729) % 100 < 15 THEN 'test' WHEN (doc_id * 7919 + 104729) % 100 < 35 THEN 'val' ELSE 'train' END AS part FROM documents")
@@ -464,7 +474,7 @@ def latency_slo(s, d):
 
 @query("SELECT user_id, date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) > 2")
 def rate_limit(s, d):
-    return table(s, d, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n")).filter("n > 2")
+    return governance.rate_limited(table(s, d, "events"), "user_id", "ts", 2)
 
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value, max(value) AS max_value FROM events GROUP BY 1, 2")
@@ -485,19 +495,16 @@ def stream_monitor(s, d):
     return streams.run_available(streams.monitor(_streamed(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))), f"monitor_{uuid.uuid4().hex}", "complete")
 
 
-@query("SELECT count(*) AS n_docs, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines FROM documents")
+@query(f"WITH {_WINDOWS} SELECT chunk_id, n_tokens, tier FROM windows")
 def stream_ingest(s, d):
+    """Documents of a stream, cut into windows by the same functions as in batch and redacted, in a table that grows batch by batch."""
     import uuid
 
-    rows = _streamed(s, d, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
-    got = streams.run_available(rows, f"ingest_{uuid.uuid4().hex}")
-    return got.agg(F.count("*").alias("n_docs"), F.sum("n").cast("long").alias("n_lines"))
+    def transform(docs):
+        return chunks.windows(lines_of(docs, table(s, d, "labels"))).withColumn("text", pii.redact("text"))
 
+    got = streams.ingested(_streamed(s, d, "documents"), transform, streams.folder(s, f"ingest-{uuid.uuid4().hex}"))
+    return got.select("chunk_id", F.col("n_tokens").cast("long").alias("n_tokens"), "tier")
 
-@query()
-def image_quality(s, d):
-    """Ink, brightness, contrast and edges of generated pages."""
-    from ..operators import images
 
-    ids = table(s, d, "pages").select("page_id")
-    return images.quality(ids.mapInPandas(lambda bs: (pd.DataFrame({"page_id": b["page_id"], "width": 64, "height": 48, "pixels": [np.random.default_rng(int(i)).integers(0, 256, 64 * 48, dtype=np.uint8).tobytes() for i in b["page_id"]]}) for b in bs), "page_id long, width int, height int, pixels binary"))
+from . import operations  # noqa: E402, F401  adds its queries
