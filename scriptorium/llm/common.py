@@ -13,13 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set, as in tests."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (spark.checkpoint.dir, or what the context was given); a temporary one only in one process, as in tests."""
+    context = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-"))
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-"))
     return context.getCheckpointDir().rstrip("/")
 
 
@@ -30,9 +31,28 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Folders of the tables written so far, oldest first.
+_written: list[str] = []
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder, which outlives lost executors."""
+    """Cuts the lineage by a table in the shared folder, which outlives lost executors. It stays until drop_since()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A place among the tables written so far."""
+    return len(_written)
+
+
+def drop_since(spark: SparkSession, place: int, keep: int = 1) -> None:
+    """Deletes the tables written since a mark() but for the last keep ones; nothing may still be read from them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written[place : len(_written) - keep]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    del _written[place : len(_written) - keep]

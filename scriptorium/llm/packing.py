@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, po
     """Pieces of all documents with their ids (binary, little-endian unsigned 32-bit).
 
     Each document is its ids and the end id 2; a null text is empty, so it has that id alone. Rows that share a doc_id are
-    packed one by one. Other columns are not read; an empty table gives no rows. sequence_id holds the task in its upper
+    packed one by one, a null doc_id stays null. Other columns are not read; an empty table gives no rows. sequence_id holds the task in its upper
     bits, so sequences of different tasks never meet.
     """
     path = tokenizer or default_tokenizer()
@@ -233,8 +233,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, po
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest() of the pieces of every whole text."""
     return digest(pack(table(spark, sf_dir, "documents")))
 
 
 def digest(pieces: DataFrame) -> DataFrame:
+    """pieces with the CRC-32 of their ids in place of these."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -161,7 +161,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def feature_table(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, f: array of FEATURES) of every row; a null text is empty."""
+    """(key, f: array of FEATURES) of every row, from its whole text; a null text is empty.
+
+    Null and repeated keys are rows like others, other columns are not read, an empty table gives no rows.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -179,16 +182,22 @@ def feature_table(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def fit(rows: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> AdditiveModel | None:
-    """From at most most labelled rows (by hash) that may be learned from; None if there are none."""
+    """From at most most labelled rows (by hash) that may be learned from; None if there are none.
+
+    Null labels and rows without a doc_id teach nothing; where a doc_id repeats, each pair of text and label counts.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("_y"))
     share = min(1.0, 2 * most / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    got = rows.join(known, "doc_id").select("f", "_y", F.xxhash64("doc_id").alias("o")).orderBy("o").limit(most).toPandas()
+    got = rows.join(known, "doc_id").select("f", "_y", F.xxhash64("doc_id").alias("o")).orderBy("o", "f", "_y").limit(most).toPandas()
     return None if got.empty else AdditiveModel().fit(np.stack(got["f"]).astype(float), got["_y"].to_numpy(float))
 
 
 def score(rows: DataFrame, model: AdditiveModel | None, cut: float = CUT) -> DataFrame:
-    """rows (with f) with score and predicted; 0.5 where nothing was learned. Repeated rows score alike."""
+    """rows (with f, which goes) with score and predicted, which replace columns of these names; 0.5 where nothing was learned.
+
+    Rows are scored one by one, so repeated rows score alike, and a null key has its score; an empty table gives no rows.
+    """
 
     @F.pandas_udf("double")
     def added(f: pd.Series) -> pd.Series:
@@ -199,6 +208,7 @@ def score(rows: DataFrame, model: AdditiveModel | None, cut: float = CUT) -> Dat
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labelled ones that are not held out; a null doc_id has a null held_out."""
     rows = stored(feature_table(table(spark, sf_dir, "documents")))
     model = fit(rows, table(spark, sf_dir, "labels"))
     return score(rows, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

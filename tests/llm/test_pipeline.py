@@ -7,7 +7,7 @@ from test_jaccard import brute as brute_components
 from test_linededup import brute as brute_lines
 
 import corpus_pipeline as pipeline
-from scriptorium.llm import langid, packing
+from scriptorium.llm import common, langid, packing
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -159,7 +159,9 @@ def test_sequences(spark, rows):
 
 def test_run_applies_all_stages(spark, rows, tmp_path):
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    place = common.mark()
     got = pipeline.run(spark, str(tmp_path))
+    assert common.mark() == place + 1  # of all tables only the result stays
     want = slow_strings(slow_near(slow_lines(slow_language(spark, rows))))
     words = packing.word_tokenizer(packing.default_tokenizer())
     per = {}
