@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.readers import append_log, exists
 from .governance import pending
+from .retrieval import bm25
 
 #: Fields of a trace step.
 TRACE = "run string, step int, tool string, args map<string,string>, top_score double, k int, n int, abstained boolean"
@@ -74,3 +75,15 @@ def get(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """keys with their newest value, null where there is none."""
     held = latest(read(spark, path, "key string, value string, ts timestamp"), "key", "ts").select("key", "value")
     return keys.join(held, "key", "left")
+
+
+def remember(notes: DataFrame, path: str) -> None:
+    """Appends notes: note_id (a whole number), text."""
+    append_log(notes.select("note_id", "text"), path)
+
+
+def recall(spark: SparkSession, path: str, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, note_id, text, score): the k notes that fit each query (query_id, text) best, by BM25."""
+    notes = read(spark, path, "note_id long, text string").dropDuplicates(["note_id"])
+    hits = bm25(notes.withColumnRenamed("note_id", "doc_id"), queries, k).withColumnRenamed("doc_id", "note_id")
+    return hits.join(notes, "note_id").select("query_id", "rank", "note_id", "text", "score")

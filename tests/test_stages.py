@@ -261,6 +261,22 @@ def test_review_queue_models_and_cache(spark, tmp_path):
     assert {r.key: r.value for r in stores.get(spark, f"{path}/cache", keys).collect()} == {"x": "b", "y": None}
 
 
+def test_notes_are_recalled(spark, tmp_path):
+    stores.remember(spark.createDataFrame([(1, "the gate rejects short lines"), (2, "windows overlap by tokens")], "note_id long, text string"), f"{tmp_path}/notes")
+    asked = spark.createDataFrame([(7, "overlap of windows")], "query_id long, text string")
+    (row,) = stores.recall(spark, f"{tmp_path}/notes", asked, 1).collect()
+    assert (row.query_id, row.rank, row.note_id) == (7, 1, 2)
+
+
+def test_functions_in_sql_text(spark):
+    from scriptorium.functions import sql
+
+    assert sql.register(spark) == ["pii_spans", "form_c", "redact"]
+    assert spark.sql("SELECT redact('to a@b.cd') r, form_c('e\u0301') c").first() == ("to [REDACTED_EMAIL]", "é")
+    rows = spark.sql("SELECT t.id, s.* FROM VALUES (1, 'a@b.cd or 12345678'), (2, NULL), (3, 'x') t(id, text), LATERAL pii_spans(t.text) s ORDER BY s.start").collect()
+    assert [tuple(r) for r in rows] == [(1, 0, 6, "EMAIL"), (1, 10, 18, "PHONE")]
+
+
 def test_traces_are_appended(spark, tmp_path):
     step = "'r1' AS run, {0} AS step, 'retrieve' AS tool, map('k', '10') AS args, 0.3 AS top_score, 10 AS k, 5 AS n, false AS abstained"
     for n in (1, 2):
