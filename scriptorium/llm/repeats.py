@@ -2,7 +2,8 @@
 
 Every string of WIDTH bytes has an anchor, the least hash of its substrings of SEED bytes; equal strings have equal anchors.
 Neighbouring strings with one anchor form a block. Anchors are counted first: blocks whose anchor stands in one
-document alone can't repeat. The others go to the shard of their anchor, where blocks of equal bytes become one with the
+document alone can't repeat; one that stands very often is split by the bytes around it. The others go to the shard of their
+anchor, where blocks of equal bytes become one with the
 smallest doc_id; a block that is alone under its anchor then is settled. The others are sorted by their suffixes with common
 prefixes, whole anchors at a time and SORT_BYTES or one anchor at most; strings that share WIDTH bytes are neighbours there
 and get the smallest doc_id of all that hold them. Documents then remove what a smaller doc_id holds.
@@ -37,8 +38,10 @@ SORT_BYTES = 4 << 20
 LAST = (1 << 63) - 1
 #: Number of the block in its batch, start, end, smallest doc_id.
 _RUN = np.dtype([("o", "<u4"), ("s", "<u4"), ("e", "<u4"), ("d", "<i8")])
-#: Number in the batch, part of the anchor, smallest doc_id, whether the batch has the block in several documents, length.
-_BLOCK = np.dtype([("o", "<u4"), ("a", "<u4"), ("d", "<i8"), ("m", "?"), ("n", "<u4")])
+#: Number in the batch, where in that block it begins, part of the anchor, smallest doc_id, whether the batch has the block in several documents, length.
+_BLOCK = np.dtype([("o", "<u4"), ("x", "<u4"), ("a", "<u4"), ("d", "<i8"), ("m", "?"), ("n", "<u4")])
+#: An anchor that stands in so many batches (twice where in several documents of one) is split by the bytes around it.
+HOT = 1000
 
 
 def shape(text_bytes: int) -> tuple[int, int]:
@@ -161,30 +164,49 @@ def _anchors(buckets: int, width: int, seed: int):
     return run
 
 
-def _shared(got: pd.DataFrame) -> pd.DataFrame:
-    """Answers each batch with its anchors that stand in two documents or more."""
+def _shared(got: pd.DataFrame, hot: int) -> pd.DataFrame:
+    """Answers each batch with its anchors that stand in two documents or more, and whether they are hot."""
     parts = [(np.frombuffer(b, "<u8", len(b) // 9), np.frombuffer(b, np.uint8, offset=len(b) // 9 * 8)) for b in got["blob"]]
     _, inverse = np.unique(np.concatenate([a for a, _ in parts]), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate([1 + s for _, s in parts]))[inverse] > 1
+    total = np.bincount(inverse, np.concatenate([1 + s for _, s in parts]))[inverse]
     out, at = [], 0
     for batch, (a, _) in zip(got["batch"], parts):
-        keep = total[at : at + len(a)]
+        n = total[at : at + len(a)]
         at += len(a)
-        if keep.any():
-            out.append((batch, a[keep].tobytes()))
+        if (n > 1).any():
+            out.append((batch, a[n > 1].tobytes() + (n[n > 1] >= hot).astype(np.uint8).tobytes()))
     return pd.DataFrame(out, columns=["batch", "blob"])
 
 
+def split(text: bytes, anchor: int, width: int, seed: int) -> list[tuple[int, bytes, int]]:
+    """The parts (start, text, anchor) of a block by the bytes around its anchor, on the side where a string has more of them.
+
+    Equal strings have their anchor (its first place in the string) at the same distance, so they stand in parts of one anchor.
+    """
+    with np.errstate(over="ignore"):
+        places = np.flatnonzero(hashing.windows(hashing.prefix(np.frombuffer(text, np.uint8)), seed) == np.uint64(anchor))
+    half, starts = (width - seed) // 2, np.arange(len(text) - width + 1)
+    at = places[np.searchsorted(places, starts)]
+    late = at - starts > half
+    edges = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (late[1:] != late[:-1])))
+    out = []
+    for s, e in zip(edges.tolist(), [*edges[1:].tolist(), len(starts)]):
+        p = int(at[s])
+        around = b"<" + text[p - half - 1 : p + seed] if late[s] else b">" + text[p : p + width - half]
+        out.append((s, text[s : e - 1 + width], int.from_bytes(hashlib.blake2b(around, digest_size=8).digest(), "little")))
+    return out
+
+
 def _packed(rows: np.ndarray, texts: list[bytes]) -> bytes:
     """Rows of _BLOCK, column by column, and their texts; compressed."""
     step = np.diff(rows["o"], prepend=np.uint32(0))
-    return np.int64(len(rows)).tobytes() + zstandard.compress(b"".join([step.tobytes(), *(rows[c].tobytes() for c in "admn"), *texts]), 3)
+    return np.int64(len(rows)).tobytes() + zstandard.compress(b"".join([step.tobytes(), *(rows[c].tobytes() for c in "xadmn"), *texts]), 3)
 
 
 def _unpacked(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     n, whole, at = int(np.frombuffer(blob, "<i8", 1)[0]), zstandard.decompress(blob[8:]), 0
     rows = np.empty(n, _BLOCK)
-    for c in "oadmn":
+    for c in "oxadmn":
         kind = _BLOCK[c]
         rows[c] = np.frombuffer(whole, kind, n, at)
         at += n * kind.itemsize
@@ -201,7 +223,11 @@ def _send(buckets: int, width: int, seed: int):
         """The batch's different blocks with shared anchors, by shard: with the smallest doc_id; texts compressed."""
         out: list[tuple] = []
         if len(docs) and len(got):
-            batch, known = Batch(docs, width, seed), np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in got["blob"]]))
+            batch = Batch(docs, width, seed)
+            known = np.concatenate([np.frombuffer(b, "<u8", len(b) // 9) for b in got["blob"]])
+            often = np.concatenate([np.frombuffer(b, np.uint8, offset=len(b) // 9 * 8) for b in got["blob"]])
+            by_anchor = np.argsort(known)
+            known, often = known[by_anchor], often[by_anchor]
             at = np.minimum(np.searchsorted(known, batch.anchor), len(known) - 1)
             kept = np.flatnonzero(known[at] == batch.anchor)
             order = kept[np.lexsort((batch.doc[kept], batch.own[kept]))]  # documents stand by ascending id
@@ -211,12 +237,20 @@ def _send(buckets: int, width: int, seed: int):
             rows = np.zeros(len(first), _BLOCK)
             rows["o"], rows["d"], rows["m"] = own[first], ids[first], ids[np.append(first[1:], len(own)) - 1] > ids[first] if len(own) else False
             rows["a"], rows["n"] = batch.anchor[own[first]] & np.uint64(0xFFFFFFFF), (batch.end - batch.start)[own[first]]
-            dest = _deal(batch.anchor[own[first]], buckets)
-            order = np.argsort(dest, kind="stable")
+            anchors, texts = batch.anchor[own[first]], batch.bytes(own[first])
+            hot = np.flatnonzero(often[at[own[first]]]).tolist()
+            if hot:
+                more = [(i, *part) for i in hot for part in split(texts[i], int(anchors[i]), width, seed)]
+                cold = np.setdiff1d(np.arange(len(rows)), hot)
+                parts = rows[[i for i, *_ in more]]
+                parts["x"], parts["n"], parts["a"] = [x for _, x, _, _ in more], [len(t) for _, _, t, _ in more], [a & 0xFFFFFFFF for *_, a in more]
+                rows, texts = np.concatenate([rows[cold], parts]), [texts[i] for i in cold.tolist()] + [t for _, _, t, _ in more]
+                anchors = np.concatenate([anchors[cold], np.array([a for *_, a in more], np.uint64)])
+            dest = _deal(anchors, buckets)
+            order = np.lexsort((rows["o"], dest))
             edges = np.flatnonzero(np.append(True, np.diff(dest[order]) != 0)) if len(rows) else []
             for s, e in zip(edges, np.append(edges[1:], len(rows)) if len(rows) else []):
-                part = rows[order[s:e]]
-                out.append((dest[order[s]], docs["batch"].iloc[0], _packed(part, batch.bytes(part["o"]))))
+                out.append((dest[order[s]], docs["batch"].iloc[0], _packed(rows[order[s:e]], [texts[i] for i in order[s:e].tolist()])))
         return pd.DataFrame(out, columns=["dest", "batch", "blob"])
 
     return run
@@ -313,7 +347,7 @@ def _judge(width: int):
             row, run_ = row[keep], run_[keep]
             if len(row):
                 answer = np.zeros(len(row), _RUN)
-                answer["o"], answer["s"], answer["e"], answer["d"] = rows["o"][row], s[run_], e[run_], d[run_]
+                answer["o"], answer["s"], answer["e"], answer["d"] = rows["o"][row], rows["x"][row] + s[run_], rows["x"][row] + e[run_], d[run_]
                 out.append((batch, answer.tobytes()))
         return pd.DataFrame(out, columns=["batch", "blob"])
 
@@ -388,7 +422,8 @@ def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, rest: str | No
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), "text", *([F.col(rest).alias("rest")] if rest else []))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(batches)))
     sent = rows.groupBy("batch").applyInPandas(_anchors(buckets, width, seed), "dest long, batch long, blob binary")
-    shared = sent.groupBy("dest").applyInPandas(_shared, "batch long, blob binary")
+    hot = HOT
+    shared = sent.groupBy("dest").applyInPandas(lambda got: _shared(got, hot), "batch long, blob binary")
     held = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInPandas(_send(buckets, width, seed), "dest long, batch long, blob binary")
     judged = held.groupBy("dest").applyInPandas(_judge(width), "batch long, blob binary")
     out = rows.groupBy("batch").cogroup(judged.groupBy("batch")).applyInPandas(_cut(width, seed, whole), "key long, n_bytes long, kept binary, starts array<long>, ends array<long>" + (", rest string" if rest else ""))

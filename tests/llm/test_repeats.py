@@ -55,6 +55,28 @@ def test_equals_the_definition(spark, rows, width, seed):
     assert found(frame(spark, rows), width=width, seed=seed) == slow(rows, width)
 
 
+@pytest.mark.parametrize(("width", "seed"), [(50, 20), (31, 20), (64, 21)])
+def test_split_anchors_give_the_same(spark, rows, monkeypatch, width, seed):
+    monkeypatch.setattr(repeats, "HOT", 1)
+    assert found(frame(spark, rows), width=width, seed=seed) == slow(rows, width)
+
+
+def test_parts_of_a_block_hold_equal_strings_under_one_anchor():
+    rng = random.Random(9)
+    where = {}
+    for _ in range(60):
+        text = bytes(rng.choice(b"ab") for _ in range(rng.randrange(50, 200)))
+        for data, _, _, anchor, start, end, _ in repeats.blocks([text]):
+            for a, s, e in zip(anchor.tolist(), start.tolist(), end.tolist()):
+                block, seen = data[s:e].tobytes(), set()
+                for x, part, own in repeats.split(block, a, 50, 20):
+                    assert block[x : x + len(part)] == part
+                    for k in range(len(part) - 49):
+                        assert where.setdefault(part[k : k + 50], (a, own)) == (a, own)
+                        seen.add(x + k)
+                assert seen == set(range(len(block) - 49))
+
+
 def test_null_and_repeated_ids_and_rows(spark):
     a, b = "one passage that is long enough to be found again, surely ", "another passage of some length that stands in two rows "
     rows = [(5, a + "x"), (5, a + "y"), (5, b), (7, b + a), (None, a), (None, b + "z"), (None, b + "z"), (3, None), (3, "")]
