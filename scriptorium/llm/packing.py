@@ -62,18 +62,20 @@ class WordTokenizer:
         if not self.PLAIN.fullmatch(text) or self.ODD.search(text):
             return self.whole(text)
         known, words = self.known, self.WORDS.findall(unicodedata.normalize("NFC", text).lower())
-        try:
-            found = list(map(known.__getitem__, words))
-        except KeyError:
+        missing = list(set(words).difference(known))
+        if missing:
             if len(known) > CACHE:
                 known.clear()
-            missing = list({w for w in words if w not in known})
+                missing = list(set(words))
             ids = self.whole(" ".join(missing))
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
             if len(ends) != len(missing):
                 return self.whole(text)
-            known.update(zip(missing, map(bytes, map(memoryview, np.split(ids, ends[:-1])))))
-            found = list(map(known.__getitem__, words))
+            raw, at = ids.tobytes(), 0
+            for word, end in zip(missing, ends.tolist()):
+                known[word] = raw[at:end]
+                at = end
+        found = map(known.__getitem__, words)
         return np.frombuffer(b"".join(found), dtype="<u4")
 
 
