@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import normalized, page_doc, similarity, text_lines
+from ..functions.text import edit_distance, normalized, page_doc, similarity, text_lines
 from .layout import provenance
 
 
@@ -105,17 +105,19 @@ MISPLACED, SHORT, UNALIGNED, ABOVE = "layout_provenance_mismatch", "REJECT_TOO_S
 
 def decide(norm: Column, gold: Column, ref: Column, aligned: Column, known: Column, config: Config = DEFAULT) -> Column:
     """First match wins: provenance, too short, equal to gold, no aligned reference, error rate."""
-    rate = F.when(ref.isNotNull() & (F.length(ref) > 0), F.levenshtein(norm, ref) / F.length(ref))
     row = lambda tier, ok, why, value=None: F.struct(F.lit(tier).alias("tier"), F.lit(ok).alias("accepted"), F.lit(why).cast("string").alias("reason"), (F.lit(value) if value is None or isinstance(value, float) else value).cast("double").alias("cer"))
-    return (
+    short, same = F.length(norm) < config.min_line_chars, F.coalesce(gold == norm, F.lit(False))
+    needed = known & ~short & ~same & aligned & ref.isNotNull() & (F.length(ref) > 0)
+    decided = lambda rate: (
         F.when(~known, row(RAW, False, MISPLACED))
-        .when(F.length(norm) < config.min_line_chars, row(RAW, False, SHORT))
-        .when(F.coalesce(gold == norm, F.lit(False)), row(GOLD, True, None, 0.0))
-        .when(~aligned, row(RAW, False, UNALIGNED))
-        .when(rate.isNull(), row(RAW, False, UNALIGNED))
+        .when(short, row(RAW, False, SHORT))
+        .when(same, row(GOLD, True, None, 0.0))
+        .when(~aligned | rate.isNull(), row(RAW, False, UNALIGNED))
         .when(rate <= config.max_cer, row(SILVER, True, None, rate))
         .otherwise(row(RAW, False, ABOVE, rate))
     )
+    # In a lambda, so that the rate is worked out once, and only where it decides.
+    return F.transform(F.array(F.when(needed, edit_distance(norm, ref) / F.length(ref))), decided)[0]
 
 
 def ocr_config(config: Config = DEFAULT) -> str:
