@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,7 +22,9 @@ def shared_dir(spark: SparkSession) -> str:
         return known.rstrip("/")
     if not context.master.startswith("local[") and context.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="scriptorium-"))
+    own = tempfile.mkdtemp(prefix="scriptorium-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    context.setCheckpointDir(own)
     return context.getCheckpointDir().rstrip("/")
 
 
