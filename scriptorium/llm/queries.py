@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, jaccard, langid, licenses, linededup, packing, quality, repeats, vectors
+from . import bpe, fingerprint, jaccard, langid, licenses, linededup, neardup, packing, quality, repeats, spelling, vectors, whitening
 
 QUERIES = {
     "op1_nearest": vectors.op1_nearest,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_line_dedup": linededup.op8_line_dedup,
     "op9_language_id": langid.op9_language_id,
     "op10_quality": quality.op10_quality,
+    "op11_neardup": neardup.op11_neardup,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_spelling": spelling.op13_spelling,
 }
-ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE, "op8_line_dedup": linededup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op4_licenses": licenses.ORACLE, "op8_line_dedup": linededup.ORACLE, "op11_neardup": neardup.ORACLE}

@@ -18,13 +18,17 @@ COLUMNS = {
     "op8_line_dedup": {"doc_id", "n_lines", "n_removed", "kept_sha256"},
     "op9_language_id": {"doc_id", "held_out", "lang_pred", "score"},
     "op10_quality": {"doc_id", "held_out", "score", "predicted"},
+    "op11_neardup": {"vec_id", "n_links", "component_id", "kept"},
+    "op12_whitening": {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"},
+    "op13_spelling": {"word", "form", "root", "n", "n_near", "form_n"},
 }
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df, want = queries.QUERIES[name](spark, SF), con.execute(queries.ORACLE_SQL[name])
     names = [c[0] for c in want.description]
     assert sorted(names) == sorted(df.columns)
