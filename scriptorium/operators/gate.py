@@ -13,7 +13,7 @@ from .layout import provenance
 
 
 def align(n_hyp: int, n_ref: int, sim: np.ndarray | None, config: Config = DEFAULT) -> list[int | None] | None:
-    """Reference line of each line; None if the counts differ too much. Equal counts pair by position.
+    """The definition that align_pages() follows, for one page. Reference line of each line; None if the counts differ too much. Equal counts pair by position.
 
     Otherwise the pairing of highest total similarity with free gaps; ties prefer a pair, then skipping a line, then
     skipping a reference line. Pairs below the least similarity are dropped. sim: (n_hyp, n_ref).
@@ -39,29 +39,56 @@ def align(n_hyp: int, n_ref: int, sim: np.ndarray | None, config: Config = DEFAU
     return out
 
 
+def _path(n: Column, m: Column, sim: Column, config: Config) -> Column:
+    """For each of n lines its reference line or null, by align()'s rules, from sim (n arrays of m): a fold over anti-diagonals.
+
+    A cell needs the two diagonals before its own only; each is an array by line, and a move (0 pair, 1 skip a line, 2 skip a
+    reference line) of each cell is kept for the way back, a byte a cell.
+    """
+    start = F.struct(*(F.array_repeat(F.lit(0.0), n + 1).alias(c) for c in ("before", "last")), F.array().cast("array<array<tinyint>>").alias("moves"))
+
+    def diagonal(s: Column, d: Column) -> Column:
+        def cell(i: Column) -> Column:
+            pair = F.get(s["before"], i - 1) + F.get(F.get(sim, i - 1), d - i - 1)
+            skip, other = F.get(s["last"], i - 1), F.get(s["last"], i)
+            best = F.greatest(pair, skip, other)
+            move = F.when(pair == best, 0).when(skip == best, 1).otherwise(2)
+            value = lambda x, k: F.struct(x.alias("x"), F.lit(k).cast("tinyint").alias("move"))
+            return F.when((i < 1) | (d - i < 1) | (d - i > m), value(F.lit(0.0), 0)).otherwise(F.struct(best.alias("x"), move.cast("tinyint").alias("move")))
+
+        # In a lambda, so that each cell is worked out once.
+        cells = F.array(F.transform(F.sequence(F.lit(0), n), cell))
+        return F.transform(cells, lambda c: F.struct(s["last"].alias("before"), F.transform(c, lambda x: x["x"]).alias("last"), F.concat(s["moves"], F.array(F.transform(c, lambda x: x["move"]))).alias("moves")))[0]
+
+    def back(s: Column, _: Column) -> Column:
+        move = F.get(F.get(s["moves"], s["i"] + s["j"] - 2), s["i"])
+        paired = F.get(F.get(sim, s["i"] - 1), s["j"] - 1) >= config.min_line_similarity
+        to = lambda i, j, out: F.struct(s["moves"].alias("moves"), i.alias("i"), j.alias("j"), out.alias("out"))
+        more = lambda x: F.concat(F.array(x.cast("int")), s["out"])
+        taken = F.when(move == 0, to(s["i"] - 1, s["j"] - 1, more(F.when(paired, s["j"] - 1)))).when(move == 1, to(s["i"] - 1, s["j"], more(F.lit(None)))).otherwise(to(s["i"], s["j"] - 1, s["out"]))
+        return F.when((s["i"] > 0) & (s["j"] > 0), taken).otherwise(s)
+
+    moves = F.aggregate(F.sequence(F.lit(2), n + m), start, diagonal, lambda s: s["moves"])
+    end = F.struct(moves.alias("moves"), n.alias("i"), m.alias("j"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(1), n + m), end, back, lambda s: F.concat(F.array_repeat(F.lit(None).cast("int"), s["i"]), s["out"]))
+
+
 def align_pages(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """pages: page_id, hyp, ref (arrays of lines). (page_id, idx, ref_idx, aligned); a page is one unit of work.
 
-    Equal counts pair by position and counts too far apart pair nothing, both in SQL. Only the pages between get
-    similarities, computed by the JVM, and a back-trace in Python.
+    Equal counts pair by position, counts too far apart pair nothing; the pages between are aligned by similarity, all in
+    the JVM: a page of n and m lines takes n * m edit distances and as many bytes for the way back.
     """
     n, m = F.size("hyp"), F.coalesce(F.size("ref"), F.lit(-1))
     rows = pages.select("page_id", "hyp", "ref", n.alias("n"), m.alias("m")).filter("n > 0")
-    traced = (F.col("n") != F.col("m")) & (F.col("m") >= 0) & (F.abs(F.col("n") - F.col("m")) <= config.max_line_diff)
-    plain = rows.filter(~traced).select("page_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"), (F.col("n") == F.col("m")).alias("aligned"))
-    pairs = F.flatten(F.transform("hyp", lambda h: F.transform("ref", lambda r: similarity(h, r))))
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for page, n, m, sim in zip(b["page_id"], b["n"], b["m"], b["sim"]):
-                out += [(page, i, j, True) for i, j in enumerate(align(n, m, np.asarray(sim, float).reshape(n, m), config))]
-            out = pd.DataFrame(out, columns=["page_id", "idx", "ref_idx", "aligned"])
-            out["ref_idx"] = out["ref_idx"].astype("Int64")
-            yield out
-
-    found = rows.filter(traced).select("page_id", "n", "m", pairs.alias("sim")).mapInPandas(run, "page_id string, idx int, ref_idx int, aligned boolean")
-    return plain.select("page_id", "idx", F.when(F.col("aligned"), F.col("idx")).alias("ref_idx"), "aligned").unionByName(found)
+    traced = (F.col("n") != F.col("m")) & (F.col("m") > 0) & (F.abs(F.col("n") - F.col("m")) <= config.max_line_diff)
+    near = (F.col("m") >= 0) & (F.abs(F.col("n") - F.col("m")) <= config.max_line_diff)
+    plain = rows.filter(~traced).select("page_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"), (F.col("n") == F.col("m")).alias("same"), near.alias("aligned"))
+    sims = rows.filter(traced).select("page_id", "n", "m", F.transform("hyp", lambda h: F.transform("ref", lambda r: similarity(h, r))).alias("sim"))
+    # In a lambda, so that similarities are worked out once.
+    path = F.transform(F.array("sim"), lambda sim: _path(F.col("n"), F.col("m"), sim, config))[0]
+    found = sims.select("page_id", F.posexplode(path).alias("idx", "ref_idx"), F.lit(True).alias("aligned"))
+    return plain.select("page_id", "idx", F.when(F.col("same"), F.col("idx")).alias("ref_idx"), "aligned").unionByName(found)
 
 
 def aligned_lines(pages: DataFrame, texts: DataFrame, name: str, config: Config = DEFAULT) -> DataFrame:

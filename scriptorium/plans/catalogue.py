@@ -10,7 +10,7 @@ from ..functions import pii, text
 from ..operators import chunks, gate, governance, layout, metrics, retrieval
 from ..sources import readers
 from ..streaming import streams
-from .bridge import LINES, PAIRS, WORDS, lines, lines_of, ref_pairs, table, words
+from .bridge import _CONTROL, LINES, PAIRS, WORDS, lines, lines_of, ref_pairs, table, words
 from .registry import ORACLE_SQL, QUERIES, query
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -177,11 +177,27 @@ def wer_pairs(s, d):
     return ref_pairs(s, d).select(F.md5("hyp").alias("hyp"), F.md5("ref").alias("ref"), F.round(text.word_distance(h, r) / F.size(r), 9).alias("wer"))
 
 
-@query()
+#: Characters of a pair beyond ASCII become control ones, as in PAIRS; rows of the table are prefix maxima of pair or skip.
+_ALIGN = LINES + rf""",
+    al AS (SELECT page_id, list(text ORDER BY line_idx) AS hyp, coalesce(list(text ORDER BY line_idx) FILTER (WHERE line_idx % 4 <> 3), []) AS ref FROM lines GROUP BY 1), an AS (SELECT *, len(hyp) AS n, len(ref) AS m FROM al),
+    ap AS (SELECT page_id, n, m, i, j, hyp[i] AS h, ref[j] AS r FROM an, range(1, n + 1) a(i), range(1, m + 1) b(j) WHERE n <> m AND m > 0 AND abs(n - m) <= 4),
+    ao AS (SELECT *, array_to_string(list_sort(list_distinct(regexp_extract_all(h || r, '[^\x00-\x7F]'))), '') AS odd FROM ap),
+    sm AS (SELECT page_id, n, m, i, j, 1 - levenshtein(translate(h, odd, left({_CONTROL}, length(odd))), translate(r, odd, left({_CONTROL}, length(odd)))) / greatest(length(h), length(r), 1) AS sim FROM ao),
+    sr AS (SELECT page_id, n, m, i, list(sim ORDER BY j) AS sims FROM sm GROUP BY ALL),
+    dp AS (SELECT page_id, 0::BIGINT AS i, list_transform(range(m), lambda x: 0.0::DOUBLE) AS dp_row FROM sr WHERE i = 1 UNION ALL
+      SELECT page_id, i, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (SELECT sr.page_id, sr.i, list_transform(range(1, m + 1), lambda j: greatest(coalesce(dp_row[j - 1], 0.0) + sims[j], dp_row[j])) AS c FROM dp JOIN sr ON sr.page_id = dp.page_id AND sr.i = dp.i + 1)),
+    bt AS (SELECT page_id, n AS i, m AS j, NULL::BIGINT AS hit, NULL::BIGINT AS ref_idx FROM sr WHERE i = 1 UNION ALL
+      SELECT page_id, CASE WHEN pair OR skip THEN i - 1 ELSE i END, CASE WHEN NOT pair AND skip THEN j ELSE j - 1 END, CASE WHEN pair AND sim >= 0.5 THEN i - 1 END, CASE WHEN pair AND sim >= 0.5 THEN j - 1 END
+      FROM (SELECT bt.page_id, bt.i, bt.j, sims[bt.j] AS sim, o.dp_row[bt.j] = coalesce(p.dp_row[bt.j - 1], 0.0) + sims[bt.j] AS pair, o.dp_row[bt.j] = p.dp_row[bt.j] AS skip
+        FROM bt JOIN sr ON sr.page_id = bt.page_id AND sr.i = bt.i JOIN dp o ON o.page_id = bt.page_id AND o.i = bt.i JOIN dp p ON p.page_id = bt.page_id AND p.i = bt.i - 1 WHERE bt.i > 0 AND bt.j > 0))"""
+
+
+@query(f"""WITH RECURSIVE {_ALIGN} SELECT an.page_id, idx, CASE WHEN n = m THEN idx ELSE ref_idx END AS ref_idx, abs(n - m) <= 4 AS aligned FROM an JOIN (SELECT page_id, unnest(range(n)) AS idx FROM an) x USING (page_id)
+    LEFT JOIN bt ON bt.page_id = an.page_id AND hit = idx""")
 def line_alignment(s, d):
     rows = lines(s, d).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "text"))).alias("l"))
     pages = rows.select("page_id", F.transform("l", lambda x: x["text"]).alias("hyp"), F.transform(F.filter("l", lambda x: x["line_idx"] % 4 != 3), lambda x: x["text"]).alias("ref"))
-    return gate.align_pages(pages)
+    return gate.align_pages(pages).select("page_id", *(F.col(c).cast("long").alias(c) for c in ("idx", "ref_idx")), "aligned")
 
 
 @query("SELECT doc_id, arg_max(quality, o) AS quality, max(o) AS o FROM (SELECT doc_id % 50 AS doc_id, quality, doc_id AS o FROM labels) GROUP BY 1")
@@ -205,11 +221,38 @@ def pii_phone_runs(s, d):
     return table(s, d, "documents").select("doc_id", F.size(pii.phone_like(F.col("text"))).cast("long").alias("n_runs"))
 
 
-@query()
+#: Digit groups by place; a chain is groups one separator apart. A phone number is the longest stretch of whole groups of 8 to 16
+#: digits, from the leftmost group that has one (a + before it needs 9 digits); then spans by start, length and rule.
+_SPANS = r"""d AS (SELECT doc_id, text, regexp_extract_all(text, '\p{Nd}+') AS g, string_split_regex(text, '\p{Nd}+') AS gaps FROM documents WHERE text IS NOT NULL),
+    g0 AS (SELECT doc_id, unnest(range(1, len(g) + 1)) AS k, unnest(g) AS digits, unnest(gaps[:len(g)]) AS gap FROM d),
+    g1 AS (SELECT doc_id, k, length(digits) AS n, gap, sum(length(gap) + length(digits)) OVER w AS stop, sum(length(digits)) OVER w AS cum, sum(CASE WHEN k > 1 AND regexp_full_match(gap, '[-\s\p{Z}\x0b\x{85}\x1c-\x1f]') THEN 0 ELSE 1 END) OVER w AS chain FROM g0 WINDOW w AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)),
+    c0 AS (SELECT a.doc_id, a.k AS g, b.k AS h, a.stop - a.n AS start, b.stop AS stop, b.cum - a.cum + a.n AS n, right(a.gap, 1) = '+' AND (a.k = 1 OR length(a.gap) > 1) AS plus FROM g1 a JOIN g1 b ON b.doc_id = a.doc_id AND b.chain = a.chain AND b.k BETWEEN a.k AND a.k + 16 WHERE b.cum - a.cum + a.n BETWEEN 8 AND 16),
+    c1 AS (SELECT doc_id, g, max(h) AS h, arg_max(start - (plus AND n > 8)::INT, h) AS start, max(stop) AS stop FROM c0 GROUP BY ALL),
+    c2 AS (SELECT a.*, b.g AS next FROM c1 a ASOF LEFT JOIN c1 b ON b.doc_id = a.doc_id AND b.g > a.h),
+    phones AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS r FROM c2) WHERE r = 1 UNION ALL SELECT c2.*, 2 FROM phones JOIN c2 ON c2.doc_id = phones.doc_id AND c2.g = phones.next),
+    m0 AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS e, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS gaps FROM d),
+    m1 AS (SELECT doc_id, unnest(range(1, len(e) + 1)) AS k, unnest(e) AS e, unnest(gaps[:len(e)]) AS gap FROM m0),
+    mails AS (SELECT doc_id, length(e) AS n, sum(length(gap) + length(e)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS stop FROM m1),
+    every AS (SELECT doc_id, stop - n AS start, stop, 0 AS rule, 'EMAIL' AS type FROM mails UNION ALL SELECT doc_id, start, stop, 1, 'PHONE' FROM phones UNION ALL SELECT doc_id, stop - n, stop, 2, 'ID_NUMBER' FROM g1 WHERE n BETWEEN 9 AND 16),
+    o0 AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, stop DESC, rule) AS o FROM every),
+    o1 AS (SELECT a.*, (SELECT min(b.o) FROM o0 b WHERE b.doc_id = a.doc_id AND b.start >= a.stop) AS next FROM o0 a),
+    spans AS (SELECT * FROM o1 WHERE o = 1 UNION ALL SELECT o1.* FROM spans JOIN o1 ON o1.doc_id = spans.doc_id AND o1.o = spans.next)"""
+
+
+@query(f"""WITH RECURSIVE {_SPANS} SELECT doc_id, start::INTEGER AS start, stop::INTEGER AS "end", type FROM spans""")
 def pii_spans(s, d):
+    """Offsets of the personal data in the whole text of each document."""
     return table(s, d, "documents").select("doc_id", F.explode(pii.detect("text")).alias("x")).select("doc_id", "x.start", "x.end", "x.type")
 
 
+@query(f"""WITH RECURSIVE {_SPANS}, p AS (SELECT doc_id, start, stop, type, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 0) AS seen FROM spans),
+    q AS (SELECT doc_id, string_agg(substring(text, (seen + 1)::BIGINT, (start - seen)::BIGINT) || '[REDACTED_' || type || ']', '' ORDER BY start) AS head, max(stop) AS stop, count(*) AS n FROM p JOIN d USING (doc_id) GROUP BY 1)
+    SELECT doc_id, md5(coalesce(head, '') || substring(text, (coalesce(stop, 0) + 1)::BIGINT)) AS text_md5, coalesce(n, 0) AS n_spans FROM documents LEFT JOIN q USING (doc_id)""")
+def pii_redact_texts(s, d):
+    """All rules on the whole text of each document."""
+    return table(s, d, "documents").select("doc_id", F.md5(pii.redact("text")).alias("text_md5"), F.size(pii.detect("text")).cast("long").alias("n_spans"))
+
+
 @query("SELECT substring(sha256(string_agg(sha256(text), '' ORDER BY doc_id)), 1, 16) AS version_id, count(*) AS n_files FROM documents")
 def corpus_snapshot(s, d):
     return governance.snapshot(table(s, d, "documents").select(F.format_string("%012d", "doc_id").alias("path"), F.col("text").cast("binary").alias("content")))
