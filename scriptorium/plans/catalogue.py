@@ -550,4 +550,4 @@ def stream_ingest(s, d):
     return got.select("chunk_id", F.col("n_tokens").cast("long").alias("n_tokens"), "tier")
 
 
-from . import operations  # noqa: E402, F401  adds its queries
+from . import operations, stored  # noqa: E402, F401  add their queries

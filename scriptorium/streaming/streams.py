@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.shared import shared_dir
+
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A folder for a stream's files: in the cluster's shared one, a temporary one only where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")).rstrip("/") + f"/stream-{name}"
+    """A folder for a stream's files in the shared one."""
+    return f"{shared_dir(spark)}/stream-{name}"
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
