@@ -35,6 +35,16 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, dots and backticks in it included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def named(df: DataFrame) -> list[str]:
+    """The columns of df to select by name, whatever they are called."""
+    return [quoted(c) for c in df.columns]
+
+
 #: Folders of the tables written so far, oldest first.
 _written: list[str] = []
 

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 WINDOW, END = 4096, 2
-#: Remainders that wait at once in a task, for memory: at most POOL * WINDOW * 4 bytes.
-POOL = 2048
+#: Remainders that wait at once in a task, for memory: at most POOL * WINDOW * 4 bytes, besides HELD ids and one document.
+POOL, HELD = 2048, 1 << 20
 #: Word ids kept per worker.
 CACHE = 600_000
 
@@ -189,6 +189,49 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def packed(batches, words, packer: Packer, base: int):
+    """Record batches of pieces for record batches of (doc_id, text). Of a document only the ids that wait are kept: the rest go
+    once HELD ids, or 4096 pieces, are ready."""
+    live, grown, counter, ready, out = {}, [], 0, 0, []
+
+    def rows():
+        cols = [[] for _ in range(7)]
+        for doc, start, length, sequence, offset in out:
+            doc_id, ids, first, left, total = live[doc]
+            for c, v in zip(cols, (doc_id, start, length, ids[start - first : start - first + length].tobytes(), total, base + sequence, offset)):
+                c.append(v)
+            live[doc][3] = left - length
+            if left == length:
+                del live[doc]
+        for doc in grown:
+            if doc in live:
+                own = live[doc]
+                first = own[4] - own[3]
+                own[1], own[2] = own[1][first - own[2] :].copy(), first
+        out.clear(), grown.clear()
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = np.append(words.ids(text.as_py() or ""), np.array([END], "<u4")).astype("<u4")
+            live[counter] = [doc_id, ids, 0, len(ids), len(ids)]
+            packer.add(counter, len(ids), out)
+            if len(ids) >= packer.window:
+                grown.append(counter)
+                ready += len(ids)
+            counter += 1
+            if len(out) >= 4096 or ready >= HELD:
+                ready = 0
+                yield rows()
+        if out:
+            ready = 0
+            yield rows()
+    packer.finish(out)
+    if out:
+        yield rows()
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, pool: int = POOL) -> DataFrame:
     """Pieces of all documents with their ids (binary, little-endian unsigned 32-bit).
 
@@ -199,37 +242,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, po
     path = tokenizer or default_tokenizer()
 
     def run(batches):
-        words, packer, live, counter = word_tokenizer(path), Packer(window, pool), {}, 0
-        base = TaskContext.get().partitionId() << 40
-
-        def rows(out):
-            cols = [[] for _ in range(7)]
-            for doc, start, length, sequence, offset in out:
-                doc_id, ids, _ = live[doc]
-                for c, v in zip(cols, (doc_id, start, length, ids[start : start + length].tobytes(), len(ids), base + sequence, offset)):
-                    c.append(v)
-                live[doc][2] -= length
-                if not live[doc][2]:
-                    del live[doc]
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
-
-        for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(words.ids(text or ""), np.array([END], "<u4")).astype("<u4")
-                live[counter] = [doc_id, ids, len(ids)]
-                packer.add(counter, len(ids), out)
-                counter += 1
-                if len(out) >= 4096:
-                    yield rows(out)
-                    out = []
-            if out:
-                yield rows(out)
-        out = []
-        packer.finish(out)
-        if out:
-            yield rows(out)
+        yield from packed(batches, word_tokenizer(path), Packer(window, pool), TaskContext.get().partitionId() << 40)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

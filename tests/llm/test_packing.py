@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from scriptorium.llm import packing
 
@@ -61,3 +62,40 @@ def test_no_padding_but_at_the_end(spark):
     pieces = packing.pack(frame(spark, rows)).collect()
     docs, padding = held(pieces, packing.WINDOW)
     assert padding == 0 and len(docs) <= 400 and sum(p.length for p in pieces) == sum(n for _, n in {(p.doc_id, p.doc_tokens) for p in pieces})
+
+
+class Counted:
+    """A tokenizer whose texts are their numbers of ids."""
+
+    def ids(self, text):
+        return np.arange(int(text), dtype="<u4")
+
+
+def test_long_documents_leave_only_what_waits():
+    import tracemalloc
+
+    batches = lambda n: (pa.RecordBatch.from_pydict({"doc_id": list(range(k, k + 50)), "text": ["200001"] * 50}) for k in range(0, n, 50))
+    tracemalloc.start()
+    seen = total = 0
+    try:
+        for b in packing.packed(batches(1500), Counted(), packing.Packer(), 0):
+            seen += b.num_rows
+            total += sum(b.column("length").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert total == 1500 * 200_002 and seen > 1500 * 48 and peak < 60e6  # 1.2 GB of ids
+
+
+def test_pieces_of_long_and_short_documents_hold_their_ids():
+    sizes = [0, 5000, 4095, 4094, 9000, 1, 20_000, 3000, 700, 12_287] * 30
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(sizes))), "text": [str(n) for n in sizes]})
+    got = {}
+    for b in packing.packed([batch], Counted(), packing.Packer(pool=8), 0):
+        for r in b.to_pylist():
+            got.setdefault(r["doc_id"], []).append((r["start"], np.frombuffer(r["ids"], "<u4"), r["doc_tokens"]))
+    for k, n in enumerate(sizes):
+        pieces = sorted(got[k], key=lambda p: p[0])
+        ids = np.concatenate([p[1] for p in pieces])
+        assert ids.tolist() == [*range(n), 2] and all(p[2] == n + 1 for p in pieces)
+        assert [p[0] for p in pieces] == [0, *np.cumsum([len(p[1]) for p in pieces])[:-1].tolist()]
