@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.text import tokens, word_count
+from ..sources.shared import written
 
 #: Names of the seams, and of the features that attach there, in this order.
 SEAMS = ("after_ingest", "after_ocr", "before_index", "after_retrieve", "on_step", "on_tool_call", "before_answer", "after_answer", "on_log")
@@ -16,10 +19,6 @@ WIRING = (("tracing", ("on_step", "on_tool_call", "after_answer")), ("pii", ("af
 INJECTION = r"(?i)ignore (all|any|previous|the above)|disregard .{0,20}instructions|system prompt"
 
 
-#: Ranges that are sent to all tasks.
-RANGES = 10_000
-
-
 class Hooks:
     """Ordered DataFrame -> DataFrame functions per seam."""
 
@@ -161,13 +160,28 @@ def validate(docs: DataFrame, pages: DataFrame, config: Config = DEFAULT) -> Dat
 
 
 def snapshot(files: DataFrame) -> DataFrame:
-    """files: path, content. Version: SHA-256 over the files' hex digests in the order of path parts, 16 digits.
+    """files: path, content. Version: SHA-256 over the files' hex digests in the order of path parts, 16 digits; and how many they are.
 
-    The definition hashes one text of all digests, so these meet in one row: 64 bytes a file (and its path), no contents.
+    Contents are hashed where they are; paths and digests are sorted by ranges, and then pass one hash state in order. That last
+    step is one task, as the definition hashes one text, but it holds a batch at a time: no row grows with the number of files.
     """
     rows = files.select(F.split("path", "/").alias("parts"), F.sha2("content", 256).alias("h"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("parts", "h"))), lambda x: x["h"])
-    return rows.agg(F.substring(F.sha2(F.array_join(ordered, ""), 256), 1, 16).alias("version_id"), F.count("*").alias("n_files"))
+
+    def fold(batches):
+        state, n, last = hashlib.sha256(), 0, None
+        for b in batches:
+            for parts, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                now = [p.encode() for p in parts]
+                if last is not None and now < last:
+                    raise AssertionError("files came out of order")
+                last = now
+                state.update(h.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()[:16]]), pa.array([n], pa.int64())], names=["version_id", "n_files"])
+
+    one = rows.repartitionByRange("parts", "h").sortWithinPartitions("parts", "h").coalesce(1).mapInArrow(fold, "version_id string, n_files long")
+    none = F.left(F.sha2(F.lit(""), 256), F.lit(16))  # without files there may be no task at all
+    return one.agg(F.coalesce(F.max("version_id"), none).alias("version_id"), F.coalesce(F.sum("n_files"), F.lit(0)).alias("n_files"))
 
 
 def split(doc_id: Column, val: int = 20, test: int = 15) -> Column:
@@ -176,6 +190,37 @@ def split(doc_id: Column, val: int = 20, test: int = 15) -> Column:
     return F.when(bucket < test, "test").when(bucket < test + val, "val").otherwise("train")
 
 
+def running_sum(rows: DataFrame, order: str, value: str) -> DataFrame:
+    """rows with `before`: the sum of value over all rows of smaller order (unique), by two passes and no global window.
+
+    Rows are sorted into ranges and written with the number of theirs; the sums of the ranges, one row each, are added up; then
+    each range runs on its own, from the sum of those before it.
+    """
+    dealt = written(rows.repartitionByRange(order).withColumn("_range", F.spark_partition_id()), "ranges")
+    starts, before = [], 0
+    for r in dealt.groupBy("_range").agg(F.sum(value).alias("n")).orderBy("_range").collect():  # a row for each range
+        starts.append((r["_range"], before))
+        before += r["n"] or 0
+    starts = rows.sparkSession.createDataFrame(starts, "_range int, _start long")
+    within = F.coalesce(F.sum(value).over(Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return dealt.join(F.broadcast(starts), "_range").withColumn("before", (within + F.col("_start")).cast("long")).select(*rows.columns, "before")
+
+
+#: Shares of words of whole works for training, validation and test.
+SHARES = (65, 22, 13)
+
+
+def split_by_words(works: DataFrame, shares: tuple[int, int, int] = SHARES) -> DataFrame:
+    """works (doc_id, n_words) with `before` and part: whole works, in the order of their ids, fill train, val and test up to their shares.
+
+    A work belongs where its first word does; without words at all, everything is train.
+    """
+    total = works.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    share = F.col("before") * sum(shares)
+    part = F.when(share < shares[0] * total, "train").when(share < (shares[0] + shares[1]) * total, "val").otherwise("test")
+    return running_sum(works, "doc_id", "n_words").withColumn("part", F.lit("train") if not total else part)
+
+
 def pending(enqueued: DataFrame, resolved: DataFrame) -> DataFrame:
     return enqueued.join(resolved, "id", "left_anti")
 
@@ -200,9 +245,20 @@ def aggregate(op: str, value: Column) -> Column:
 
 
 def assign_ranges(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Inner range join of page numbers with inclusive [start, end] ranges; up to RANGES of them are sent to all tasks."""
-    few = ranges.limit(RANGES + 1).count() <= RANGES
-    return pages.join(F.broadcast(ranges) if few else ranges, F.col("page_num").between(F.col("start"), F.col("end")))
+    """Inner range join of page numbers (page_num) with inclusive ranges (start, end), through an interval index.
+
+    A range of up to 2**L numbers lies in one or two bins of that width; it is filed there, at its level L, and a page looks up one bin of
+    each level that there is (64 at most). Both sides meet by an equal join on level and bin, which Spark may broadcast or
+    split like any other. Ranges that end before they start, and nulls, meet nothing.
+    """
+    size = F.col("end").cast("decimal(20,0)") - F.col("start").cast("decimal(20,0)") + 1
+    level = F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(63), lambda s, k: F.when((s == 63) & (size <= F.pow(F.lit(2.0), k).cast("decimal(20,0)")), k).otherwise(s))
+    at = lambda x, k: F.call_function("shiftright", x.cast("long"), k)
+    filed = ranges.filter("start <= end").withColumn("_level", level)
+    levels = sorted(r["_level"] for r in filed.select("_level").distinct().collect())
+    filed = filed.withColumn("_bin", F.explode(F.array_distinct(F.array(at(F.col("start"), F.col("_level")), at(F.col("end"), F.col("_level"))))))
+    asked = pages.filter("page_num IS NOT NULL").withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumn("_bin", at(F.col("page_num"), F.col("_level")))
+    return asked.join(filed, ["_level", "_bin"]).filter(F.col("page_num").between(F.col("start"), F.col("end"))).drop("_level", "_bin")
 
 
 def grounded(answers: DataFrame, chunks: DataFrame) -> DataFrame:

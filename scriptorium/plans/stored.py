@@ -7,9 +7,11 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
+from ..functions.text import word_count
 from ..operators import agent, governance, graphindex, retrieval, textindex
 from ..sources.shared import place, written
-from .catalogue import _BM, _OV, _asked, _overlap, table
+from ..streaming import stateful, streams
+from .catalogue import _BM, _OV, _asked, _overlap, _streamed, table
 from .registry import query
 
 
@@ -61,3 +63,61 @@ def agent_answers(s, d):
     evidence = ranked.join(table(s, d, "documents").select("doc_id", "text"), "doc_id").withColumn("chunk_id", F.col("doc_id"))
     a = agent.answered(ended, evidence)
     return a.select("query_id", "status", F.md5("text").alias("text_md5"), F.get("citations", F.lit(0)).alias("cited"), "grounded")
+
+
+@query("""SELECT o_orderdate::DATE AS day, count(*) AS n, min(l_orderkey) AS first_order FROM (SELECT DISTINCT o_orderdate FROM orders) JOIN lineitem ON datediff('day', DATE '1970-01-01', o_orderdate::DATE) BETWEEN datediff('day', DATE '1970-01-01', l_shipdate::DATE) AND datediff('day', DATE '1970-01-01', l_shipdate::DATE) + floor(l_quantity) GROUP BY 1""")
+def in_transit(s, d):
+    """Items under way on each day of an order: a range join of all days with the time that every item takes, as many days as its quantity."""
+    day = lambda c: F.unix_date(F.col(c).cast("date")).cast("long")
+    days = table(s, d, "orders").select(day("o_orderdate").alias("page_num")).distinct()
+    ranges = table(s, d, "lineitem").select("l_orderkey", day("l_shipdate").alias("start"), (day("l_shipdate") + F.floor("l_quantity").cast("long")).alias("end"))
+    met = governance.assign_ranges(days, ranges).groupBy("page_num").agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_order"))
+    return met.select(F.date_from_unix_date(F.col("page_num").cast("int")).alias("day"), "n", "first_order")
+
+
+@query(r"""WITH w AS (SELECT doc_id, coalesce(len(list_filter(string_split_regex(text, '[\s\p{Z}]+'), lambda x: x <> '')), 0) AS n_words FROM documents),
+    b AS (SELECT doc_id, n_words, coalesce(sum(n_words) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, sum(n_words) OVER () AS total FROM w)
+    SELECT doc_id, n_words, before, CASE WHEN before * 100 < 65 * total THEN 'train' WHEN before * 100 < 87 * total THEN 'val' ELSE 'test' END AS part FROM b""")
+def split_by_words(s, d):
+    """Train, validation and test of whole documents by their share of all words, in the order of their ids."""
+    return governance.split_by_words(table(s, d, "documents").select("doc_id", word_count(F.col("text")).alias("n_words")))
+
+
+_FEEDBACK = _BM + r""",
+    h AS (SELECT query_id, doc_id, score FROM bm WHERE rank <= 10), fd AS (SELECT DISTINCT doc_id FROM h), ft AS (SELECT doc_id, len(t) AS l, unnest(t) AS term FROM dt WHERE doc_id IN (SELECT doc_id FROM fd)),
+    fc AS (SELECT doc_id, l, term, count(*) AS tf FROM ft GROUP BY ALL), all_df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM dt) GROUP BY 1),
+    fw AS (SELECT query_id, term, sum(score * tf / l) AS share FROM h JOIN fc USING (doc_id) GROUP BY 1, 2), fx AS (SELECT query_id, term, round(share * ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS weight FROM fw JOIN all_df USING (term), st WHERE (query_id, term) NOT IN (SELECT (query_id, term) FROM qt)),
+    fp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, term) AS place FROM fx)"""
+
+
+@query(f"WITH {_FEEDBACK} SELECT query_id, place, term, weight FROM fp WHERE place <= 5")
+def query_feedback(s, d):
+    """The five terms that the ten best documents of every benchmark item add to it."""
+    docs = table(s, d, "documents").select("doc_id", "text")
+    hits = written(retrieval.bm25(docs, _asked(s, d), 10), "hits")
+    return retrieval.feedback_terms(docs, _asked(s, d), hits).select("query_id", F.col("place").cast("long").alias("place"), "term", "weight")
+
+
+#: The newest event's window ends, and two days and an hour before that all is closed.
+_DRIFT = """WITH v AS (SELECT event_type, date_trunc('day', ts) AS start, greatest(least(floor(value / 10), 9), 0)::INTEGER AS bin, event_id FROM events WHERE value IS NOT NULL AND ts IS NOT NULL),
+    r AS (SELECT b AS bin, greatest((SELECT count(*) FROM v WHERE event_id % 2 = 0 AND bin = b) / (SELECT count(*) FROM v WHERE event_id % 2 = 0), 1e-6) AS p FROM range(10) x(b)),
+    w AS (SELECT event_type, start, count(*) AS n FROM v GROUP BY 1, 2), c AS (SELECT event_type, start, bin, count(*) AS c FROM v GROUP BY ALL),
+    q AS (SELECT w.event_type, w.start, any_value(n) AS n, sum((greatest(coalesce(c, 0) / n, 1e-6) - p) * ln(greatest(coalesce(c, 0) / n, 1e-6) / p)) AS psi FROM w CROSS JOIN r LEFT JOIN c ON c.event_type = w.event_type AND c.start = w.start AND c.bin = r.bin GROUP BY 1, 2)
+    SELECT event_type, start, n, round(psi, 9) AS psi FROM q"""
+
+
+def _reference(s, d):
+    return stateful.histogram(table(s, d, "events").filter("event_id % 2 = 0 AND ts IS NOT NULL"), "value", 0.0, 100.0, 10)
+
+
+@query(_DRIFT)
+def drift_table(s, d):
+    """How far every day of each event type is from the histogram of all even events."""
+    return stateful.drift(table(s, d, "events"), _reference(s, d))
+
+
+@query(_DRIFT + " WHERE start + INTERVAL 1 DAY <= (SELECT max(start) FROM v) - INTERVAL 1 HOUR")
+def drift_stream(s, d):
+    """The same on a stream with state and timers, for the days that are closed in the end."""
+    e = _streamed(s, d, "events")
+    return streams.run_available(stateful.drift(e, _reference(s, d)), "drift", checkpoint=place(s, "drift"))
