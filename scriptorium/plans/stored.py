@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions.text import word_count
-from ..operators import agent, governance, graphindex, retrieval, textindex
+from ..operators import agent, governance, graphindex, retrieval, tables, textindex
+from ..sources import files
 from ..sources.shared import place, written
 from ..streaming import stateful, streams
 from .catalogue import _BM, _OV, _asked, _overlap, _streamed, table
@@ -121,3 +122,27 @@ def drift_stream(s, d):
     """The same on a stream with state and timers, for the days that are closed in the end."""
     e = _streamed(s, d, "events")
     return streams.run_available(stateful.drift(e, _reference(s, d)), "drift", checkpoint=place(s, "drift"))
+
+
+@query("SELECT user_id AS key, value FROM (SELECT user_id, event_type AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def keyed_table(s, d):
+    """The newest event type of each user, from a table with versions that got three batches and a compaction between them."""
+    t = tables.KeyedTable(s, place(s, "keyed"), "key long, value string, o struct<ts:timestamp_ntz,event_id:long>", "key", "o")
+    rows = table(s, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), F.struct(F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id").alias("o"), "event_id")
+    for part in (0, 1, 2):
+        t.append(rows.filter(F.col("event_id") % 3 == part).drop("event_id"))
+        if part == 1:
+            t.compact()
+    return t.read().select("key", "value")
+
+
+@query(r"""WITH t AS (SELECT coalesce(lang, 'none') AS lang, coalesce(text, '') AS text FROM documents)
+    SELECT lang, sum(length(text) - length(replace(text, chr(10), '')) + 1)::BIGINT AS n_lines, sum(length(text) + 1)::BIGINT AS n_chars FROM t GROUP BY 1""")
+def source_files(s, d):
+    """Texts written as files by language, and read again as a stream of files by the data source of this package."""
+    root = place(s, "files")
+    table(s, d, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), "text").write.partitionBy("lang").text(root)
+    files.register(s)
+    got = streams.run_available(s.readStream.format("files").option("path", root).load().select("rel", F.decode("content", "UTF-8").alias("text")), "files", checkpoint=place(s, "read"))
+    lang = F.regexp_extract("rel", "^lang=([^/]*)/", 1)
+    return got.groupBy(lang.alias("lang")).agg(F.sum(F.size(F.split("text", "\n")) - 1).alias("n_lines"), F.sum(F.length("text")).cast("long").alias("n_chars"))

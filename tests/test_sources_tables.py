@@ -1,0 +1,142 @@
+import json
+import os
+import threading
+import time
+
+import pytest
+from pyspark.sql import functions as F
+
+from scriptorium.operators.tables import KeyedTable
+from scriptorium.sources import files, readers
+
+
+def put(root, rel, data, when=None):
+    path = os.path.join(root, rel)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(data)
+    if when:
+        os.utime(path, (when, when))
+
+
+@pytest.fixture
+def root(tmp_path):
+    r = str(tmp_path / "in")
+    for k in range(5):
+        put(r, f"work{k % 2}/scan_{k}.png", b"x" * (k + 1), 1000 + k)
+    put(r, "vol3_p0007.TIF", b"tif", 1003)
+    put(r, "refs/work0_p0000.ref.txt", "é text\n".encode(), 1001)
+    put(r, "refs/work1_p0001.ref.txt", b" \n ", 1001)
+    put(r, "gold/a.jsonl", b'# c\n{"page_id": "p1", "text": "one"}\nbad\n{"page_id": "p1", "text": "two"}\n{"page_id": "p2", "text": "x"}', 1002)
+    put(r, "gold/b.jsonl", b'{"page_id": "p2", "text": "y"}', 1000)
+    put(r, "_hidden/x.png", b"no")
+    return r
+
+
+def test_files_give_the_rows_of_the_readers(spark, root):
+    files.register(spark)
+    df = spark.read.format("files").option("path", root).load()
+    page = lambda x: sorted((r.id, r.doc_id, r.page_num, bytes(r.content)) for r in x.collect())
+    assert page(files.pages(df)) == page(readers.page_files(spark, root))
+    assert sorted(map(tuple, files.texts(df).collect())) == sorted(map(tuple, readers.reference_texts(spark, f"{root}/refs").collect())) == [("work0_p0000", "é text\n"), ("work1_p0001", None)]
+    assert sorted(map(tuple, files.labels(df).collect())) == sorted(map(tuple, readers.gold_labels(spark, f"{root}/gold").collect())) == [("p1", "two"), ("p2", "y")]
+
+
+def test_filters_are_pushed_down(spark, root, monkeypatch):
+    files.register(spark)
+    df = spark.read.format("files").option("path", root).load()
+    assert {r.rel for r in df.filter("rel LIKE 'work1/%'").collect()} == {"work1/scan_1.png", "work1/scan_3.png"}
+    assert df.filter(F.col("rel").isin("vol3_p0007.TIF", "none") & (F.col("length") < 5)).count() == 1
+    reader = files.Reader({"path": root})
+    left = list(reader.pushFilters([files.StringStartsWith(("rel",), "work1/"), files.EqualTo(("length",), 3)]))
+    assert len(left) == 1 and [f[0] for p in reader.partitions() for f in p.files] == ["work1/scan_1.png", "work1/scan_3.png"]
+    monkeypatch.setattr(files, "FILES", 2)
+    assert [len(p.files) for p in files.Reader({"path": root}).partitions()] == [2, 2, 2, 2, 2]
+    assert spark.read.format("files").option("path", root).option("content", "false").load().filter("content IS NOT NULL").count() == 0
+
+
+def test_a_stream_goes_on_after_a_restart(spark, root, tmp_path):
+    files.register(spark)
+    place = str(tmp_path / "out")
+
+    def run():
+        stream = spark.readStream.format("files").option("path", root).option("most", 3).load()
+        q = files.pages(stream).writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").start()
+        q.processAllAvailable()
+        q.stop()
+        return sorted((r.id, bytes(r.content)) for r in spark.read.parquet(f"{place}/rows").collect())
+
+    batch = lambda: sorted((r.id, bytes(r.content)) for r in files.pages(spark.read.format("files").option("path", root).load()).collect())
+    assert run() == batch()
+    put(root, "work9/scan_11.png", b"new", 2000)
+    assert run() == batch() and len(batch()) == 7
+    assert run() == batch()
+
+
+SCHEMA = "key string, value string, ts long"
+
+
+def table(spark, tmp_path):
+    return KeyedTable(spark, f"file://{tmp_path}/table", SCHEMA, "key", "ts")
+
+
+def rows(df):
+    return sorted(map(tuple, df.select("key", "value", "ts").collect()))
+
+
+def test_versions_and_compaction(spark, tmp_path):
+    t = table(spark, tmp_path)
+    assert t.version() == 0 and t.read().count() == 0 and t.compact() == 0
+    make = lambda *r: spark.createDataFrame(r, SCHEMA)
+    assert t.append(make(("a", "1", 1), ("b", "1", 1))) == 1 and t.append(make(("a", "2", 2))) == 2 and t.append(make(("a", "old", 0), ("c", None, 5), ("c", "x", 5))) == 3
+    newest = [("a", "2", 2), ("b", "1", 1), ("c", "x", 5)]
+    assert rows(t.read()) == newest and rows(t.read(1)) == [("a", "1", 1), ("b", "1", 1)]
+    assert t.compact() == 4 and rows(t.log()) == newest and rows(t.read(3)) == newest and len(t.folders(4)) == 1
+    assert t.append(make(("d", "1", 1))) == 5 and rows(t.read()) == [*newest, ("d", "1", 1)]
+
+
+def test_writers_a_reader_and_a_compaction_at_once(spark, tmp_path):
+    t, errors, seen = table(spark, tmp_path), [], []
+    t.append(spark.createDataFrame([("k", "0", 0)], SCHEMA))
+    done = threading.Event()
+
+    def guarded(work):
+        def run():
+            try:
+                work()
+            except Exception as e:  # the test fails on it
+                errors.append(e)
+
+        return threading.Thread(target=run)
+
+    def writer(name):
+        for k in range(5):
+            t.append(spark.createDataFrame([(name, str(k), k), (f"{name}{k}", "x", k)], SCHEMA))
+
+    def reader():
+        while not done.is_set():
+            v = t.version()
+            seen.append((v, rows(t.read(v))))
+            assert seen[-1][1] == rows(t.read(v))
+
+    def compactor():
+        for _ in range(3):
+            t.compact()
+            time.sleep(0.3)
+
+    threads = [guarded(lambda: writer("a")), guarded(lambda: writer("b")), guarded(compactor)]
+    watch = guarded(reader)
+    watch.start()
+    for x in threads:
+        x.start()
+    for x in threads:
+        x.join()
+    done.set()
+    watch.join()
+    assert not errors
+    want = sorted([("k", "0", 0), ("a", "4", 4), ("b", "4", 4), *((f"{n}{k}", "x", k) for n in "ab" for k in range(5))])
+    assert rows(t.read()) == want and len(seen) > 1
+    t.compact()
+    assert rows(t.log()) == want
+    names = [n for n in os.listdir(tmp_path / "table/versions") if n.endswith(".json") and not n.startswith(".")]
+    assert len(names) == t.version() and all(json.load(open(tmp_path / "table/versions" / n))["folders"] for n in names)
