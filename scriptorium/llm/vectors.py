@@ -1,10 +1,12 @@
 """Approximate nearest neighbours: score-aware (anisotropic) product quantisation, four-bit table scans, exact reranking.
 
-Nearest by Euclidean distance is maximum inner product after one more component: x' = (x, -|x|^2 / 2), q' = (q, 1).
-Codebooks of 16 words per subspace are trained by the anisotropic loss: the residual's part parallel to x weighs more
-than the orthogonal part, because it changes high inner products most. Every row is encoded once; the table of codes (four
-bits a subspace) is what the scans read. A scan adds one looked-up value per subspace for each row; of all rows the RERANK best of
-a query get exact distances on the original vectors.
+Rows belong to cells (k-means of a bounded sample); what is left of a row beside its cell's centre, in units of the cell's
+width, is quantised. With r a row's residual, -|q - x|^2 / 2 is (q - c) r less |q - c|^2 / 2 and |r|^2 / 2, so nearness is an inner
+product but for known numbers. Codebooks of 16 words per subspace are trained by the anisotropic loss: the residual error's part
+parallel to r weighs more than the orthogonal part, because it changes high inner products most. Every row is encoded once, with
+the norms of its residual and of its error; the table of codes (four bits a subspace) is what the scans read. A scan adds one
+looked-up value per subspace for each row. By its error each row has a bracket: all rows whose bracket reaches the k-th best one get
+exact distances on the original vectors, few where codes tell rows apart and more where they don't, and RERANK at least.
 
 Codes are dealt into blocks by row, and each block meets every block of queries (the stated query set against all rows). Of
 copies of one vector only the k + 1 smallest ids are scanned: the others are as far and come later in every result.
@@ -23,10 +25,10 @@ from .common import stored, table
 #: Bound of the training sample.
 TRAIN_ROWS = 8000
 WORDS, PER_SPACE, ETA, ROUNDS = 16, 1, 2.0, 8
-#: Rows whose exact distance is computed for each query, whatever the table's size.
-RERANK = 400
+#: Rows whose exact distance is computed for each query at least, cells, and half the width of a bracket in standard deviations.
+RERANK, CELLS, WIDE = 32, 64, 3.5
 #: Codes per block, queries per block, and both at once in a scan.
-ROWS, QUERIES, AT_ONCE = 1 << 16, 1024, (64, 8192)
+ROWS, QUERIES, AT_ONCE = 1 << 16, 1024, 32
 
 
 class Codebook:
@@ -107,48 +109,126 @@ def usable(vectors: DataFrame, dim: int) -> DataFrame:
     return vectors.filter(F.col("vec_id").isNotNull() & (F.size(e) == dim)).filter(F.forall(e, finite) & F.exists(e, lambda x: x != 0)).select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<float>").alias("embedding"))
 
 
-def code_table(rows: DataFrame, book: Codebook, k: int) -> DataFrame:
-    """(vec_id, code, row): each row's code; of one vector's copies those of the k + 1 smallest ids."""
+class Cells:
+    """Centres of k-means cells over centred vectors, the width of each, and the codebook of what is left."""
+
+    def __init__(self, x: np.ndarray, number: int = CELLS, rounds: int = 12, seed: int = 5):
+        rng = np.random.default_rng(seed)
+        self.mean = x.mean(0)
+        x = x - self.mean
+        centres = x[rng.integers(len(x))][None]
+        far = np.full(len(x), np.inf)
+        while len(centres) < min(number, len(x)):  # far from those before, by chance
+            far = np.minimum(far, ((x - centres[-1]) ** 2).sum(1))
+            if not far.sum() > 0:
+                break
+            centres = np.r_[centres, x[rng.choice(len(x), p=far / far.sum())][None]]
+        for _ in range(rounds):
+            own = self._nearest(x, centres)
+            centres = np.stack([x[own == c].mean(0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        own = self._nearest(x, centres)
+        left = x - centres[own]
+        wide = np.sqrt((left * left).sum(1).mean()) or 1.0
+        width = np.array([np.sqrt((left[own == c] ** 2).sum(1).mean()) if (own == c).sum() > 3 else wide for c in range(len(centres))])
+        self.centres, self.width = centres, np.where(width > 0, width, wide)
+        self.book = Codebook.train(left / self.width[own][:, None])
+
+    @staticmethod
+    def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+        return (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, packed codes, half squared norms of residuals and norms of their errors."""
+        x = x - self.mean
+        cell = self._nearest(x, self.centres)
+        left, dim = x - self.centres[cell], x.shape[1]
+        codes = self.book.encode(left / self.width[cell][:, None])
+        plain = np.stack([codes & 15, codes >> 4], axis=2).reshape(len(x), -1)[:, :dim] if len(x) else codes
+        got = self.book.words[np.arange(self.book.words.shape[0]), np.pad(plain, ((0, 0), (0, self.book.words.shape[0] - plain.shape[1])))].reshape(len(x), -1)[:, :dim]
+        error = left - got * self.width[cell][:, None]
+        return cell, codes, 0.5 * (left * left).sum(1), np.sqrt((error * error).sum(1))
+
+    def scan(self, q: np.ndarray, cell: np.ndarray, packed: np.ndarray, half: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(queries, rows): about -|q - x|^2 / 2, and half the width of its bracket, for rows in the order of their cells."""
+        q, dim = q - self.mean, q.shape[1]
+        words = self.book.words[:dim, :, 0]
+        about, slack = np.zeros((len(q), len(cell))), np.zeros((len(q), len(cell)))
+        starts = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(cell)]):
+            c = cell[s]
+            d = q - self.centres[c]
+            tables = ((d * self.width[c])[:, :, None] * words).astype(np.float32)
+            total = np.zeros((len(q), e - s), np.float32)
+            for k in range(dim):
+                code = packed[s:e, k // 2] >> 4 if k % 2 else packed[s:e, k // 2] & 15
+                total += tables[:, k].take(code, axis=1)
+            about[:, s:e] = total - (0.5 * (d * d).sum(1))[:, None] - half[None, s:e]
+            slack[:, s:e] = (np.sqrt((d * d).sum(1)) * min(1.0, WIDE / dim**0.5))[:, None] * error[None, s:e]
+        return about, slack * (1 + 1e-6) + 1e-9 * np.abs(about)
+
+
+def code_table(rows: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(vec_id, cell, code, half, error, row): each row's code; of one vector's copies those of the k + 1 smallest ids."""
 
     def run(batches):
         for b in batches:
             if len(b):
                 x = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
-                codes = pa.array([c.tobytes() for c in book.encode(x)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), codes, b.column(2), b.column(3)], names=["vec_id", "code", "a", "b"])
+                cell, codes, half, error = cells.encode(x)
+                codes = pa.array([c.tobytes() for c in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cell, pa.int32()), codes, pa.array(half), pa.array(error), b.column(2), b.column(3)], names=["vec_id", "cell", "code", "half", "error", "a", "b"])
 
     one, two = (F.xxhash64(F.lit(i), "embedding").alias(c) for i, c in enumerate("ab"))
-    encoded = rows.select("vec_id", "embedding", one, two).mapInArrow(run, "vec_id long, code binary, a long, b long")
-    once = encoded.groupBy("a", "b", "vec_id").agg(F.first("code").alias("code"))
+    encoded = rows.select("vec_id", "embedding", one, two).mapInArrow(run, "vec_id long, cell int, code binary, half double, error double, a long, b long")
+    once = encoded.groupBy("a", "b", "vec_id").agg(F.first(F.struct("cell", "code", "half", "error")).alias("x"))
     place = F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))
-    return stored(once.withColumn("place", place).filter(F.col("place") <= k + 1).select("vec_id", "code", F.monotonically_increasing_id().alias("row")))
+    return stored(once.withColumn("place", place).filter(F.col("place") <= k + 1).select("vec_id", "x.*", F.monotonically_increasing_id().alias("row")))
+
+
+def chosen(ids: np.ndarray, about: np.ndarray, slack: np.ndarray, k: int, least: int, unique: bool) -> np.ndarray:
+    """The least best rows, and all whose bracket reaches the k-th best lower end of different ids."""
+    good = np.flatnonzero(np.isfinite(about))
+    low = (about - slack)[good]
+    if not unique:
+        best = pd.Series(low).groupby(ids[good]).max().to_numpy()
+    else:
+        best = low
+    reach = np.partition(best, len(best) - k)[len(best) - k] if len(best) > k else -np.inf
+    floor = np.partition(about[good], len(good) - least)[len(good) - least] if len(good) > least else -np.inf
+    return good[((about + slack)[good] >= reach) | (about[good] >= floor)]
 
 
-def scanned(codes: DataFrame, queries: DataFrame, book: Codebook, most: int) -> DataFrame:
-    """(query_id, vec_id): the rows of highest approximate inner product with each query, smaller ids first among equals."""
+def scanned(codes: DataFrame, queries: DataFrame, cells: Cells, k: int, least: int) -> DataFrame:
+    """(query_id, vec_id): the rows that may be among the k nearest of each query, by their brackets, and the least best ones."""
     blocks, q_blocks = (max(1, -(-df.count() // size)) for df, size in ((codes, ROWS), (queries, QUERIES)))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    dealt = codes.select("vec_id", "code", F.pmod("row", F.lit(blocks)).alias("b")).withColumn("c", every(q_blocks))
+    dealt = codes.select("vec_id", "cell", "code", "half", "error", F.pmod("row", F.lit(blocks)).alias("b")).withColumn("c", every(q_blocks))
     asked = queries.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).alias("c")).withColumn("b", every(blocks))
 
     def meet(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "about": np.zeros(0)})]
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "about": np.zeros(0), "slack": np.zeros(0)})]
         if len(q) and len(d):
+            d = d.sort_values("cell", kind="stable")
             ids, packed = d["vec_id"].to_numpy(), np.frombuffer(b"".join(d["code"]), np.uint8).reshape(len(d), -1)
-            qx, qi = np.stack(q["embedding"]).astype(np.float64), q["vec_id"].to_numpy()
-            for s in range(0, len(q), AT_ONCE[0]):
-                score = np.concatenate([book.scan(qx[s : s + AT_ONCE[0]], packed[t : t + AT_ONCE[1]]) for t in range(0, len(d), AT_ONCE[1])], axis=1)
-                for i, own in enumerate(score):
-                    own[ids == qi[s + i]] = -np.inf
-                    some = np.flatnonzero(own >= np.partition(own, -most)[-most]) if len(own) > most else np.arange(len(own))
-                    some = some[np.isfinite(own[some])]
-                    some = some[np.lexsort((ids[some], -own[some]))[:most]]
-                    out.append(pd.DataFrame({"query_id": qi[s + i], "vec_id": ids[some], "about": own[some].astype(float)}))
+            cell, half, error = (d[c].to_numpy() for c in ("cell", "half", "error"))
+            qx, qi, unique = np.stack(q["embedding"]).astype(np.float64), q["vec_id"].to_numpy(), len(np.unique(ids)) == len(ids)
+            for s in range(0, len(q), AT_ONCE):
+                about, slack = cells.scan(qx[s : s + AT_ONCE], cell, packed, half, error)
+                for i in range(len(about)):
+                    about[i, ids == qi[s + i]] = -np.inf
+                    some = chosen(ids, about[i], slack[i], k, least, unique)
+                    out.append(pd.DataFrame({"query_id": qi[s + i], "vec_id": ids[some], "about": about[i, some], "slack": slack[i, some]}))
         return pd.concat(out)
 
-    met = asked.groupBy("b", "c").cogroup(dealt.groupBy("b", "c")).applyInPandas(meet, "query_id long, vec_id long, about double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("about"), "vec_id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= most).select("query_id", "vec_id").distinct()
+    met = asked.groupBy("b", "c").cogroup(dealt.groupBy("b", "c")).applyInPandas(meet, "query_id long, vec_id long, about double, slack double")
+    one = stored(met.groupBy("query_id", "vec_id").agg(F.max("about").alias("about"), F.max(F.col("about") - F.col("slack")).alias("low"), F.max(F.col("about") + F.col("slack")).alias("high")))
+    if blocks == 1:
+        return one.select("query_id", "vec_id")
+    at = lambda by, name: F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "vec_id")).alias(name)
+    reach = one.select("query_id", "low", at("low", "place")).filter(F.col("place") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("low")).alias("reach"))
+    floor = one.select("query_id", "about", at("about", "place")).filter(F.col("place") <= least).groupBy("query_id").agg(F.min("about").alias("floor"))
+    met = one.join(reach, "query_id").join(floor, "query_id")
+    return met.filter(F.col("reach").isNull() | (F.col("high") >= F.col("reach")) | (F.col("about") >= F.col("floor"))).select("query_id", "vec_id")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -176,9 +256,9 @@ def search(vectors: DataFrame, every: int = 100, k: int = 10, rerank: int = RERA
     share = min(1.0, 2 * TRAIN_ROWS / n)
     drawn = rows.filter(F.pmod(F.xxhash64("vec_id", F.lit(4)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     x = np.array([r[0] for r in drawn.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(TRAIN_ROWS).select("embedding").collect()], float)
-    book = Codebook.train(x)
+    cells = Cells(x)
     queries = rows.filter(F.col("vec_id") % every == 0)
-    found = scanned(code_table(rows, book, k), queries, book, rerank)
+    found = scanned(code_table(rows, cells, k), queries, cells, k, max(rerank, k))
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     scores = found.join(rows, "vec_id").join(asked, "query_id").select("query_id", "vec_id", distance(F.col("q"), F.col("embedding")).alias("score"))
     one = scores.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -81,3 +81,30 @@ def test_scans_read_packed_codes():
     codes = book.encode_raised(book.raised(x, *book.words.shape[::2]))
     near = book.words[np.arange(book.words.shape[0]), codes].reshape(500, -1)[:, :11]
     assert book.scan(q, packed) == pytest.approx(np.c_[q, np.ones(3)] @ near.T, abs=1e-4)
+
+
+@pytest.mark.parametrize("kind", ["one tight", "eight tight", "log-normal", "unit clusters", "two widths"])
+@pytest.mark.parametrize("rows", [1 << 16, 1500])
+def test_recall_on_tight_clusters_and_uneven_norms(spark, monkeypatch, kind, rows):
+    """Clusters far from the origin and far narrower than their distances; in one block and in several."""
+    monkeypatch.setattr(vectors, "ROWS", rows)
+    rng = np.random.default_rng(9)
+    n, dim = 6000, 64
+    x = rng.normal(size=(n, dim))
+    if kind == "one tight":
+        x = 10 + 0.01 * x
+    elif kind == "eight tight":
+        x = 5 * rng.normal(size=(8, dim))[rng.integers(0, 8, n)] + 0.01 * x
+    elif kind == "log-normal":
+        x = x * np.exp(rng.normal(size=(n, 1)))
+    elif kind == "unit clusters":
+        x = rng.normal(size=(60, dim))[rng.integers(0, 60, n)] + 0.05 * x
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    else:
+        x = np.where(np.arange(n)[:, None] % 2 == 0, 3 + 0.001 * x, x)
+    x = x.astype(np.float32).astype(float)
+    got = {}
+    for r in vectors.search(frame(spark, enumerate(x)), every=100).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = sum(len(got[q] & {i for i, _ in brute(range(n), x, (q, x[q]))}) for q in range(0, n, 100))
+    assert hits >= 0.97 * 600
