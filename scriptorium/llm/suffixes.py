@@ -23,7 +23,7 @@ import numpy as np
 #: Common prefixes are exact up to this length and never overstated beyond it; a parameter.
 DEPTH = 64
 #: Tuples that a queue keeps in memory; names that are sorted in memory; bytes of an array beyond which it is in a file; elements at once.
-QUEUE, IN_MEMORY, MEMORY, AT_ONCE = 4_000_000, 2_000_000, 64 << 20, 1 << 20
+QUEUE, IN_MEMORY, MEMORY, AT_ONCE = 250_000, 2_000_000, 64 << 20, 1 << 20
 
 
 def array(n: int, dtype, memory: int = MEMORY) -> np.ndarray:

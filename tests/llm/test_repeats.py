@@ -185,3 +185,19 @@ print(most - before)
         got = subprocess.run([sys.executable, "-c", code, f.name], capture_output=True, text=True, timeout=500)
     assert got.returncode == 0, got.stderr[-2000:]
     assert float(got.stdout) < 40, got.stdout
+
+
+def test_queues_spill_at_the_size_that_queries_sort(monkeypatch):
+    """A stretch of blocks as the query sorts it passes the queues' bound; what they keep stays near it."""
+    rng = np.random.default_rng(6)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9)).astype(np.uint8)) for _ in range(3000)]
+    texts = [b" ".join(words[i] for i in rng.integers(0, 3000, 40_000)) for _ in range(10)]
+    texts.append(texts[0][1000:3000])
+    assert sum(map(len, texts)) > repeats.SORT_BYTES / 2
+    spilled, held, spill, push = [], [], suffixes.DiskQueue.spill, suffixes.DiskQueue.push
+    monkeypatch.setattr(suffixes.DiskQueue, "spill", lambda self: spilled.append(self.held) or spill(self))
+    monkeypatch.setattr(suffixes.DiskQueue, "push", lambda self, *a: (push(self, *a), held.append(self.held)))
+    low, begin = repeats.holders(texts, np.arange(len(texts)))
+    assert spilled and max(held) <= suffixes.QUEUE and max(spilled) < 6 * suffixes.QUEUE
+    last = begin[10]
+    assert (np.asarray(low[last : last + 2000 - 49]) == 0).all() and (np.asarray(low[begin[3] : begin[3] + 100]) == 3).all()
