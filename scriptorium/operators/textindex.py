@@ -23,7 +23,7 @@ from ..sources.shared import written
 #: Documents of a range on average, ranges that are scored first.
 RANGE, FIRST = 64, 4
 #: Tokens for each bucket of terms in a batch, buckets at most, and tasks that write each of these when there are most.
-TOKENS, BUCKETS, WRITERS = 4_000_000, 256, 8
+TOKENS, BUCKETS, WRITERS = 1_000_000, 1024, 16
 #: Up to so many asked terms are pushed down to the scan, and sent to all tasks (some tens of bytes each).
 TERMS = 10_000
 POSTINGS = "term string, range int, n int, max_tf int, min_len int, docs array<struct<doc_id:bigint,tf:int,len:int>>, batch string, bucket int"
@@ -37,15 +37,18 @@ def add(docs: DataFrame, path: str) -> str:
     nothing behind that counts, and several may write at once. Null texts count as documents without length.
     """
     batch = uuid.uuid4().hex
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.lower("text")).alias("t")).withColumn("len", F.size("t"))
-    n, known, total = texts.agg(F.count("*"), F.count("len"), F.coalesce(F.sum("len"), F.lit(0))).first()
+    n, known, total = docs.select(F.size(tokens(F.lower("text"))).alias("len")).agg(F.count("*"), F.count("len"), F.coalesce(F.sum("len"), F.lit(0))).first()
     ranges, buckets = max(1, -(-n // RANGE)), min(BUCKETS, -(-total // TOKENS) or 1)
-    tf = texts.select("doc_id", "len", F.explode("t").alias("term")).groupBy("doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
-    rows = tf.groupBy("term", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int").alias("range")).agg(
-        F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("docs")
-    )
+    # Texts are dealt by range once; counts by document and term, and lists by term, are then made where the texts are.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")).repartition("range")
+    texts = texts.select("range", "doc_id", tokens(F.lower("text")).alias("t")).withColumn("len", F.size("t"))
+    tf = texts.select("range", "doc_id", "len", F.explode("t").alias("term")).groupBy("range", "doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
+    both = F.col("tf").cast("long") * (1 << 32) + F.col("len")  # two numbers in one, as lists of structs take more than twice the room
+    rows = tf.groupBy("range", "term").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list("doc_id").alias("ids"), F.collect_list(both).alias("counts"))
     rows = rows.withColumn("bucket", bucket(F.col("term"), buckets))
     rows = rows.repartition("bucket", F.pmod("range", F.lit(WRITERS if buckets == BUCKETS else 1))).sortWithinPartitions("bucket", "term", "range")
+    docs_of = F.zip_with("ids", "counts", lambda i, c: F.struct(i.alias("doc_id"), F.shiftright(c, 32).cast("int").alias("tf"), c.bitwiseAND((1 << 32) - 1).cast("int").alias("len")))
+    rows = rows.select("term", "range", "n", "max_tf", "min_len", F.array_sort(docs_of).alias("docs"), "bucket")
     rows.write.partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
     docs.sparkSession.createDataFrame([(batch, n, known, total, buckets)], BATCHES).write.mode("append").parquet(f"{path}/batches")
     return batch
