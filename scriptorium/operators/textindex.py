@@ -26,6 +26,8 @@ RANGE, FIRST = 64, 4
 TOKENS, BUCKETS, WRITERS = 1_000_000, 1024, 16
 #: Up to so many asked terms are pushed down to the scan, and sent to all tasks (some tens of bytes each).
 TERMS = 10_000
+#: Rows of weights (32 bytes) and of ranges (24 bytes) that are sent to all tasks; more are joined by a shuffle.
+WEIGHTS, WANTED = 200_000, 1_000_000
 POSTINGS = "term string, range int, n int, max_tf int, min_len int, docs array<struct<doc_id:bigint,tf:int,len:int>>, batch string, bucket int"
 BATCHES = "batch string, n_docs long, n_texts long, n_tokens long, buckets int"
 
@@ -58,6 +60,11 @@ def bucket(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
+def sent(rows: DataFrame, most: int) -> DataFrame:
+    """The rows, marked to be sent to all tasks if they are not more than most."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def opened(spark: SparkSession, path: str) -> tuple[DataFrame, list]:
     """(postings of named batches, batches)."""
     if not exists(spark, f"{path}/batches"):
@@ -93,28 +100,32 @@ class Search:
         heads = self.postings.select("term", "batch", "range", "n", "max_tf", "min_len").join(self.terms, "term", "left_semi")
         df = heads.groupBy("term").agg(F.sum("n").alias("df"))
         idf = F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        self.weights = written(self.asked.join(df, "term").select("query_id", "term", idf.alias("idf")), "weights")
+        self.weights = sent(written(self.asked.join(df, "term").select("query_id", "term", idf.alias("idf")), "weights"), WEIGHTS)
         most = F.sum(F.col("idf") * self.part(F.col("max_tf"), F.col("min_len")))
-        return written(heads.join(self.weights, "term").groupBy("query_id", "batch", "range").agg(most.alias("most")), "bounds")
+        return heads.repartition("batch", "range").join(self.weights, "term").groupBy("batch", "range", "query_id").agg(most.alias("most")).select("query_id", "batch", "range", "most")
 
     def scored(self, ranges: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of all documents of ranges (query_id, batch, range) that hold an asked term."""
-        wanted = ranges.join(self.weights, "query_id")
-        met = self.postings.select("batch", "range", "term", "docs").join(wanted, ["batch", "range", "term"]).select("query_id", "idf", F.explode("docs").alias("x"))
-        return met.groupBy("query_id", F.col("x.doc_id").alias("doc_id")).agg(F.round(F.sum(F.col("idf") * self.part(F.col("x.tf"), F.col("x.len"))), 6).alias("score"))
+        """(query_id, doc_id, score) of all documents of ranges (query_id, batch, range) that hold an asked term.
+
+        Postings are dealt by range once; all that a document scores is then added up where its range is.
+        """
+        posts = self.postings.select("batch", "range", "term", "docs").join(sent(ranges.select("batch", "range").distinct(), WANTED), ["batch", "range"], "left_semi").repartition("batch", "range")
+        met = posts.join(self.weights, "term").join(sent(ranges, WANTED), ["query_id", "batch", "range"], "left_semi").select("batch", "range", "query_id", "idf", F.explode("docs").alias("x"))
+        total = F.sum(F.col("idf") * self.part(F.col("x.tf"), F.col("x.len")))
+        return met.groupBy("batch", "range", "query_id", F.col("x.doc_id").alias("doc_id")).agg(F.round(total, 6).alias("score")).select("query_id", "doc_id", "score")
 
     def run(self) -> DataFrame:
         """(query_id, rank, doc_id, score)."""
         promise = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("most"), "batch", "range"))
         self.ranges = written(self.bounds().withColumn("place", promise), "ranges")
-        first = self.ranges.filter(F.col("place") <= FIRST)
-        found = written(self.scored(first.select("query_id", "batch", "range")), "scored")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-        reached = found.withColumn("rank", rank).filter(F.col("rank") == self.k).select("query_id", F.col("score").alias("reached"))
+        best = lambda scores: scores.withColumn("rank", rank).filter(F.col("rank") <= self.k)  # noqa: E731  limited within tasks first
+        found = written(best(self.scored(self.ranges.filter(F.col("place") <= FIRST).select("query_id", "batch", "range"))), "scored")
+        reached = found.filter(F.col("rank") == self.k).select("query_id", F.col("score").alias("reached"))
         rest = self.ranges.filter(F.col("place") > FIRST).join(reached, "query_id", "left")
-        self.read = rest.filter(F.col("reached").isNull() | (F.col("most") >= F.col("reached") - 1e-6)).select("query_id", "batch", "range")
-        every = found.unionByName(self.scored(self.read))
-        return every.withColumn("rank", rank).filter(F.col("rank") <= self.k).select("query_id", "rank", "doc_id", "score")
+        self.read = written(rest.filter(F.col("reached").isNull() | (F.col("most") >= F.col("reached") - 1e-6)).select("query_id", "batch", "range"), "ranges")
+        every = found.drop("rank").unionByName(best(self.scored(self.read)).drop("rank"))
+        return best(every).select("query_id", "rank", "doc_id", "score")
 
 
 def search(spark: SparkSession, path: str, queries: DataFrame, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -12,17 +12,22 @@ from ..operators import agent, governance, graphindex, retrieval, tables, textin
 from ..sources import files
 from ..sources.shared import place, written
 from ..streaming import stateful, streams
-from .catalogue import _BM, _OV, _asked, _overlap, _streamed, table
+from .catalogue import _BM, _OV, _asked, _streamed, table
 from .registry import query
 
 
+def _hits(s, d, k, batches=1):
+    """The k best documents of every benchmark item, from a text index that was built in some batches."""
+    docs, path = table(s, d, "documents").select("doc_id", "text"), place(s, "textindex")
+    for part in range(batches):
+        textindex.add(docs.filter(F.pmod("doc_id", F.lit(batches)) == part) if batches > 1 else docs, path)
+    return textindex.search(s, path, _asked(s, d), k)
+
+
 @query(f"WITH {_BM} SELECT query_id, rank, doc_id, score FROM bm WHERE rank <= 10")
 def text_index_topk(s, d):
     """Documents indexed in two batches, searched for every benchmark item; the same rows as BM25 over the texts."""
-    docs, path = table(s, d, "documents").select("doc_id", "text"), place(s, "textindex")
-    for part in (0, 1):
-        textindex.add(docs.filter(F.pmod("doc_id", F.lit(2)) == part), path)
-    return textindex.search(s, path, _asked(s, d), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+    return _hits(s, d, 10, 2).select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 @query()
@@ -35,7 +40,7 @@ def graph_topk(s, d):
 
 def _looped(s, d):
     """The loop over every benchmark item: BM25 ranks candidates, the share of the item's tokens that they hold is the evidence."""
-    ranked = written(_overlap(s, d, 40).withColumn("evidence", F.col("overlap")), "ranked")
+    ranked = written(retrieval.rerank(written(_hits(s, d, 40), "hits"), table(s, d, "documents").select("doc_id", "text"), _asked(s, d)).withColumn("evidence", F.col("overlap")), "ranked")
     tools = governance.Tools()
     tools.add("retrieve", agent.ranked_evidence(ranked))
     ended, trace = agent.run(_asked(s, d), tools, costs={"retrieve": 0.005}, config=replace(DEFAULT, weak_threshold=0.9))
@@ -95,7 +100,7 @@ _FEEDBACK = _BM + r""",
 def query_feedback(s, d):
     """The five terms that the ten best documents of every benchmark item add to it."""
     docs = table(s, d, "documents").select("doc_id", "text")
-    hits = written(retrieval.bm25(docs, _asked(s, d), 10), "hits")
+    hits = written(_hits(s, d, 10), "hits")
     return retrieval.feedback_terms(docs, _asked(s, d), hits).select("query_id", F.col("place").cast("long").alias("place"), "term", "weight")
 
 
