@@ -206,6 +206,21 @@ def running_sum(rows: DataFrame, order: str, value: str) -> DataFrame:
     return dealt.join(F.broadcast(starts), "_range").withColumn("before", (within + F.col("_start")).cast("long")).select(*rows.columns, "before")
 
 
+def placed(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows with `place`: from 1 in each group, by order (unique there). No task gets a whole group, however large it is.
+
+    Rows are sorted by group and order into ranges and written; a group that spans several ranges starts in each of them where
+    the range before has stopped, which the counts by range and group tell.
+    """
+    dealt = written(rows.repartitionByRange(group, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range", group).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_range", F.col(group).alias("_group"), before.alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range", group).orderBy(order))
+    met = dealt.withColumn("_place", within).join(starts, (dealt["_range"] == starts["_range"]) & dealt[group].eqNullSafe(F.col("_group")))
+    return met.select(*(dealt[c] for c in rows.columns), (F.col("_place") + F.col("_before")).cast("long").alias("place"))
+
+
 #: Shares of words of whole works for training, validation and test.
 SHARES = (65, 22, 13)
 

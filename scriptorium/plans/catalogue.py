@@ -269,9 +269,11 @@ _TOP = """sc AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, q.label AS q_la
     top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sc)"""
 
 
-def _top(s, d, k):
+def _top(s, d, k, asked=None):
+    """The k nearest of every vector, or of those that are asked (query_id)."""
     v = table(s, d, "embeddings")
     q = v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = q if asked is None else q.join(asked, "query_id", "left_semi")
     return retrieval.top_k(q, v, k, skip_self=True)
 
 
@@ -396,7 +398,7 @@ def rerank_overlap(s, d):
     SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM l GROUP BY 1, 2""")
 def hybrid_rrf(s, d):
     """BM25 over texts fused with exact vector search; the item's vector is that of its number."""
-    dense = _top(s, d, 10).join(_asked(s, d).select("query_id"), "query_id", "left_semi").select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    dense = _top(s, d, 10, _asked(s, d).select("query_id")).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
     return retrieval.fuse(retrieval.bm25(table(s, d, "documents"), _asked(s, d), 10), dense).select("query_id", "doc_id", "score")
 
 

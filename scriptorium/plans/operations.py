@@ -33,8 +33,7 @@ def page_paths(s, d):
 @query(f"WITH {_NAMES} SELECT page_id, row_number() OVER (PARTITION BY doc_id ORDER BY printf('%s_p%04d', doc_id, page_id)) AS place FROM rel")
 def page_order(s, d):
     """The place of each page in its document, by the order of id texts."""
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("id"))
-    return _named(s, d).select("page_id", place.cast("long").alias("place"))
+    return governance.placed(_named(s, d).select("page_id", "doc_id", "id"), "doc_id", "id").select("page_id", "place")
 
 
 @query(f"WITH {_NAMES} SELECT page_id, printf('out/%s/%s_p%04d.png', doc_id, doc_id, page_id) AS path FROM rel")
@@ -288,6 +287,25 @@ def image_quality(s, d):
     return q.select("page_id", F.round("brightness", 6).alias("brightness"), F.round("contrast", 6).alias("contrast"), F.round("edge_variance", 4).alias("edge_variance"), "noisy", F.col("threshold").cast("long").alias("threshold"))
 
 
+_BYTES = """b AS (SELECT page_id, hex(encode(html)) AS h, strlen(html) AS n, (strlen(html) + 63) // 64 AS n_rows FROM pages WHERE strlen(html) > 64),
+    bj AS (SELECT *, unnest(range(64 * n_rows)) AS j FROM b), px AS (SELECT page_id, j, CASE WHEN j < n THEN ('0x' || substr(h, 2 * j + 1, 2))::INTEGER ELSE 255 END AS v FROM bj),
+    nb AS (SELECT page_id, j, v, lag(v) OVER w AS l, lead(v) OVER w AS r, lag(v, 64) OVER w AS u, lead(v, 64) OVER w AS d FROM px WINDOW w AS (PARTITION BY page_id ORDER BY j)),
+    near AS (SELECT page_id, v, CASE WHEN j % 64 = 0 THEN r ELSE l END + CASE WHEN j % 64 = 63 THEN l ELSE r END + coalesce(u, d) + coalesce(d, u) AS around FROM nb),
+    stats AS (SELECT page_id, avg(v) AS brightness, stddev_pop(v) AS contrast, var_pop(around - 4 * v) AS edge_variance FROM near GROUP BY 1),
+    h AS (SELECT page_id, v, count(*) AS n FROM near GROUP BY 1, 2), c AS (SELECT page_id, v, (sum(n) OVER w)::DOUBLE AS lo, (sum(n * v) OVER w)::DOUBLE AS m, (sum(n) OVER (PARTITION BY page_id))::DOUBLE AS nt, (sum(n * v) OVER (PARTITION BY page_id))::DOUBLE AS mt FROM h WINDOW w AS (PARTITION BY page_id ORDER BY v)),
+    o AS (SELECT page_id, v, CASE WHEN lo = nt THEN 0 ELSE lo * (nt - lo) * pow(m / lo - (mt - m) / (nt - lo), 2) END AS between_classes FROM c), t AS (SELECT page_id, arg_max(v, (between_classes, -v)) AS threshold FROM o GROUP BY 1)"""
+
+
+@query(f"WITH {_BYTES} SELECT page_id, round(brightness, 6) AS brightness, round(contrast, 6) AS contrast, round(edge_variance + 1e-7, 4) AS edge_variance, edge_variance > 500 AS noisy, threshold::BIGINT AS threshold FROM stats JOIN t USING (page_id)")
+def page_bytes_quality(s, d):
+    """The same figures of every raw page: its bytes as gray pixels, 64 to a row, the last row filled up with white (1e-7 keeps halves from rounding either way)."""
+    raw = table(s, d, "pages").filter(F.octet_length("html") > 64).select("page_id", F.col("html").cast("binary").alias("raw"))
+    rows = F.ceil(F.octet_length("raw") / 64).cast("int")
+    white = F.unhex(F.repeat(F.lit("FF"), F.pmod(-F.octet_length("raw"), F.lit(64))))
+    q = images.quality(raw.select("page_id", F.lit(64).alias("width"), rows.alias("height"), F.concat("raw", white).alias("pixels")))
+    return q.select("page_id", F.round("brightness", 6).alias("brightness"), F.round("contrast", 6).alias("contrast"), F.round(F.col("edge_variance") + 1e-7, 4).alias("edge_variance"), "noisy", F.col("threshold").cast("long").alias("threshold"))
+
+
 @query()
 def cleaned_pages(s, d):
     """Made pages with lines of text through the whole image stage: deskewed, denoised, binarised, blank ones dropped."""

@@ -70,3 +70,14 @@ def test_feedback_adds_the_terms_of_found_documents(spark):
     assert set(terms) == {(1, 1), (1, 2)} and "apple" not in terms.values() and "crust" in terms.values()
     more = {r.query_id: r.text for r in retrieval.expanded(queries, got).collect()}
     assert more == {1: f"Apple {terms[1, 1]} {terms[1, 2]}", 2: "zebra", 3: ""}
+
+
+def test_places_in_a_group_of_any_size(spark):
+    rng = random.Random(7)
+    rows = [(k, rng.choice(["corpus", "corpus", "corpus", "a", "b", None]), f"p{k:05d}") for k in range(900)]
+    df = spark.createDataFrame(rows, "page_id long, doc_id string, id string")
+    want = []
+    for g in {r[1] for r in rows}:
+        want += [(r[0], k) for k, r in enumerate(sorted((r for r in rows if r[1] == g), key=lambda r: r[2]), 1)]
+    got = governance.placed(df.repartition(5), "doc_id", "id")
+    assert sorted((r.page_id, r.place) for r in got.collect()) == sorted(want) and governance.placed(df.limit(0), "doc_id", "id").count() == 0
