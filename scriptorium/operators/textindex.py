@@ -2,7 +2,7 @@
 
 A batch's documents are dealt into ranges of RANGE documents by a hash. A row of the postings is one term in one range: how many
 documents hold it, its highest count, the shortest of these documents (the block maximum, good for any mean length), and
-the documents themselves. Rows are stored by a hash of the term and sorted, so a search opens only the asked terms' part.
+the documents themselves. A file holds whole ranges, sorted by term, so a search reads only the pages with asked terms.
 
 A search reads the heads of the asked terms (not their documents) and adds up, for each query and range, the most that
 a document there can score. The ranges that promise most are scored first, which gives the k-th best score so far; then
@@ -21,15 +21,13 @@ from ..sources.readers import exists
 from ..sources.shared import written
 
 #: Documents of a range on average, ranges that are scored first.
-RANGE, FIRST = 64, 4
-#: Tokens for each bucket of terms in a batch, buckets at most, and tasks that write each of these when there are most.
-TOKENS, BUCKETS, WRITERS = 1_000_000, 1024, 16
+RANGE, FIRST = 512, 4
 #: Up to so many asked terms are pushed down to the scan, and sent to all tasks (some tens of bytes each).
 TERMS = 10_000
 #: Rows of weights (32 bytes) and of ranges (24 bytes) that are sent to all tasks; more are joined by a shuffle.
 WEIGHTS, WANTED = 200_000, 1_000_000
-POSTINGS = "term string, range int, n int, max_tf int, min_len int, docs array<struct<doc_id:bigint,tf:int,len:int>>, batch string, bucket int"
-BATCHES = "batch string, n_docs long, n_texts long, n_tokens long, buckets int"
+POSTINGS = "term string, range int, n int, max_tf int, min_len int, docs array<struct<doc_id:bigint,tf:int,len:int>>, batch string"
+BATCHES = "batch string, n_docs long, n_texts long, n_tokens long"
 
 
 def add(docs: DataFrame, path: str) -> str:
@@ -40,26 +38,20 @@ def add(docs: DataFrame, path: str) -> str:
     """
     batch = uuid.uuid4().hex
     n, known, total = docs.select(F.size(tokens(F.lower("text"))).alias("len")).agg(F.count("*"), F.count("len"), F.coalesce(F.sum("len"), F.lit(0))).first()
-    ranges, buckets = max(1, -(-n // RANGE)), min(BUCKETS, -(-total // TOKENS) or 1)
-    # Texts are dealt by range once; counts by document and term, and lists by term, are then made where the texts are.
+    ranges = max(1, -(-n // RANGE))
+    # Texts are dealt by range once; counts by document and term, lists by term and files are then made where the texts are.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")).repartition("range")
     texts = texts.select("range", "doc_id", tokens(F.lower("text")).alias("t")).withColumn("len", F.size("t"))
     tf = texts.select("range", "doc_id", "len", F.explode("t").alias("term")).groupBy("range", "doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
     both = F.col("tf").cast("long") * (1 << 32) + F.col("len")  # two numbers in one, as lists of structs take more than twice the room
     rows = tf.groupBy("range", "term").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"), F.collect_list("doc_id").alias("ids"), F.collect_list(both).alias("counts"))
-    rows = rows.withColumn("bucket", bucket(F.col("term"), buckets))
-    rows = rows.repartition("bucket", F.pmod("range", F.lit(WRITERS if buckets == BUCKETS else 1))).sortWithinPartitions("bucket", "term", "range")
     docs_of = F.zip_with("ids", "counts", lambda i, c: F.struct(i.alias("doc_id"), F.shiftright(c, 32).cast("int").alias("tf"), c.bitwiseAND((1 << 32) - 1).cast("int").alias("len")))
-    rows = rows.select("term", "range", "n", "max_tf", "min_len", F.array_sort(docs_of).alias("docs"), "bucket")
-    rows.write.partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
-    docs.sparkSession.createDataFrame([(batch, n, known, total, buckets)], BATCHES).write.mode("append").parquet(f"{path}/batches")
+    rows = rows.select("term", "range", "n", "max_tf", "min_len", F.array_sort(docs_of).alias("docs")).sortWithinPartitions("term", "range")
+    rows.write.parquet(f"{path}/postings/batch={batch}")
+    docs.sparkSession.createDataFrame([(batch, n, known, total)], BATCHES).write.mode("append").parquet(f"{path}/batches")
     return batch
 
 
-def bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
-
-
 def sent(rows: DataFrame, most: int) -> DataFrame:
     """The rows, marked to be sent to all tasks if they are not more than most."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
@@ -84,11 +76,7 @@ class Search:
         terms = asked.select("term").distinct()
         some = [r["term"] for r in terms.limit(TERMS + 1).collect()]
         if len(some) <= TERMS:
-            parts, held = F.lit(False), spark.createDataFrame([(t,) for t in some], "term string")
-            for n in sorted({b["buckets"] for b in batches}):
-                own = [r[0] for r in held.select(bucket(F.col("term"), n)).distinct().collect()]
-                parts |= F.col("batch").isin([b["batch"] for b in batches if b["buckets"] == n]) & F.col("bucket").isin(own)
-            postings, terms = postings.filter(parts & F.col("term").isin(some)), F.broadcast(terms)
+            postings, terms = postings.filter(F.col("term").isin(some)), F.broadcast(terms)
         self.postings, self.asked, self.terms = postings, asked, terms
 
     def part(self, tf: Column, length: Column) -> Column:

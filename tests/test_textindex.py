@@ -27,7 +27,6 @@ def ranked(df):
 
 
 def test_batches_give_the_same_rows_as_no_index(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(textindex, "TOKENS", 20_000)
     monkeypatch.setattr(textindex, "RANGE", 8)
     rows, path = corpus(1), f"file://{tmp_path}/index"
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -42,8 +41,7 @@ def test_batches_give_the_same_rows_as_no_index(spark, tmp_path, monkeypatch):
     assert one.ranges.count() > 50 and one.read.count() < 0.5 * one.ranges.count()  # the others are never joined with their documents
 
 
-def test_only_named_batches_and_asked_buckets_are_read(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(textindex, "TOKENS", 2000)
+def test_only_named_batches_and_asked_terms_are_read(spark, tmp_path):
     path = f"file://{tmp_path}/index"
     docs = spark.createDataFrame(corpus(2), "doc_id long, text string")
     queries = spark.createDataFrame([(1, "r3")], "query_id long, text string")
@@ -52,13 +50,15 @@ def test_only_named_batches_and_asked_buckets_are_read(spark, tmp_path, monkeypa
     textindex.add(docs, path)
     want = ranked(textindex.search(spark, path, queries, 3))
     # A writer that failed before it named its batch.
-    spark.read.parquet(f"{path}/postings").drop("batch").write.partitionBy("bucket").parquet(f"{path}/postings/batch=broken")
+    spark.read.parquet(f"{path}/postings").drop("batch").write.parquet(f"{path}/postings/batch=broken")
     assert ranked(textindex.search(spark, path, queries, 3)) == want
     search = textindex.Search(spark, path, queries, 3)
-    plan = search.bounds()._jdf.queryExecution().executedPlan().toString()
     heads = search.postings.select("term", "n")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in heads and "bucket" in heads.split("PartitionFilters")[1] and "docs" not in heads.split("ReadSchema")[1] and plan
-    assert len({r[0] for r in search.postings.select("bucket").distinct().collect()}) == 1 < len({r[0] for r in spark.read.parquet(f"{path}/postings").select("bucket").distinct().collect()})
+    assert "PartitionFilters: [batch" in heads and "r3" in heads.split("PushedFilters")[1].split("]")[0] and "docs" not in heads.split("ReadSchema")[1]
+    assert {r.term for r in search.postings.select("term").distinct().collect()} == {"r3"}
+    one = spark.read.parquet(path + "/postings").filter("batch <> 'broken'").select("term", F.input_file_name().alias("f")).collect()
+    for f in {r.f for r in one}:
+        assert [r.term for r in one if r.f == f] == sorted(r.term for r in one if r.f == f)
 
 
 def test_empty(spark, tmp_path):
