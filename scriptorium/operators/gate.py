@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.text import edit_distance, normalized, page_doc, similarity, text_lines
+from ..functions.text import bit_distance, normalized, page_doc, similarity, text_lines
 from .layout import provenance
 
 
@@ -73,30 +73,51 @@ def _path(n: Column, m: Column, sim: Column, config: Config) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n + m), end, back, lambda s: F.concat(F.array_repeat(F.lit(None).cast("int"), s["i"]), s["out"]))
 
 
+def _exact(n: Column, m: Column, hyp: Column, ref: Column) -> Column:
+    """align()'s pairing if the lines of the shorter side stand in the other as they are, in order; else null.
+
+    Each of them pairs with an equal one then, which is the highest total there can be, so the way back from the end takes
+    every equal pair: a fold over the longer side. No similarity is needed.
+    """
+    to = lambda left, out: F.struct(left.cast("int").alias("left"), out.alias("out"))
+    more = lambda s, x: F.concat(F.array(x.cast("int")), s["out"])
+    end = lambda s: F.when(s["left"] == 0, s["out"])
+    fold = lambda size, left, step: F.aggregate(F.sequence(size, F.lit(1)), to(left, F.array().cast("array<int>")), step, end)
+    skip = lambda s, i: F.when(F.get(hyp, i - 1) == F.get(ref, s["left"] - 1), to(s["left"] - 1, more(s, s["left"] - 1))).otherwise(to(s["left"], more(s, F.lit(None))))
+    pass_ = lambda s, j: F.when(F.get(ref, j - 1) == F.get(hyp, s["left"] - 1), to(s["left"] - 1, more(s, j - 1))).otherwise(s)
+    return F.when(n > m, fold(n, m, skip)).otherwise(fold(m, n, pass_))
+
+
+def _paths(pages: DataFrame, config: Config) -> DataFrame:
+    """page_id, ref, path (for each line its reference line or null) and aligned of pages (page_id, hyp, ref) that have lines."""
+    n, m = F.size("hyp"), F.coalesce(F.size("ref"), F.lit(-1))
+    near = (m >= 0) & (F.abs(n - m) <= config.max_line_diff)
+    rows = pages.select("page_id", "hyp", "ref", n.alias("n"), m.alias("m"), near.alias("aligned")).filter("n > 0")
+    n, m, hyp, ref = (F.col(c) for c in ("n", "m", "hyp", "ref"))
+    sims = F.transform(hyp, lambda h: F.transform(ref, lambda r: similarity(h, r)))
+    # In lambdas, so that the way and similarities are worked out once, and only where they decide.
+    by_sims = F.transform(F.array(sims), lambda sim: _path(n, m, sim, config))[0]
+    traced = F.transform(F.array(_exact(n, m, hyp, ref)), lambda x: F.when(x.isNotNull(), x).otherwise(by_sims))[0]
+    other = F.array_repeat(F.lit(None).cast("int"), n)
+    path = F.when(n == m, F.sequence(F.lit(0), n - 1)).when(F.col("aligned") & (m > 0), traced).otherwise(other)
+    return rows.select("page_id", "ref", path.alias("path"), "aligned")
+
+
 def align_pages(pages: DataFrame, config: Config = DEFAULT) -> DataFrame:
     """pages: page_id, hyp, ref (arrays of lines). (page_id, idx, ref_idx, aligned); a page is one unit of work.
 
-    Equal counts pair by position, counts too far apart pair nothing; the pages between are aligned by similarity, all in
-    the JVM: a page of n and m lines takes n * m edit distances and as many bytes for the way back.
+    Equal counts pair by position, counts too far apart pair nothing. Of the pages between, those with one side's lines all in
+    the other pair by equality; the rest are aligned by similarity: n * m edit distances and as many bytes for the way back.
     """
-    n, m = F.size("hyp"), F.coalesce(F.size("ref"), F.lit(-1))
-    rows = pages.select("page_id", "hyp", "ref", n.alias("n"), m.alias("m")).filter("n > 0")
-    traced = (F.col("n") != F.col("m")) & (F.col("m") > 0) & (F.abs(F.col("n") - F.col("m")) <= config.max_line_diff)
-    near = (F.col("m") >= 0) & (F.abs(F.col("n") - F.col("m")) <= config.max_line_diff)
-    plain = rows.filter(~traced).select("page_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"), (F.col("n") == F.col("m")).alias("same"), near.alias("aligned"))
-    sims = rows.filter(traced).select("page_id", "n", "m", F.transform("hyp", lambda h: F.transform("ref", lambda r: similarity(h, r))).alias("sim"))
-    # In a lambda, so that similarities are worked out once.
-    path = F.transform(F.array("sim"), lambda sim: _path(F.col("n"), F.col("m"), sim, config))[0]
-    found = sims.select("page_id", F.posexplode(path).alias("idx", "ref_idx"), F.lit(True).alias("aligned"))
-    return plain.select("page_id", "idx", F.when(F.col("same"), F.col("idx")).alias("ref_idx"), "aligned").unionByName(found)
+    return _paths(pages, config).select("page_id", F.posexplode("path").alias("idx", "ref_idx"), "aligned")
 
 
 def aligned_lines(pages: DataFrame, texts: DataFrame, name: str, config: Config = DEFAULT) -> DataFrame:
     """(page_id, idx, name): the normalised line of a page's text that is aligned with each of its lines (hyp). texts: page_id, text."""
     lines = texts.select("page_id", text_lines(F.col("text")).alias("ref"))
-    index = align_pages(pages.join(lines, "page_id", "left"), config).filter("ref_idx IS NOT NULL")
-    line = F.nullif(normalized(F.get("ref", F.col("ref_idx"))), F.lit(""))
-    return index.join(lines, "page_id").select("page_id", "idx", line.alias(name))
+    found = _paths(pages.join(lines, "page_id", "left"), config).filter("aligned")
+    index = found.select("page_id", F.posexplode(F.transform("path", lambda j: F.get("ref", j))).alias("idx", "line")).filter("line IS NOT NULL")
+    return index.select("page_id", "idx", F.nullif(normalized(F.col("line")), F.lit("")).alias(name))
 
 
 def audit(regions: DataFrame, layout: DataFrame | None = None, gold: DataFrame | None = None, refs: DataFrame | None = None, config: Config = DEFAULT) -> DataFrame:
@@ -144,7 +165,7 @@ def decide(norm: Column, gold: Column, ref: Column, aligned: Column, known: Colu
         .otherwise(row(RAW, False, ABOVE, rate))
     )
     # In a lambda, so that the rate is worked out once, and only where it decides.
-    return F.transform(F.array(F.when(needed, edit_distance(norm, ref) / F.length(ref))), decided)[0]
+    return F.transform(F.array(bit_distance(F.when(needed, norm), ref) / F.when(needed, F.length(ref))), decided)[0]
 
 
 def ocr_config(config: Config = DEFAULT) -> str:
