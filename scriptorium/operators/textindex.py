@@ -26,6 +26,8 @@ RANGE, FIRST = 512, 4
 TERMS = 10_000
 #: Rows of weights (32 bytes) and of ranges (24 bytes) that are sent to all tasks; more are joined by a shuffle.
 WEIGHTS, WANTED = 200_000, 1_000_000
+#: Tokens of the documents of a task on average, whatever the size of the table.
+TASK_TOKENS = 2_000_000
 POSTINGS = "term string, range int, n int, max_tf int, min_len int, docs array<struct<doc_id:bigint,tf:int,len:int>>, batch string"
 BATCHES = "batch string, n_docs long, n_texts long, n_tokens long"
 
@@ -40,7 +42,7 @@ def add(docs: DataFrame, path: str) -> str:
     n, known, total = docs.select(F.size(tokens(F.lower("text"))).alias("len")).agg(F.count("*"), F.count("len"), F.coalesce(F.sum("len"), F.lit(0))).first()
     ranges = max(1, -(-n // RANGE))
     # Texts are dealt by range once; counts by document and term, lists by term and files are then made where the texts are.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")).repartition("range")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("range", F.pmod(F.xxhash64("doc_id"), F.lit(ranges)).cast("int")).repartition(parts(docs.sparkSession, total, ranges), "range")
     texts = texts.select("range", "doc_id", tokens(F.lower("text")).alias("t")).withColumn("len", F.size("t"))
     tf = texts.select("range", "doc_id", "len", F.explode("t").alias("term")).groupBy("range", "doc_id", "len", "term").agg(F.count("*").cast("int").alias("tf"))
     both = F.col("tf").cast("long") * (1 << 32) + F.col("len")  # two numbers in one, as lists of structs take more than twice the room
@@ -52,6 +54,11 @@ def add(docs: DataFrame, path: str) -> str:
     return batch
 
 
+def parts(spark: SparkSession, total: int, ranges: int) -> int:
+    """Number of partitions for so many tokens in so many ranges."""
+    return max(1, min(ranges, max(-(-total // TASK_TOKENS), spark.sparkContext.defaultParallelism)))
+
+
 def sent(rows: DataFrame, most: int) -> DataFrame:
     """The rows, marked to be sent to all tasks if they are not more than most."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
@@ -72,6 +79,7 @@ class Search:
         postings, batches = opened(spark, path)
         total = lambda name: sum(b[name] for b in batches)
         self.n, self.mean, self.k, self.k1, self.b = total("n_docs"), total("n_tokens") / max(total("n_texts"), 1), k, k1, b
+        self.parts = parts(spark, total("n_tokens"), sum(max(1, -(-b["n_docs"] // RANGE)) for b in batches))
         asked = written(queries.select("query_id", F.explode(F.array_distinct(tokens(F.lower("text")))).alias("term")), "asked")
         terms = asked.select("term").distinct()
         some = [r["term"] for r in terms.limit(TERMS + 1).collect()]
@@ -90,14 +98,14 @@ class Search:
         idf = F.log(1 + (self.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
         self.weights = sent(written(self.asked.join(df, "term").select("query_id", "term", idf.alias("idf")), "weights"), WEIGHTS)
         most = F.sum(F.col("idf") * self.part(F.col("max_tf"), F.col("min_len")))
-        return heads.repartition("batch", "range").join(self.weights, "term").groupBy("batch", "range", "query_id").agg(most.alias("most")).select("query_id", "batch", "range", "most")
+        return heads.repartition(self.parts, "batch", "range").join(self.weights, "term").groupBy("batch", "range", "query_id").agg(most.alias("most")).select("query_id", "batch", "range", "most")
 
     def scored(self, ranges: DataFrame) -> DataFrame:
         """(query_id, doc_id, score) of all documents of ranges (query_id, batch, range) that hold an asked term.
 
         Postings are dealt by range once; all that a document scores is then added up where its range is.
         """
-        posts = self.postings.select("batch", "range", "term", "docs").join(sent(ranges.select("batch", "range").distinct(), WANTED), ["batch", "range"], "left_semi").repartition("batch", "range")
+        posts = self.postings.select("batch", "range", "term", "docs").join(sent(ranges.select("batch", "range").distinct(), WANTED), ["batch", "range"], "left_semi").repartition(self.parts, "batch", "range")
         met = posts.join(self.weights, "term").join(sent(ranges, WANTED), ["query_id", "batch", "range"], "left_semi").select("batch", "range", "query_id", "idf", F.explode("docs").alias("x"))
         total = F.sum(F.col("idf") * self.part(F.col("x.tf"), F.col("x.len")))
         return met.groupBy("batch", "range", "query_id", F.col("x.doc_id").alias("doc_id")).agg(F.round(total, 6).alias("score")).select("query_id", "doc_id", "score")
