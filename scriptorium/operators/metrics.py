@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import tokens
 
@@ -27,6 +31,17 @@ def f1_of_pairs(pairs: DataFrame, key: str = "pair", hyp: str = "hyp", ref: str
     return counts.groupBy(key).agg(F.coalesce(F.try_divide(2 * F.sum(F.least("h", "r")), F.sum("h") + F.sum("r")), F.lit(0.0)).alias("f1"))
 
 
+@F.pandas_udf(T.LongType())
+def _common(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([None if h is None or r is None else (Counter(h) & Counter(r)).total() for h, r in zip(hyp, ref)], dtype="Int64")
+
+
+def f1(hyp: Column, ref: Column) -> Column:
+    """As f1_of_pairs() for the texts of one row, without a shuffle."""
+    h, r = F.coalesce(tokens(hyp), F.array().cast("array<string>")), F.coalesce(tokens(ref), F.array().cast("array<string>"))
+    return F.coalesce(F.try_divide(2 * _common(h, r), F.size(h) + F.size(r)), F.lit(0.0))
+
+
 def exact_percentile(df: DataFrame, group: str, value: str, share: float, band: float = 0.001) -> DataFrame:
     """(group, p): the interpolated percentile. A sketch brackets it, values below are counted, and only those inside are sorted."""
     known = df.filter(F.col(value).isNotNull())
