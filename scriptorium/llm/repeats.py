@@ -4,7 +4,8 @@ Every string of WIDTH bytes has an anchor, the least hash of its substrings of S
 Neighbouring strings with one anchor form a block. Anchors are counted first: blocks whose anchor stands in one
 document alone can't repeat; one that stands very often is split by the bytes around it. The others go to the shard of their
 anchor, where blocks of equal bytes become one with the
-smallest doc_id; a block that is alone under its anchor then is settled. The others are sorted by their suffixes with common
+smallest doc_id; a block that is alone under its anchor then is settled, and so are the strings of the others whose hash no
+other string of their anchors has. What is left is sorted by its suffixes with common
 prefixes, whole anchors at a time and SORT_BYTES or one anchor at most; strings that share WIDTH bytes are neighbours there
 and get the smallest doc_id of all that hold them. Documents then remove what a smaller doc_id holds.
 
@@ -35,6 +36,8 @@ BATCH_BYTES, BATCH_MOST = 2 << 20, 32 << 20
 STRETCH = 1 << 20
 #: Bytes of blocks that are sorted together.
 SORT_BYTES = 4 << 20
+#: Bytes of blocks up to which strings that are like no other are told by their hashes and stay out of the sorting.
+FILTER_BYTES = 8 << 20
 LAST = (1 << 63) - 1
 #: Number of the block in its batch, start, end, smallest doc_id.
 _RUN = np.dtype([("o", "<u4"), ("s", "<u4"), ("e", "<u4"), ("d", "<i8")])
@@ -312,6 +315,44 @@ def _sorted_groups(anchors: np.ndarray, sizes: np.ndarray, most: int):
             at = e
 
 
+def _alike(texts: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """Runs of strings of width bytes in each text (text, start, end), and whether each of them has the hash of another.
+
+    Equal strings have equal hashes, so a string of any other run stands nowhere else.
+    """
+    data, bounds = hashing.joined(texts)
+    n = np.diff(bounds) - width + 1
+    where = np.repeat(np.arange(len(n)), n)
+    pos = np.arange(len(where)) - np.repeat(np.cumsum(n) - n, n)
+    with np.errstate(over="ignore"):
+        h = hashing.windows(hashing.prefix(data), width)[pos + bounds[where]]
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    shared = np.zeros(len(h), bool)
+    shared[order[1:][same]] = shared[order[:-1][same]] = True
+    edges = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (shared[1:] != shared[:-1])))
+    return where[edges], pos[edges], pos[edges] + np.diff(np.append(edges, len(where))), shared[edges]
+
+
+def _least_runs(texts: list[bytes], least: np.ndarray, width: int) -> list[tuple[np.ndarray, ...]]:
+    """Arrays (text, start, end, smallest doc) of all runs of strings of the texts. Only strings that are like another are sorted.
+
+    What one anchor alone brings beyond FILTER_BYTES is sorted whole, by files.
+    """
+    sizes = np.array([len(t) for t in texts])
+    if sizes.sum() > FILTER_BYTES:
+        low, begin = holders(texts, least, width)
+        return [_runs(low, begin, sizes, width)]
+    text, s, e, shared = _alike(texts, width)
+    out = [(text[~shared], s[~shared], e[~shared], least[text[~shared]])]
+    text, s, e = text[shared], s[shared], e[shared]
+    if len(text):
+        low, begin = holders([texts[k][a : b - 1 + width] for k, a, b in zip(text.tolist(), s.tolist(), e.tolist())], least[text], width)
+        part, a, b, d = _runs(low, begin, e - s + width - 1, width)
+        out.append((text[part], s[part] + a, s[part] + b, d))
+    return out
+
+
 def _judge(width: int):
     def run(got: pd.DataFrame) -> pd.DataFrame:
         """Answers each batch: for its blocks, runs of strings that a smaller doc_id holds."""
@@ -327,9 +368,7 @@ def _judge(width: int):
         sizes, found = np.array([len(t) for t in texts]), []
         for part in _sorted_groups(anchor[mixed], sizes[mixed], SORT_BYTES) if len(mixed) else ():
             part = mixed[part]
-            low, begin = holders([texts[i] for i in part.tolist()], least[part], width)
-            text, s, e, d = _runs(low, begin, sizes[part], width)
-            found.append((part[text], s, e, d))
+            found += [(part[text], s, e, d) for text, s, e, d in _least_runs([texts[i] for i in part.tolist()], least[part], width)]
         settled = np.setdiff1d(np.arange(len(texts)), mixed)
         found.append((settled, np.zeros(len(settled), np.int64), sizes[settled] - width + 1, least[settled]))
         text, s, e, d = (np.concatenate([x[k] for x in found]) for k in range(4))
