@@ -309,10 +309,9 @@ def page_bytes_quality(s, d):
 @query()
 def cleaned_pages(s, d):
     """Made pages with lines of text through the whole image stage: deskewed, denoised, binarised, blank ones dropped."""
-    row, mark = F.floor(F.col("j") / 64), F.when(F.col("page_id") % 4 == 0, 0).otherwise(1)
-    pixel = lambda j: F.when((mark == 1) & (F.floor(j / 64) % 8 < 3) & (j % 64).between(4, 59), 10 + j % 3).otherwise(245)
-    pixels = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3071)), lambda j: F.lpad(F.hex(pixel(j).cast("long")), 2, "0")), "")
-    pages = table(s, d, "pages").select("page_id", F.lit(64).alias("width"), F.lit(48).alias("height"), F.unhex(pixels).alias("pixels"))
+    drawn = bytes(10 + j % 3 if j // 64 % 8 < 3 and 4 <= j % 64 <= 59 else 245 for j in range(3072))
+    pixels = F.when(F.col("page_id") % 4 == 0, F.lit(bytes([245] * 3072))).otherwise(F.lit(drawn))
+    pages = table(s, d, "pages").select("page_id", F.lit(64).alias("width"), F.lit(48).alias("height"), pixels.alias("pixels"))
     return images.cleaned(pages).select("page_id", F.round("ink_ratio", 6).alias("ink_ratio"), F.sha2("png", 256).alias("png_sha256"))
 
 
