@@ -18,12 +18,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language.
 
     These hold no letters, or have no language at LEAST_SCORE, or their trigrams are not those of the learned languages (a
-    bound calibrated on held-out documents and noise). Where nothing was learned, only those without letters go. Rows are
+    bound calibrated on held-out documents and noise); all rows that may be learned from are. Where nothing was learned, only those without letters go. Rows are
     judged one by one, by their whole text: null and empty texts go, null and repeated doc_ids don't matter, repeated rows
     fare alike; an empty table stays empty.
     """
-    rows = langid.sample(docs.select("doc_id", "text", "lang"))
-    net, model = langid.fit(rows), langid.familiar(rows)
+    rows = docs.select("doc_id", "text", "lang")
+    words = stored(langid.vocabulary(rows))
+    net, model = langid.learn(words), langid.acquaint(rows, words)
     if net is None or model is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     lang, score, known = (fresh(docs, c) for c in ("_lang", "_score", "_known"))
