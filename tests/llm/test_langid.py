@@ -87,3 +87,15 @@ def test_the_sample_does_not_depend_on_order(spark):
     a, b = (langid.sample(spark.createDataFrame(x, schema).repartition(n), most=10) for x, n in ((rows, 1), (rows[::-1], 3)))
     assert a.equals(b) and len(a) == (0 if langid.crc_held_out(5) else 10)
     assert langid.fit(langid.sample(spark.createDataFrame([(2, "1 2", "la")], schema))) is None
+
+
+def test_a_step_runs_over_contiguous_arrays_of_one_gate():
+    net = langid.ByteNet(["a", "b", "c"])
+    rows, rec = net._gates()
+    assert rows.shape == (3 * 2 * 256, net.h) and rec.shape == (3, 2, net.h, net.h) and rows.flags.c_contiguous and rec.flags.c_contiguous
+    x = np.random.default_rng(0).integers(0, 256, (256, langid.WINDOW), np.uint8)
+    keep = {}
+    s = net.states(x, keep)
+    assert keep["gates"].shape == (langid.WINDOW, 3, 2, 256, net.h)
+    # Both passes are kept by position: the backward one begins at the end, the forward one at the start.
+    assert np.array_equal(keep["before"][1, 0], s[0, 0]) and np.array_equal(keep["before"][1, 1], s[1, -1]) and not keep["before"][0].any()
