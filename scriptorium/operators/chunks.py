@@ -36,6 +36,18 @@ def windows(lines: DataFrame, config: Config = DEFAULT) -> DataFrame:
     )
 
 
+def whole(documents: DataFrame) -> DataFrame:
+    """doc_id, text of documents: as they are where ids stand once; the rows of a repeated id become one, their lines in the order of windows()."""
+    docs = documents.select("doc_id", "text")
+    again = docs.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1").select("_id")
+    if not again.limit(1).count():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    tok = docs.join(again, same, "left_semi").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "raw")).select("doc_id", "line_idx", tokens(F.col("raw")).alias("tok"))
+    lines = tok.filter(F.size("tok") > 0).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_idx", "tok"))).alias("ls"))
+    return docs.join(again, same, "left_anti").unionAll(lines.select("doc_id", F.array_join(F.flatten(F.transform("ls", lambda x: x["tok"])), " ").alias("text")))
+
+
 def with_meta(chunks: DataFrame, meta: DataFrame) -> DataFrame:
     """Chunk metadata by id (never by position); 0.0 and `silver` where it is missing."""
     return chunks.join(meta, "chunk_id", "left").withColumn("ocr_confidence", F.coalesce("ocr_confidence", F.lit(0.0))).withColumn("tier", F.coalesce("tier", F.lit("silver")))
